@@ -14,6 +14,7 @@ from salesmart.fixtures.view import (
     RAW_COLUMNS,
     raw_sales,
     read,
+    reduced_sales,
 )
 from salesmart.functions.dates import date_of, iso_text
 from salesmart.functions.text import money, percent
@@ -51,7 +52,7 @@ def query(build: Query) -> Query:
 
 def after(spark: SparkSession, sf_dir: str, rules: int) -> DataFrame:
     """Rows left by the deduplication and the first so many rules."""
-    raw = raw_sales(spark, sf_dir)
+    raw = reduced_sales(spark, sf_dir)
     rows = quality.validate(raw, FIXTURE_ORDER, FIXTURE_CONFIG, quality.RULES[:rules])
     return rows.select(*RAW_COLUMNS)
 
@@ -76,8 +77,8 @@ def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needed = dict.fromkeys((*FIXTURE_CONFIG.required, *FIXTURE_ORDER))
-    raw = raw_sales(spark, sf_dir).select(*needed)
+    needed = dict.fromkeys((*FIXTURE_CONFIG.required, *FIXTURE_ORDER, "copies"))
+    raw = reduced_sales(spark, sf_dir).select(*needed)
     return quality.judge(raw, FIXTURE_ORDER, FIXTURE_CONFIG)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.config import SalesConfig
+from salesmart.operators.quality import keep_first_counted
 
 FIXTURE_CONFIG = SalesConfig(
     categories=("ECONOMY", "SMALL", "LARGE", "MEDIUM", "STANDARD"),
@@ -21,44 +22,82 @@ RAW_COLUMNS = (
 )
 
 
+# Columns the feed is made of; naming them saves reading file footers first.
+TABLES = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp_ntz"
+    ),
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_type string, p_retailprice double",
+    "events": "event_id bigint, value double",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their part."""
+    part = read(spark, sf_dir, "part")
+    return read(spark, sf_dir, "lineitem").join(part, F.expr("l_partkey = p_partkey"))
+
+
+def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the region of their customer."""
+    return (
+        read(spark, sf_dir, "orders")
+        .join(read(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        .join(read(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(read(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr("o_orderkey", "o_custkey", "string(date(o_orderdate)) AS o_day", "r_name")
+    )
+
+
+SALES_EXPRESSIONS = {
+    "order_id": "l_orderkey",
+    "customer_id": "CASE WHEN l_partkey % 101 <> 0 THEN o_custkey END",
+    "product": "p_name",
+    "category": "p_type",
+    "quantity": "CASE WHEN l_suppkey % 37 = 0 THEN -l_quantity ELSE l_quantity END",
+    "unit_price": "l_extendedprice / l_quantity",
+    "sales": "l_extendedprice * (1 - l_discount)",
+    "profit": "l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice",
+    "date": "CASE WHEN l_partkey % 113 = 0 THEN '2024-02-30' ELSE o_day END",
+    "region": "r_name",
+    "discount_pct": "l_discount * 250",
+}
+
+
+def _as_sales(joined: DataFrame, *more: str) -> DataFrame:
+    made = [f"{SALES_EXPRESSIONS[name]} AS {name}" for name in RAW_COLUMNS]
+    return joined.selectExpr(*made, *more)
 
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw row per line item, plus the columns that order them.
 
     Join sizes are left to Spark: it broadcasts a side only where its size is
-    known to be small, and splits skewed keys of the other joins. ``part`` comes
-    last so that the rows do not arrive partitioned by order: duplicates are
-    then reduced in the map tasks before the shuffle.
+    known to be small, and splits skewed keys of the other joins.
     """
-    rows = (
-        read(spark, sf_dir, "lineitem")
-        .join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    )
-    sales = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    quantity = F.when(F.col("l_suppkey") % 37 == 0, -F.col("l_quantity")).otherwise(
-        F.col("l_quantity")
-    )
-    date = F.when(F.col("l_partkey") % 113 == 0, "2024-02-30").otherwise(
-        F.date_format("o_orderdate", "yyyy-MM-dd")
-    )
-    columns = {
-        "order_id": F.col("l_orderkey"),
-        "customer_id": F.when(F.col("l_partkey") % 101 != 0, F.col("o_custkey")),
-        "product": F.col("p_name"),
-        "category": F.col("p_type"),
-        "quantity": quantity,
-        "unit_price": F.col("l_extendedprice") / F.col("l_quantity"),
-        "sales": sales,
-        "profit": sales - F.col("l_quantity") * F.col("p_retailprice"),
-        "date": date,
-        "region": F.col("r_name"),
-        "discount_pct": F.col("l_discount") * 250,
-    }
-    return rows.select(*[columns[name].alias(name) for name in RAW_COLUMNS], *FIXTURE_ORDER)
+    orders = placed_orders(spark, sf_dir)
+    joined = lines(spark, sf_dir).join(orders, F.expr("l_orderkey = o_orderkey"))
+    return _as_sales(joined, *FIXTURE_ORDER)
+
+
+def reduced_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows of which only the first line per order was joined to its order.
+
+    The deduplication keeps the same rows from these as from all raw rows:
+    whether a line finds its order and region depends on the order alone. Done
+    here, each map task first cuts its own lines to one per order, an order of
+    many lines stays small in the join, and the big join carries fewer rows.
+    ``copies`` says how many lines a row stands for.
+    """
+    first = keep_first_counted(lines(spark, sf_dir).drop("p_partkey"), FIXTURE_ORDER, "l_orderkey")
+    joined = first.join(placed_orders(spark, sf_dir), F.expr("l_orderkey = o_orderkey"))
+    return _as_sales(joined, *FIXTURE_ORDER, "copies")

@@ -14,15 +14,19 @@ def date_of(df: DataFrame, name: str, layout: str) -> Column:
     return F.col(name).cast("date")
 
 
-def date_parts(date: Column) -> dict[str, Column]:
-    return {
-        "year": F.year(date),
-        "month": F.month(date),
-        "quarter": F.quarter(date),
-        "month_name": F.date_format(date, "MMM"),
-        "day_of_week": F.date_format(date, "EEEE"),
-        "year_month": F.date_format(date, "yyyy-MM"),
-    }
+DATE_PARTS = {
+    "year": "year(date)",
+    "month": "month(date)",
+    "quarter": "quarter(date)",
+    "month_name": "date_format(date, 'MMM')",
+    "day_of_week": "date_format(date, 'EEEE')",
+    "year_month": "date_format(date, 'yyyy-MM')",
+}
+
+
+def date_part(name: str) -> Column:
+    """A part of the ``date`` column."""
+    return F.expr(DATE_PARTS[name])
 
 
 def iso_text(date: Column) -> Column:

@@ -14,7 +14,8 @@ EXACT_PERCENT = "decimal(28,2)"
 def finite(value: Column) -> Column:
     """A double with NaN and the infinities turned into NULL."""
     x = value.cast("double")
-    return F.when(~(F.isnan(x) | (F.abs(x) == float("inf"))), x)
+    # NaN compares as greater than every number.
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def number_from_text(text: Column) -> Column:

@@ -28,7 +28,8 @@ def money(value: Column) -> Column:
         .when(x >= LAKH, F.concat(one_decimal(x / LAKH), F.lit("L")))
         .otherwise(grouped(x))
     )
-    return F.when(~(F.isnan(x) | (F.abs(x) == float("inf"))), F.concat(F.lit("Rs "), shown))
+    # Neither NaN nor an infinity is below infinity.
+    return F.when(F.abs(x) < float("inf"), F.concat(F.lit("Rs "), shown))
 
 
 def percent(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.bins import customer_segment, profit_tier
-from salesmart.functions.dates import date_parts
+from salesmart.functions.dates import DATE_PARTS, date_part
 from salesmart.functions.numeric import half_even
 
 # Derived columns in table order, each with the row columns it is made from.
@@ -42,6 +42,15 @@ def revenue_per_unit() -> Column:
     return half_even(F.try_divide("sales", "quantity"), 2)
 
 
+BUILDERS = {
+    "profit_margin_pct": margin_pct,
+    "revenue_per_unit": revenue_per_unit,
+    # The tier looks at the margin after rounding.
+    "profit_tier": lambda: profit_tier(margin_pct()),
+    "customer_segment": lambda: customer_segment(F.col("_customer_orders")),
+}
+
+
 def customer_orders(
     rows: DataFrame,
     name: str = "customer_orders",
@@ -60,24 +69,24 @@ def customer_orders(
     counts = (
         rows.filter(F.col("customer_id").isNotNull())
         .groupBy(F.col("customer_id").alias("_customer"))
-        .agg(
-            F.count("order_id").alias("_orders"),
-            F.count("*").alias("_rows"),
-            # Always 0, but not a literal: that would drop out of the join key.
-            F.min(F.when(F.col("customer_id").isNull(), 1).otherwise(0)).alias("_spread"),
-        )
+        .agg(F.count("order_id").alias("_orders"), F.count("*").alias("_rows"))
     )
-    total = counts.agg(F.sum("_rows")).scalar()
+    total = rows.agg(F.count("*")).scalar()
     is_hot = (F.col("_rows") > hot_floor) & (F.col("_rows") * hot_share > total)
     hot = counts.filter(is_hot).select(
         F.col("_customer").alias("_hot_customer"), F.col("_orders").alias("_hot_orders")
     )
+    # Always 0, but not a literal: that would drop out of the join key. Made from
+    # a count that the list above also needs, so both share one aggregation.
+    everyone = counts.select(
+        "_customer", "_orders", F.when(F.col("_rows") > 0, 0).otherwise(1).alias("_spread")
+    )
     marked = rows.join(F.broadcast(hot), F.col("customer_id") == F.col("_hot_customer"), "left")
     settled = F.col("_hot_customer").isNotNull() | F.col("customer_id").isNull()
     place = F.when(settled, F.pmod(F.xxhash64("order_id"), F.lit(SPREAD)) + 1).otherwise(0)
     marked = marked.withColumn("_place", place.cast("int"))
     joined = marked.join(
-        counts.select("_customer", "_spread", "_orders"),
+        everyone,
         (F.col("customer_id") == F.col("_customer")) & (F.col("_place") == F.col("_spread")),
         "left",
     )
@@ -108,34 +117,29 @@ def enrich(rows: DataFrame, only: Iterable[str] = tuple(DERIVED)) -> DataFrame:
     again: hand in a staged copy when asking for these.
     """
     wanted = [name for name in DERIVED if name in set(only)]
-    flag = outlier_flag(rows) if "is_outlier" in wanted else None
-    columns = {
-        **date_parts(F.col("date")),
-        "profit_margin_pct": margin_pct(),
-        "revenue_per_unit": revenue_per_unit(),
-        # The tier looks at the margin after rounding.
-        "profit_tier": profit_tier(margin_pct()),
-        "is_outlier": flag,
-    }
-    if "customer_segment" in wanted:
-        counted = customer_orders(rows, "_customer_orders")
-        columns["customer_segment"] = customer_segment(F.col("_customer_orders"))
-    else:
-        counted = rows
-    return counted.select(*rows.columns, *[columns[name].alias(name) for name in wanted])
+    segmented = "customer_segment" in wanted
+    counted = customer_orders(rows, "_customer_orders") if segmented else rows
+
+    def column(name: str) -> Column:
+        if name in DATE_PARTS:
+            return date_part(name)
+        if name == "is_outlier":
+            return outlier_flag(rows)
+        return BUILDERS[name]()
+
+    return counted.select(*rows.columns, *[column(name).alias(name) for name in wanted])
 
 
 def enrich_reduced(rows: DataFrame) -> DataFrame:
     """The smaller set of columns for rows that no quality rule has seen."""
-    parts = date_parts(F.col("date"))
     return rows.withColumns(
         {
-            "year": parts["year"],
-            "month": parts["month"],
-            "quarter": parts["quarter"],
-            "month_name": parts["month_name"],
+            "year": date_part("year"),
+            "month": date_part("month"),
+            "quarter": date_part("quarter"),
+            "month_name": date_part("month_name"),
             "profit_margin_pct": margin_pct(),
-            "year_month": parts["year_month"],
+            "year_month": date_part("year_month"),
             "is_outlier": outlier_flag(rows),
             "profit_tier": F.lit("Medium"),
             "customer_segment": F.lit("Returning"),

@@ -35,10 +35,11 @@ def require_columns(df: DataFrame, config: SalesConfig = SalesConfig()) -> DataF
 
 def typed(df: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     """Numeric columns as finite doubles; text that is no number becomes NULL."""
+    kinds = {field.name: field.dataType for field in df.schema}
     columns = {}
     for name in config.numeric:
-        if name in df.columns:
-            is_text = isinstance(df.schema[name].dataType, T.StringType)
+        if name in kinds:
+            is_text = isinstance(kinds[name], T.StringType)
             columns[name] = number_from_text(F.col(name)) if is_text else finite(F.col(name))
     return df.withColumns(columns)
 
@@ -61,29 +62,28 @@ def keep_first_counted(
 ) -> DataFrame:
     """``keep_first`` with the number of rows per key as ``copies``, in one pass.
 
-    The aggregate carries whole rows, so unneeded columns are not pruned:
-    meant for callers that want all of them.
+    Rows that already stand for several, by a ``copies`` column, count as such.
+    The aggregate carries whole rows, so unneeded columns are not pruned: hand
+    in those that are wanted.
     """
-    row = F.min_by(F.struct("*"), F.struct(*order))
-    kept = df.groupBy(F.col(key).alias("_key")).agg(row.alias("_row"), F.count("*").alias("copies"))
-    return kept.select("_row.*", "copies")
+    others = [name for name in df.columns if name not in (key, "copies")]
+    copies = F.sum("copies") if "copies" in df.columns else F.count("*")
+    kept = df.groupBy(key).agg(
+        F.min_by(F.struct(*others), F.struct(*order)).alias("_row"), copies.alias("copies")
+    )
+    # The key itself, not its copy in the row: the result stays partitioned by it.
+    return kept.select(key, "_row.*", "copies")
 
 
 # --- rules as predicates -----------------------------------------------------
 
 
 def has_missing(config: SalesConfig) -> Column:
-    any_missing = F.lit(False)
-    for name in config.required:
-        any_missing = any_missing | F.col(name).isNull()
-    return any_missing
+    return F.expr(" OR ".join(f"`{name}` IS NULL" for name in config.required))
 
 
 def has_non_positive(config: SalesConfig) -> Column:
-    any_bad = F.lit(False)
-    for name in config.positive:
-        any_bad = any_bad | (F.col(name) <= 0)
-    return any_bad
+    return F.expr(" OR ".join(f"`{name}` <= 0" for name in config.positive))
 
 
 def bad_category(config: SalesConfig) -> Column:
@@ -169,81 +169,57 @@ def clean_rows(judged: DataFrame, config: SalesConfig = SalesConfig()) -> DataFr
     return kept.withColumn("date", date_of(kept, "date", config.date_format))
 
 
-def null_counts(df: DataFrame, config: SalesConfig = SalesConfig()) -> list[Column]:
-    return [F.count_if(F.col(name).isNull()).alias(name) for name in config.required]
+def null_counts(config: SalesConfig) -> list[str]:
+    return [f"count_if(`{name}` IS NULL) AS `{name}`" for name in config.required]
 
 
 def null_profile(df: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     """Missing values per required column, columns without any left out."""
-    counts = df.agg(*null_counts(df, config))
+    counts = df.selectExpr(*null_counts(config))
     profile = counts.unpivot([], list(config.required), "column_name", "missing")
-    return profile.filter(F.col("missing") > 0)
+    return profile.filter("missing > 0")
 
 
 def tally(judged: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     """All counts of the report as one row, in one pass over judged rows."""
-
-    def of(*verdicts: str) -> Column:
-        return F.col("verdict").isin(*verdicts)
-
+    dropped = (MISSING, NON_POSITIVE, UNKNOWN_CATEGORY, BAD_DATE)
     # The region rule reports every unknown region it met, also on rows that
     # the category rule had already taken out.
-    met_regions = of(UNKNOWN_CATEGORY, UNKNOWN_REGION, BAD_DATE, CLEAN)
+    met = F.col("verdict").isin(UNKNOWN_CATEGORY, UNKNOWN_REGION, BAD_DATE, CLEAN)
     return judged.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in"),
-        F.count("*").alias("rows_kept"),
-        F.struct(*null_counts(judged, config)).alias("missing"),
-        F.count_if(of(MISSING)).alias(MISSING),
-        F.count_if(of(NON_POSITIVE)).alias(NON_POSITIVE),
-        F.count_if(of(UNKNOWN_CATEGORY)).alias(UNKNOWN_CATEGORY),
-        F.count_if(met_regions & bad_region(config)).alias(UNKNOWN_REGION),
-        F.count_if(of(BAD_DATE)).alias(BAD_DATE),
-        F.count_if(of(CLEAN)).alias("rows_clean"),
+        F.expr("coalesce(sum(copies), 0) AS rows_in"),
+        F.expr("count(*) AS rows_kept"),
+        F.expr(f"struct({', '.join(null_counts(config))}) AS missing"),
+        *[F.expr(f"count_if(verdict = '{rule}') AS {rule}") for rule in dropped],
+        F.count_if(met & bad_region(config)).alias(UNKNOWN_REGION),
+        F.expr(f"count_if(verdict = '{CLEAN}') AS rows_clean"),
     )
 
 
-def _null_text(config: SalesConfig) -> Column:
-    parts = [
-        F.when(
-            F.col(f"missing.{name}") > 0,
-            F.concat(F.lit(f"'{name}': "), F.col(f"missing.{name}").cast("string")),
-        )
-        for name in config.required
-    ]
-    return F.concat(F.lit("Nulls found: {"), F.concat_ws(", ", *parts), F.lit("}"))
-
-
 def issues(tallied: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     """One line per rule that fired: its place, name, count and message."""
-
-    def dropped(n: Column, what: str) -> Column:
-        return F.concat(F.lit("Dropped "), n.cast("string"), F.lit(f" {what}"))
-
-    duplicates = F.col("rows_in") - F.col("rows_kept")
-    lines = [
-        ("duplicate_order_id", duplicates, dropped(duplicates, "duplicate order_ids")),
-        (MISSING, F.col(MISSING), _null_text(config)),
-        (NON_POSITIVE, F.col(NON_POSITIVE),
-         dropped(F.col(NON_POSITIVE), "rows with invalid numeric values")),
-        (UNKNOWN_CATEGORY, F.col(UNKNOWN_CATEGORY),
-         dropped(F.col(UNKNOWN_CATEGORY), "unknown categories")),
-        (UNKNOWN_REGION, F.col(UNKNOWN_REGION), dropped(F.col(UNKNOWN_REGION), "unknown regions")),
-        (BAD_DATE, F.col(BAD_DATE), dropped(F.col(BAD_DATE), "bad dates")),
-    ]
-    structs = [
-        F.struct(
-            F.lit(place).alias("seq"), F.lit(rule).alias("rule"),
-            n.alias("n"), message.alias("message"),
-        )
-        for place, (rule, n, message) in enumerate(lines, start=1)
-    ]
-    return tallied.select(F.inline(F.array(*structs))).filter(F.col("n") > 0)
+    nulls = ", ".join(
+        f"IF(missing.`{name}` > 0, concat(\"'{name}': \", missing.`{name}`), NULL)"
+        for name in config.required
+    )
+    # The wording of the messages.
+    lines = (
+        ("duplicate_order_id", "rows_in - rows_kept", "'Dropped ', n, ' duplicate order_ids'"),
+        (MISSING, MISSING, f"'Nulls found: {{', concat_ws(', ', {nulls}), '}}'"),
+        (NON_POSITIVE, NON_POSITIVE, "'Dropped ', n, ' rows with invalid numeric values'"),
+        (UNKNOWN_CATEGORY, UNKNOWN_CATEGORY, "'Dropped ', n, ' unknown categories'"),
+        (UNKNOWN_REGION, UNKNOWN_REGION, "'Dropped ', n, ' unknown regions'"),
+        (BAD_DATE, BAD_DATE, "'Dropped ', n, ' bad dates'"),
+    )
+    counts = ", ".join(
+        f"struct({seq} AS seq, '{rule}' AS rule, bigint({n}) AS n)"
+        for seq, (rule, n, _) in enumerate(lines, start=1)
+    )
+    message = " ".join(f"WHEN '{rule}' THEN concat({text})" for rule, _, text in lines)
+    fired = tallied.selectExpr("missing", f"inline(array({counts}))").filter("n > 0")
+    return fired.selectExpr("seq", "rule", "n", f"CASE rule {message} END AS message")
 
 
 def row_totals(tallied: DataFrame) -> DataFrame:
     """Rows before, dropped and after."""
-    return tallied.select(
-        "rows_in",
-        (F.col("rows_in") - F.col("rows_clean")).alias("rows_dropped"),
-        "rows_clean",
-    )
+    return tallied.selectExpr("rows_in", "rows_in - rows_clean AS rows_dropped", "rows_clean")
