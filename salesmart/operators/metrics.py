@@ -146,7 +146,7 @@ def category_share(fact_rows: DataFrame) -> DataFrame:
     own = F.col("f_sales").cast("double")
     return sums.select(
         "category", own.alias("sales"), (F.try_divide(own, whole) * 100).alias("share_pct")
-    )
+    ).orderBy("category")
 
 
 def region_perf(fact_rows: DataFrame) -> DataFrame:
