@@ -22,6 +22,7 @@ from salesmart.operators import dimensions, metrics, quality
 from salesmart.operators.audit import audit_formatted, audit_summary
 from salesmart.operators.enrich import (
     DERIVED,
+    customer_counts,
     customer_orders,
     enrich,
     outlier_flag,
@@ -69,11 +70,13 @@ def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     derived = [name for name in columns if name in DERIVED]
     given = [name for name in columns if name not in DERIVED]
-    rows = clean(spark, sf_dir)
+    rows, counts = clean(spark, sf_dir), None
     if {"customer_segment", "is_outlier"} & set(derived):
         inputs = {name for column in derived for name in DERIVED[column]} | set(given)
-        rows = stage(rows.select(*[name for name in RAW_COLUMNS if name in inputs]), "clean")
-    return enrich(rows, only=derived).select(*columns)
+        rows = stage(rows.select(*[name for name in RAW_COLUMNS if name in inputs]), "clean").rows
+    if "customer_segment" in derived:
+        counts = stage(customer_counts(rows), "customers").rows
+    return enrich(rows, derived, counts).select(*columns)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +218,8 @@ def tx_profit_tier(spark, sf_dir):
 
 @query
 def tx_customer_orders(spark, sf_dir):
-    return customer_orders(stage(clean(spark, sf_dir).select("order_id", "customer_id"), "clean"))
+    rows = stage(clean(spark, sf_dir).select("order_id", "customer_id"), "clean").rows
+    return customer_orders(rows, stage(customer_counts(rows), "customers").rows)
 
 
 @query

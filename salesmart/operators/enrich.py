@@ -51,8 +51,18 @@ BUILDERS = {
 }
 
 
+def customer_counts(rows: DataFrame) -> DataFrame:
+    """Orders and rows per customer; rows without a customer are left out."""
+    return (
+        rows.filter(F.col("customer_id").isNotNull())
+        .groupBy(F.col("customer_id").alias("_customer"))
+        .agg(F.count("order_id").alias("_orders"), F.count("*").alias("_rows"))
+    )
+
+
 def customer_orders(
     rows: DataFrame,
+    counts: DataFrame | None = None,
     name: str = "customer_orders",
     hot_share: int = HOT_SHARE,
     hot_floor: int = HOT_FLOOR,
@@ -64,13 +74,11 @@ def customer_orders(
     arithmetic; their counts are broadcast and their rows are spread evenly over
     the shuffle of the other rows, where they match nothing.
 
-    The rows are read more than once: hand in a table or a staged copy.
+    The rows are read more than once: hand in a table or a staged copy. With
+    staged ``customer_counts`` as well, Spark knows their size and leaves the
+    rows where they are when all counts are small enough to broadcast.
     """
-    counts = (
-        rows.filter(F.col("customer_id").isNotNull())
-        .groupBy(F.col("customer_id").alias("_customer"))
-        .agg(F.count("order_id").alias("_orders"), F.count("*").alias("_rows"))
-    )
+    counts = customer_counts(rows) if counts is None else counts
     total = rows.agg(F.count("*")).scalar()
     is_hot = (F.col("_rows") > hot_floor) & (F.col("_rows") * hot_share > total)
     hot = counts.filter(is_hot).select(
@@ -110,15 +118,18 @@ def outlier_flag(rows: DataFrame, column: str = "sales") -> Column:
     return F.coalesce((F.col(column) > limit).cast("int"), F.lit(0))
 
 
-def enrich(rows: DataFrame, only: Iterable[str] = tuple(DERIVED)) -> DataFrame:
+def enrich(
+    rows: DataFrame, only: Iterable[str] = tuple(DERIVED), counts: DataFrame | None = None
+) -> DataFrame:
     """Clean rows with their derived columns, by default all of them.
 
     ``customer_segment`` and ``is_outlier`` depend on all rows and read them
-    again: hand in a staged copy when asking for these.
+    again: hand in a staged copy when asking for these, and staged
+    ``customer_counts`` for the first.
     """
     wanted = [name for name in DERIVED if name in set(only)]
     segmented = "customer_segment" in wanted
-    counted = customer_orders(rows, "_customer_orders") if segmented else rows
+    counted = customer_orders(rows, counts, "_customer_orders") if segmented else rows
 
     def column(name: str) -> Column:
         if name in DATE_PARTS:

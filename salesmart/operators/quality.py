@@ -23,6 +23,7 @@ UNKNOWN_CATEGORY = "unknown_category"
 UNKNOWN_REGION = "unknown_region"
 BAD_DATE = "bad_date"
 CLEAN = "clean"
+JUDGE_COLUMNS = ("verdict", "copies", "missing_bits")
 
 
 def require_columns(df: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
@@ -78,8 +79,10 @@ def keep_first_counted(
 # --- rules as predicates -----------------------------------------------------
 
 
-def has_missing(config: SalesConfig) -> Column:
-    return F.expr(" OR ".join(f"`{name}` IS NULL" for name in config.required))
+def missing_bits(config: SalesConfig) -> Column:
+    """One bit per required column, set where its value is missing."""
+    bits = (f"IF(`{name}` IS NULL, {1 << n}L, 0L)" for n, name in enumerate(config.required))
+    return F.expr(" + ".join(bits))
 
 
 def has_non_positive(config: SalesConfig) -> Column:
@@ -147,13 +150,14 @@ def judge(
 ) -> DataFrame:
     """First row per order with ``copies`` and the first rule it breaks.
 
-    ``verdict`` is the name of that rule or ``clean``. Rejected rows stay, with
-    ``date`` as it came in.
+    ``verdict`` is the name of that rule or ``clean``; ``missing_bits`` tells the
+    missing columns. Rejected rows stay, with ``date`` as it came in.
     """
     rows = df.transform(require_columns, config).transform(typed, config)
     rows = keep_first_counted(rows, order).drop(*INGEST_ORDER)
+    rows = rows.withColumn("missing_bits", missing_bits(config))
     verdict = (
-        F.when(has_missing(config), MISSING)
+        F.when(F.col("missing_bits") != 0, MISSING)
         .when(has_non_positive(config), NON_POSITIVE)
         .when(bad_category(config), UNKNOWN_CATEGORY)
         .when(bad_region(config), UNKNOWN_REGION)
@@ -165,23 +169,28 @@ def judge(
 
 def clean_rows(judged: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     """The accepted rows of a judged frame, ``date`` parsed."""
-    kept = judged.filter(F.col("verdict") == CLEAN).drop("verdict", "copies")
+    kept = judged.filter(F.col("verdict") == CLEAN).drop(*JUDGE_COLUMNS)
     return kept.withColumn("date", date_of(kept, "date", config.date_format))
 
 
-def null_counts(config: SalesConfig) -> list[str]:
-    return [f"count_if(`{name}` IS NULL) AS `{name}`" for name in config.required]
-
-
 def null_profile(df: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     """Missing values per required column, columns without any left out."""
-    counts = df.selectExpr(*null_counts(config))
+    counts = df.selectExpr(
+        *[f"count_if(`{name}` IS NULL) AS `{name}`" for name in config.required]
+    )
     profile = counts.unpivot([], list(config.required), "column_name", "missing")
     return profile.filter("missing > 0")
 
 
 def tally(judged: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
-    """All counts of the report as one row, in one pass over judged rows."""
+    """All counts of the report as one row, in one pass over judged rows.
+
+    Of a staged copy it reads the three judge columns and the region only.
+    """
+    nulls = ", ".join(
+        f"count_if((missing_bits & {1 << n}L) <> 0) AS `{name}`"
+        for n, name in enumerate(config.required)
+    )
     dropped = (MISSING, NON_POSITIVE, UNKNOWN_CATEGORY, BAD_DATE)
     # The region rule reports every unknown region it met, also on rows that
     # the category rule had already taken out.
@@ -189,7 +198,7 @@ def tally(judged: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     return judged.agg(
         F.expr("coalesce(sum(copies), 0) AS rows_in"),
         F.expr("count(*) AS rows_kept"),
-        F.expr(f"struct({', '.join(null_counts(config))}) AS missing"),
+        F.expr(f"struct({nulls}) AS missing"),
         *[F.expr(f"count_if(verdict = '{rule}') AS {rule}") for rule in dropped],
         F.count_if(met & bad_region(config)).alias(UNKNOWN_REGION),
         F.expr(f"count_if(verdict = '{CLEAN}') AS rows_clean"),

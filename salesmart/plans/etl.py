@@ -13,10 +13,10 @@ from salesmart.config import SalesConfig
 from salesmart.functions.dates import load_stamp
 from salesmart.operators import quality
 from salesmart.operators.audit import audit_formatted, audit_summary
-from salesmart.operators.enrich import enrich
+from salesmart.operators.enrich import customer_counts, enrich
 from salesmart.sinks.table import WriteReport, replace_table
 from salesmart.sources.csv import INGEST_ORDER
-from salesmart.storage import stage
+from salesmart.storage import Staged, stage
 
 log = logging.getLogger("salesmart")
 
@@ -49,24 +49,30 @@ def run_etl(
     """Load raw rows into ``table`` and report.
 
     The raw rows are read and shuffled once. What the rules made of them is
-    staged by verdict; the report, the customer counts, the outlier limit and
-    the enriched rows are then read from that columnar copy. Errors are logged
-    and raised again.
+    staged; the report, the customer counts, the outlier limit and the enriched
+    rows are then read from that columnar copy, each with its own columns only.
+    Errors are logged and raised again.
     """
     start = time.monotonic()
     log.info("Load of %s started", table)
+    staged: list[Staged] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        staged.append(stage(df, name))
+        return staged[-1].rows
+
     try:
-        judged = stage(quality.judge(raw, order, config), "judged", partition_by=["verdict"])
-        tallied = stage(quality.tally(judged, config), "tally")
+        judged = keep(quality.judge(raw, order, config), "judged")
+        tallied = keep(quality.tally(judged, config), "tally")
         totals = quality.row_totals(tallied).first()
         # At most one line per rule.
         lines = quality.issues(tallied, config).orderBy("seq").collect()
         for line in lines:
             log.warning(line.message)
-        final = stamped(enrich(quality.clean_rows(judged, config)))
-        written = replace_table(final, table)
-        audit = audit_summary(raw.sparkSession.table(table))
-        summary = stage(audit, "audit")
+        clean = quality.clean_rows(judged, config)
+        counts = keep(customer_counts(clean), "customers")
+        written = replace_table(stamped(enrich(clean, counts=counts)), table)
+        summary = keep(audit_summary(raw.sparkSession.table(table)), "audit")
         report = EtlReport(
             rows_in=totals.rows_in,
             columns_in=len([name for name in raw.columns if name not in INGEST_ORDER]),
@@ -81,5 +87,8 @@ def run_etl(
     except Exception:
         log.exception("Load of %s failed", table)
         raise
+    finally:
+        for copy in staged:
+            copy.release()
     log.info("Load of %s done in %.2fs: %s", table, report.elapsed_s, report.audit_text)
     return report

@@ -10,6 +10,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join also where its output then has to be shuffled again.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +41,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class Staged:
+    """Rows read back from a written copy."""
+
+    rows: DataFrame
+    path: str
+
+    def release(self) -> None:
+        """Give the space back: the copy is overwritten by no rows."""
+        self.rows.sparkSession.range(0).write.mode("overwrite").parquet(self.path)
+
+
+def stage(df: DataFrame, name: str) -> Staged:
     """Write rows once as Parquet and continue from the written copy.
 
     Used before steps that read the same rows several times. Unlike
     ``checkpoint()`` the copy is columnar, so each later reader fetches only its
-    own columns, and it lives outside the executors. As with ``checkpoint()``,
-    the folder's owner decides how long old copies stay.
+    own columns; its size is known to the planner; and it lives outside the
+    executors. Copies that are not released stay, as those of ``checkpoint()``
+    do, until the owner of the folder clears it.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    return Staged(df.sparkSession.read.schema(df.schema).parquet(path), path)

@@ -51,7 +51,7 @@ def skewed(spark):
         "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 6 = 1 THEN NULL "
         "ELSE concat('c', id % 500) END AS customer_id"
     )
-    return stage(spark.range(30_000).selectExpr("id AS order_id", customer), "skewed")
+    return stage(spark.range(30_000).selectExpr("id AS order_id", customer), "skewed").rows
 
 
 def expected_counts(rows):
@@ -64,7 +64,8 @@ def test_customer_orders_with_and_without_hot_customers(spark):
     truth = expected_counts(rows)
     # No customer is hot, one is, all are.
     for share, floor in ((100_000, 10_000), (10, 100), (100_000, 0)):
-        got = enrich.customer_orders(rows, hot_share=share, hot_floor=floor)
+        staged = stage(enrich.customer_counts(rows), "customers").rows if share == 10 else None
+        got = enrich.customer_orders(rows, staged, hot_share=share, hot_floor=floor)
         assert got.count() == rows.count()
         wrong = [
             row for row in got.distinct().collect()

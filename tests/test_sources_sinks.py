@@ -131,8 +131,16 @@ def test_text_date(raw):
     assert sinks.with_text_date(rows).first().date == GOOD["date"]
 
 
-def test_stage_reads_back_the_same_columns(spark, raw):
+def test_stage_reads_back_and_releases(spark, raw):
     rows = raw({}, {"order_id": "B"})
-    staged = stage(rows, "t", partition_by=["order_id"])
-    assert staged.select(rows.columns).orderBy("line").collect() == rows.orderBy("line").collect()
+    staged = stage(rows, "t")
+    assert staged.rows.orderBy("line").collect() == rows.orderBy("line").collect()
+    staged.release()
+    assert spark.read.parquet(staged.path).count() == 0
     assert fresh_path(spark, "t") != fresh_path(spark, "t")
+
+
+def test_work_dir_is_the_one_of_the_session(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is not None:
+        assert fresh_path(spark, "t").startswith(configured)
