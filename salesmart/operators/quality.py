@@ -65,13 +65,13 @@ def keep_first_counted(
 
     Rows that already stand for several, by a ``copies`` column, count as such.
     The aggregate carries whole rows, so unneeded columns are not pruned: hand
-    in those that are wanted.
+    in those that are wanted, and none that cannot be compared (maps).
     """
-    others = [name for name in df.columns if name not in (key, "copies")]
+    others = [name for name in df.columns if name not in (key, "copies", *order)]
     copies = F.sum("copies") if "copies" in df.columns else F.count("*")
-    kept = df.groupBy(key).agg(
-        F.min_by(F.struct(*others), F.struct(*order)).alias("_row"), copies.alias("copies")
-    )
+    # The smallest row by the order columns; they come first in the comparison.
+    first = F.min(F.struct(*order, *others))
+    kept = df.groupBy(key).agg(first.alias("_row"), copies.alias("copies"))
     # The key itself, not its copy in the row: the result stays partitioned by it.
     return kept.select(key, "_row.*", "copies")
 
