@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sums run over decimals, so their value does not depend on the order in which
-# partitions arrive. Money carries four decimals, percentages two.
-EXACT_MONEY = "decimal(28,4)"
-EXACT_PERCENT = "decimal(28,2)"
+# Decimals that sums carry: of money, of percentages.
+MONEY = 4
+PERCENT = 2
+# Bits of the low part of a number that is summed in two parts.
+LOW_BITS = 20
 
 
 def finite(value: Column) -> Column:
@@ -31,11 +32,31 @@ def half_even(value: Column, places: int) -> Column:
     return F.rint(value * scale) / scale
 
 
-def exact_total(value: Column) -> Column:
-    """Sum of exact decimals as a double; 0 over no rows."""
-    return F.coalesce(F.sum(value).cast("double"), F.lit(0.0))
+def exact_parts(column: str, decimals: int, name: str) -> list[str]:
+    """SQL of a double as whole units of its last decimal, in a high and a low part.
 
+    Whole numbers add up to the same sum in any order, and long additions stay
+    in generated code, which decimal ones do not. Each part alone has room for
+    a million million rows; beyond that the sum is an error, not a wrong value.
+    """
+    units = f"bigint(rint(`{column}` * {10**decimals}D))"
+    return [
+        f"shiftright({units}, {LOW_BITS}) AS {name}_high",
+        f"{units} & {(1 << LOW_BITS) - 1}L AS {name}_low",
+    ]
 
-def exact_mean(value: Column, n: Column) -> Column:
-    """Sum of exact decimals divided by a summed count; NULL over no values."""
-    return F.try_divide(F.sum(value).cast("double"), F.sum(n).cast("double"))
+
+def exact_sum(name: str, decimals: int) -> Column:
+    """Sum of a number kept in parts, as a decimal; NULL over no values."""
+    units = f"sum({name}_high) * {1 << LOW_BITS}BD + sum({name}_low)"
+    return F.expr(f"({units}) * {10**-decimals:.{decimals}f}BD")
+
+
+def exact_total(name: str, decimals: int) -> Column:
+    """The same as a double; 0 over no values."""
+    return F.coalesce(exact_sum(name, decimals).cast("double"), F.lit(0.0))
+
+
+def exact_mean(name: str, decimals: int, n: str) -> Column:
+    """The sum divided by a summed count, as a double; NULL over no values."""
+    return F.try_divide(exact_sum(name, decimals).cast("double"), F.sum(n).cast("double"))

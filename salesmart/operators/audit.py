@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.functions.numeric import exact_mean, exact_total
+from salesmart.functions.numeric import MONEY, PERCENT, exact_mean, exact_total
 from salesmart.functions.text import grouped, percent
 from salesmart.operators.facts import facts
 
@@ -13,9 +13,9 @@ from salesmart.operators.facts import facts
 def audit_summary(rows: DataFrame) -> DataFrame:
     return facts(rows).agg(
         F.count("*").alias("orders"),
-        exact_total(F.col("f_sales")).alias("total_sales"),
-        exact_total(F.col("f_profit")).alias("total_profit"),
-        exact_mean(F.col("f_margin"), F.col("f_margins")).alias("avg_margin"),
+        exact_total("f_sales", MONEY).alias("total_sales"),
+        exact_total("f_profit", MONEY).alias("total_profit"),
+        exact_mean("f_margin", PERCENT, "f_margins").alias("avg_margin"),
         F.count_distinct("customer_id").alias("customers"),
         F.min("date").alias("date_min"),
         F.max("date").alias("date_max"),

@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.bins import discount_band
-from salesmart.functions.numeric import EXACT_MONEY, EXACT_PERCENT
+from salesmart.functions.numeric import MONEY, PERCENT, exact_parts
 
 # Keys of small, bounded domain by which most panels are grouped.
 CUBE_KEYS = ("year_month", "category", "region", "profit_tier", "discount_band")
-FACTS = ("f_sales", "f_profit", "f_margin", "f_margins", "f_rows", "f_orders", "f_outliers")
+# Facts by the row column they come from; amounts are in two parts each.
+FACTS = {
+    "sales": exact_parts("sales", MONEY, "f_sales"),
+    "profit": exact_parts("profit", MONEY, "f_profit"),
+    "profit_margin_pct": [
+        *exact_parts("profit_margin_pct", PERCENT, "f_margin"),
+        "bigint(profit_margin_pct IS NOT NULL) AS f_margins",
+    ],
+    "order_id": ["bigint(order_id IS NOT NULL) AS f_orders"],
+    "is_outlier": ["bigint(is_outlier) AS f_outliers"],
+}
 
 
 def with_discount_band(rows: DataFrame) -> DataFrame:
@@ -24,25 +34,15 @@ def with_discount_band(rows: DataFrame) -> DataFrame:
 def facts(rows: DataFrame) -> DataFrame:
     """Rows with additive fact columns, for those inputs that are there.
 
-    Facts are exact decimals and counts, so metrics come out the same from rows
-    and from any pre-aggregation of them.
+    Facts are whole numbers, so metrics come out the same from rows and from any
+    pre-aggregation of them.
     """
-    made = {"f_rows": F.lit(1).cast("long")}
-    if "sales" in rows.columns:
-        made["f_sales"] = F.col("sales").cast(EXACT_MONEY)
-    if "profit" in rows.columns:
-        made["f_profit"] = F.col("profit").cast(EXACT_MONEY)
-    if "profit_margin_pct" in rows.columns:
-        made["f_margin"] = F.col("profit_margin_pct").cast(EXACT_PERCENT)
-        made["f_margins"] = F.col("profit_margin_pct").isNotNull().cast("long")
-    if "order_id" in rows.columns:
-        made["f_orders"] = F.col("order_id").isNotNull().cast("long")
-    if "is_outlier" in rows.columns:
-        made["f_outliers"] = F.col("is_outlier").cast("long")
-    return rows.withColumns(made)
+    present = set(rows.columns)
+    made = [text for source, texts in FACTS.items() if source in present for text in texts]
+    return rows.selectExpr("*", *made)
 
 
 def cube(fact_rows: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
     """Facts summed per combination of keys: one scan that feeds many metrics."""
-    present = [name for name in FACTS if name in fact_rows.columns]
+    present = [name for name in fact_rows.columns if name.startswith("f_")]
     return fact_rows.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in present])

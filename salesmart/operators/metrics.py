@@ -18,7 +18,14 @@ from salesmart.functions.bins import (
     label_rank,
 )
 from salesmart.functions.dates import day_month_year
-from salesmart.functions.numeric import exact_mean, exact_total, half_even
+from salesmart.functions.numeric import (
+    MONEY,
+    PERCENT,
+    exact_mean,
+    exact_sum,
+    exact_total,
+    half_even,
+)
 from salesmart.functions.text import grouped, money, percent, signed_percent, title
 
 TOP_PRODUCTS = 10
@@ -43,9 +50,9 @@ def _numbered(df: DataFrame, *order: Column | str) -> DataFrame:
 def kpi_summary(fact_rows: DataFrame) -> DataFrame:
     """One row of totals; zeros and a missing margin over no rows."""
     totals = fact_rows.agg(
-        exact_total(F.col("f_sales")).alias("total_sales"),
-        exact_total(F.col("f_profit")).alias("total_profit"),
-        exact_mean(F.col("f_margin"), F.col("f_margins")).alias("avg_margin"),
+        exact_total("f_sales", MONEY).alias("total_sales"),
+        exact_total("f_profit", MONEY).alias("total_profit"),
+        exact_mean("f_margin", PERCENT, "f_margins").alias("avg_margin"),
         F.count("*").alias("orders"),
         F.count_distinct("customer_id").alias("customers"),
         F.coalesce(F.sum("f_outliers"), F.lit(0)).cast("long").alias("outliers"),
@@ -82,24 +89,25 @@ def kpi_cards(summary: DataFrame) -> DataFrame:
 def month_facts(fact_rows: DataFrame) -> DataFrame:
     """Exact sales and profit per month, the base of the three month metrics."""
     return _by(fact_rows, "year_month").agg(
-        F.sum("f_sales").alias("f_sales"), F.sum("f_profit").alias("f_profit")
+        exact_sum("f_sales", MONEY).alias("exact_sales"),
+        exact_sum("f_profit", MONEY).alias("exact_profit"),
     )
 
 
 def monthly_trend(months: DataFrame) -> DataFrame:
     return months.select(
         "year_month",
-        F.coalesce(F.col("f_sales").cast("double"), F.lit(0.0)).alias("sales"),
-        F.coalesce(F.col("f_profit").cast("double"), F.lit(0.0)).alias("profit"),
+        F.coalesce(F.col("exact_sales").cast("double"), F.lit(0.0)).alias("sales"),
+        F.coalesce(F.col("exact_profit").cast("double"), F.lit(0.0)).alias("profit"),
     ).orderBy("year_month")
 
 
 def rolling_3m(months: DataFrame) -> DataFrame:
     """Mean over this and the two months before it that have rows."""
     frame = W.orderBy("year_month").rowsBetween(-2, W.currentRow)
-    mean = F.sum("f_sales").over(frame).cast("double") / F.count("*").over(frame)
+    mean = F.sum("exact_sales").over(frame).cast("double") / F.count("*").over(frame)
     return months.select(
-        "year_month", F.col("f_sales").cast("double").alias("sales"), mean.alias("r3m")
+        "year_month", F.col("exact_sales").cast("double").alias("sales"), mean.alias("r3m")
     ).orderBy("year_month")
 
 
@@ -116,7 +124,7 @@ def mom_growth(months: DataFrame) -> DataFrame:
         .when((before == 0) & (sales > 0), float("inf"))
         .when((before == 0) & (sales < 0), float("-inf"))
     )
-    series = months.select("year_month", F.col("f_sales").cast("double").alias("sales"))
+    series = months.select("year_month", F.col("exact_sales").cast("double").alias("sales"))
     grown = series.withColumn("mom", growth)
     return grown.filter(F.col("mom").isNotNull()).orderBy("year_month")
 
@@ -135,15 +143,15 @@ def mom_growth_label(growth: DataFrame) -> DataFrame:
 
 
 def category_sales(fact_rows: DataFrame) -> DataFrame:
-    grouped_sales = _by(fact_rows, "category").agg(exact_total(F.col("f_sales")).alias("sales"))
+    grouped_sales = _by(fact_rows, "category").agg(exact_total("f_sales", MONEY).alias("sales"))
     return grouped_sales.orderBy("category")
 
 
 def category_share(fact_rows: DataFrame) -> DataFrame:
     """Sales per category and their percentage of all of them."""
-    sums = _by(fact_rows, "category").agg(F.sum("f_sales").alias("f_sales"))
-    whole = F.sum("f_sales").over(W.partitionBy()).cast("double")
-    own = F.col("f_sales").cast("double")
+    sums = _by(fact_rows, "category").agg(exact_sum("f_sales", MONEY).alias("exact_sales"))
+    whole = F.sum("exact_sales").over(W.partitionBy()).cast("double")
+    own = F.col("exact_sales").cast("double")
     return sums.select(
         "category", own.alias("sales"), (F.try_divide(own, whole) * 100).alias("share_pct")
     ).orderBy("category")
@@ -152,15 +160,15 @@ def category_share(fact_rows: DataFrame) -> DataFrame:
 def region_perf(fact_rows: DataFrame) -> DataFrame:
     """Sales and profit per region, smallest sales first."""
     regions = _by(fact_rows, "region").agg(
-        exact_total(F.col("f_sales")).alias("sales"),
-        exact_total(F.col("f_profit")).alias("profit"),
+        exact_total("f_sales", MONEY).alias("sales"),
+        exact_total("f_profit", MONEY).alias("profit"),
     )
     return _numbered(regions, "sales", "region")
 
 
 def top_products(fact_rows: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
     """The n products of most sales, shown from the smallest up."""
-    products = _by(fact_rows, "product").agg(exact_total(F.col("f_sales")).alias("sales"))
+    products = _by(fact_rows, "product").agg(exact_total("f_sales", MONEY).alias("sales"))
     top = products.orderBy(F.desc("sales"), "product").limit(n)
     return _numbered(top, "sales", "product")
 
@@ -187,7 +195,7 @@ def segment_summary(fact_rows: DataFrame) -> DataFrame:
     """Distinct customers and revenue per segment."""
     segments = _by(fact_rows, "customer_segment").agg(
         F.count_distinct("customer_id").alias("customers"),
-        exact_total(F.col("f_sales")).alias("revenue"),
+        exact_total("f_sales", MONEY).alias("revenue"),
     )
     rank = label_rank(F.col("customer_segment"), CUSTOMER_SEGMENTS)
     return segments.withColumn("segment_rank", rank).orderBy("segment_rank", "customer_segment")
@@ -196,7 +204,7 @@ def segment_summary(fact_rows: DataFrame) -> DataFrame:
 def discount_impact(fact_rows: DataFrame) -> DataFrame:
     """Mean margin and orders per discount band that occurs."""
     bands = _by(fact_rows, "discount_band").agg(
-        exact_mean(F.col("f_margin"), F.col("f_margins")).alias("avg_margin"),
+        exact_mean("f_margin", PERCENT, "f_margins").alias("avg_margin"),
         F.sum("f_orders").alias("orders"),
     )
     rank = label_rank(F.col("discount_band"), DISCOUNT_BANDS)

@@ -1,4 +1,5 @@
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,23 @@ def test_date_parts(spark):
     }
     shown = df.select(dates.iso_text(F.col("date")), dates.day_month_year(F.col("date"))).first()
     assert tuple(shown) == ("2024-01-05", "05 Jan 2024")
+
+
+def test_exact_sum_in_parts(spark):
+    amounts = [0.1, -0.1, 0.2, 1e11 + 0.0001, -7.77, -1e11, 123456.7891, None, -0.0001]
+    df = spark.createDataFrame([(x,) for x in amounts], "x double")
+    parts = df.selectExpr(*numeric.exact_parts("x", numeric.MONEY, "f"))
+    total = parts.agg(numeric.exact_sum("f", numeric.MONEY).alias("s")).first().s
+    expected = sum(Decimal(str(round(x, 4))) for x in amounts if x is not None)
+    assert total == expected
+    empty = parts.filter("false").agg(
+        numeric.exact_total("f", numeric.MONEY).alias("t"), numeric.exact_sum("f", 4).alias("s")
+    )
+    assert tuple(empty.first()) == (0.0, None)
+
+
+def test_exact_sum_has_room(spark):
+    """The total would not fit one long of ten-thousandths."""
+    df = spark.range(2000).selectExpr("9e11D AS x")
+    parts = df.selectExpr(*numeric.exact_parts("x", numeric.MONEY, "f"))
+    assert parts.agg(numeric.exact_total("f", numeric.MONEY).alias("t")).first().t == 1.8e15
