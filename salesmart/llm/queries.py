@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import simhash
+from salesmart.llm import bpe, decontamination, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+# The tokenizer file; another place can be named where it is installed elsewhere.
+TOKENIZER = os.environ.get("SALESMART_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+
+
 def query(build: Query) -> Query:
     QUERIES[build.__name__] = build
     return build
@@ -28,3 +33,52 @@ def op7_simhash(spark, sf_dir):
     return found.selectExpr(
         "doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint", "component_id"
     )
+
+
+@query
+def op2_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontamination.mark(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = decontamination.hit_words()
+    return marked.selectExpr(
+        "doc_id", "n_words", f"{n_hit} AS n_hit", "bigint(size(item_ids)) AS n_items",
+        "sha2(concat_ws(',', item_ids), 256) AS items_sha256", "size(runs) > 0 AS contaminated",
+    )
+
+
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+ORACLE_SQL["op2_decontamination"] = f"""
+WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+placed AS (
+    SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+    FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM placed),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+gram AS (
+    SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (
+        SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT r, n, i, item_id FROM gram JOIN win USING (n, s)),
+marked AS (
+    SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM hit)
+    GROUP BY r),
+met AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT r, CAST(item_id AS varchar) AS item FROM hit WHERE item_id IS NOT NULL)
+    GROUP BY r)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN marked USING (r) LEFT JOIN met USING (r)
+"""
+
+
+@query
+def op10_bpe(spark, sf_dir):
+    ids = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+    decoded = ids.withColumn("decoded", bpe.decode(spark, ids["ids"], TOKENIZER))
+    return decoded.selectExpr(
+        "doc_id", "bigint(octet_length(ids) / 4) AS n_tokens", "sha2(ids, 256) AS ids_sha256",
+        "sha2(decoded, 256) AS decoded_sha256",
+    )
