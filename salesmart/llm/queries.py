@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, decontamination, simhash
+from salesmart.llm import bpe, decontamination, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +82,22 @@ def op10_bpe(spark, sf_dir):
         "doc_id", "bigint(octet_length(ids) / 4) AS n_tokens", "sha2(ids, 256) AS ids_sha256",
         "sha2(decoded, 256) AS decoded_sha256",
     )
+
+
+@query
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op3_warc"] = """
+WITH page AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+        sha1(coalesce(html, '')) AS payload_digest FROM pages),
+placed AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000
+        THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM page)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < first THEN first END AS refers_to
+FROM placed
+"""
