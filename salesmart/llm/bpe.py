@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from salesmart.llm.tasks import held, share
 
 # Remembered words and fragments of a worker; beyond this it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+# Documents that a worker returns at a time.
+PART = 200
 # Texts without these need neither composition nor special case folding.
 _WIDE = re.compile("[̀-\U0010ffff]")
 _ASCII_CLASSES = {r"[\p{L}]": "[a-z]", r"[\p{N}]": "[0-9]", r"\p{L}\p{N}": "a-z0-9"}
@@ -179,26 +181,32 @@ def load(path: str) -> WordBpe:
         return WordBpe(file.read())
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` per document; ids are little-endian unsigned 32-bit integers.
 
-    Null and empty texts give no ids; repeated rows each give their row; null
-    ids of documents stay null; other columns are not read. The vocabulary, of
-    a fixed size, is read once on the driver and broadcast.
+    With ``decoded`` also their text, as ``decode`` gives it, made by the same
+    worker. Null and empty texts give no ids; repeated rows each give their row;
+    null ids of documents stay null; other columns are not read. The vocabulary,
+    of a fixed size, is read once on the driver and broadcast.
     """
     shared = share(docs.sparkSession, load(path))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held(shared)
         for batch in batches:
-            ids = [coder.encode(text.as_py() or "") for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"]
-            )
+            # In small parts: ids and Python's texts take many times a text's bytes.
+            for start in range(0, batch.num_rows, PART):
+                part = batch.slice(start, PART)
+                ids = [coder.encode(text.as_py() or "") for text in part.column(1)]
+                made = {"doc_id": part.column(0), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    made["decoded"] = pa.array(map(coder.decode, ids), pa.string())
+                yield pa.RecordBatch.from_pydict(made)
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(make, f"doc_id {kind}, ids binary")
+    more = ", decoded string" if decoded else ""
+    return rows.mapInArrow(make, f"doc_id {kind}, ids binary{more}")
 
 
 def decode(spark, ids: Column, path: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, decontamination, simhash, warc
+from salesmart.llm import bpe, decontamination, embeddings, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,9 +76,8 @@ FROM doc LEFT JOIN marked USING (r) LEFT JOIN met USING (r)
 
 @query
 def op10_bpe(spark, sf_dir):
-    ids = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
-    decoded = ids.withColumn("decoded", bpe.decode(spark, ids["ids"], TOKENIZER))
-    return decoded.selectExpr(
+    ids = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, decoded=True)
+    return ids.selectExpr(
         "doc_id", "bigint(octet_length(ids) / 4) AS n_tokens", "sha2(ids, 256) AS ids_sha256",
         "sha2(decoded, 256) AS decoded_sha256",
     )
@@ -101,3 +100,8 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN page_id < first THEN first END AS refers_to
 FROM placed
 """
+
+
+@query
+def op4_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
