@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesmart.llm import bpe, decontamination, embeddings, simhash, toxicity, warc
+from salesmart.llm import bpe, decontamination, embeddings, pii, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +117,15 @@ def op6_toxicity(spark, sf_dir):
         "doc_id", toxicity.held_out().alias("held_out"), "score",
         (scored["score"] >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op8_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [pii.of_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
