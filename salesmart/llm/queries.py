@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import bpe, decontamination, embeddings, pii, simhash, toxicity, warc
+from salesmart.llm import bpe, decontamination, embeddings, packing, pii, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 # The tokenizer file; another place can be named where it is installed elsewhere.
 TOKENIZER = os.environ.get("SALESMART_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
 
+RANKS = os.environ.get("SALESMART_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def query(build: Query) -> Query:
     QUERIES[build.__name__] = build
@@ -129,3 +131,12 @@ def op8_pii(spark, sf_dir):
         "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op5_packing(spark, sf_dir):
+    packed = packing.pack(table(spark, sf_dir, "documents"), RANKS)
+    return packed.select(
+        "doc_ids", "offsets", "cu_seqlens", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("positions", 256).alias("positions_sha256"),
+    )
