@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import bpe, decontamination, embeddings, packing, pii, simhash, toxicity, warc
+from salesmart.llm import bpe, decontamination, embeddings, packing, pii, scoring, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,3 +140,8 @@ def op5_packing(spark, sf_dir):
         "doc_ids", "offsets", "cu_seqlens", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("positions", 256).alias("positions_sha256"),
     )
+
+
+@query
+def op1_lm_scoring(spark, sf_dir):
+    return scoring.score_corpus(table(spark, sf_dir, "documents"))
