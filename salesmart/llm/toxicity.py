@@ -16,7 +16,7 @@ from salesmart.llm.tasks import held, share
 
 # Labelled documents of each label that the model is fitted to, at most; those
 # with the smallest hashes of their ids, whole texts.
-SAMPLE = 2000
+SAMPLE = 1200
 # Words of a chain; longer texts are several chains.
 CHAIN = 64
 PREFIXES = (3, 4, 5)
