@@ -10,28 +10,54 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from salesmart.llm import simhash  # noqa: E402
+from salesmart.llm import bpe, decontamination, pii, simhash, toxicity  # noqa: E402
+from salesmart.llm.queries import TOKENIZER, table  # noqa: E402
 from salesmart.storage import stage  # noqa: E402
 
 # SQL has neither the models nor the tokenizer.
 ORACLE_SQL = None
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one of the smallest id.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go; the others stay as they are."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
 
-    Of repeated rows with that id one stays, any of them. Documents without an
-    id stay where no document of their component has one.
-    """
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays: the one of the smallest id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", drop_near_duplicates)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark windows are cut out; documents that are mostly benchmark go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by tags; every document stays."""
+    return pii.mask(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, ids_sha256`` per document that is left."""
+    return bpe.encode(docs, TOKENIZER).select(
+        "doc_id", F.expr("bigint(octet_length(ids) / 4)").alias("n_tokens"), "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("pii", mask_personal_data),
+    ("bpe", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.split()[0]).rows
+        docs = stage(step(spark, docs, sf_dir), name).rows
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -230,8 +230,8 @@ def remove_spans(text: str, runs: list[int], longer_than: int) -> str:
     A run goes with the white space and signs up to the next word that stays.
     """
     raw = text.encode("utf-8", "surrogatepass")
-    words = plain(text)
-    starts = np.flatnonzero(np.diff(np.frombuffer(b" " + words, np.uint8) != 32, prepend=0) == 1)
+    inside = (np.frombuffer(b" " + plain(text), np.uint8) != 32).view(np.int8)
+    starts = np.flatnonzero(np.diff(inside) == 1)
     kept, at = [], 0
     for first, end in zip(runs[::2], runs[1::2], strict=True):
         if end - first > longer_than:

@@ -217,3 +217,22 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     least = stage(least, "least").rows
     ids = stage(rooted.join(least, "root").select("fp", "component_id"), "ids").rows
     return made.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+    """Of each component the document of smallest id, in the columns of ``docs``.
+
+    Of rows that repeat an id one stays, the smallest by its columns in order.
+    Rows without an id cannot be told apart by one and all stay.
+    """
+    found = near_duplicates(docs, width, distance)
+    chosen = stage(
+        found.filter("doc_id = component_id").select("doc_id").distinct(), "chosen"
+    ).rows
+    # Rows of equal id meet after each task has cut its own to one.
+    others = [name for name in docs.columns if name != "doc_id"]
+    named = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.struct(*others)).alias("_row")
+    )
+    kept = named.join(chosen, "doc_id", "left_semi").select("doc_id", "_row.*")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
