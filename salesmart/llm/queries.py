@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import bpe, decontamination, embeddings, packing, pii, scoring, simhash, toxicity, warc
+from salesmart.llm import bpe, decontamination, embeddings, packing, pii, repeats, scoring, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,3 +145,13 @@ def op5_packing(spark, sf_dir):
 @query
 def op1_lm_scoring(spark, sf_dir):
     return scoring.score_corpus(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_repeats(spark, sf_dir):
+    found = repeats.remove(table(spark, sf_dir, "documents"))
+    n_removed = "aggregate(runs, 0L, (n, x) -> n + x.end - x.start)"
+    return found.selectExpr(
+        "doc_id", "n_bytes", f"{n_removed} AS n_removed", "bigint(size(runs)) AS n_spans",
+        "sha2(kept, 256) AS kept_sha256",
+    )
