@@ -205,7 +205,8 @@ def _average(trained: DataFrame) -> np.ndarray:
             break
         rows = stage(rows, "networks").rows
     made = sorted(rows.collect(), key=lambda row: row["slice"])
-    return np.concatenate([np.frombuffer(row.total, np.float64) / max(1, row.n) for row in made])
+    means = [np.frombuffer(row.total, np.float64) / max(1, row.n) for row in made]
+    return np.concatenate([*means, np.zeros(0)])
 
 
 def train(docs: DataFrame, words: Vocabulary, passes: int = PASSES) -> Network:

@@ -1,6 +1,6 @@
 import pytest
 
-SF = "/root/testdata/sf0.001"
+
 NASTY = [None, "", " ", "\n\t", "a", "é" * 50, "́\U0001f600 x\u0000y", "word " * 30_000, "x" * 200_000]
 
 

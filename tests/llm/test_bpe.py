@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import tokenizers
 
+from odd_rows import empty, nasty  # noqa: F401
 from salesmart.llm import bpe
 from salesmart.llm.queries import TOKENIZER
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from odd_rows import documents, empty, nasty  # noqa: F401
 from salesmart.llm import decontamination as d
 
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from odd_rows import documents, empty, nasty  # noqa: F401
 from salesmart.llm import packing
 from salesmart.llm.queries import RANKS
 

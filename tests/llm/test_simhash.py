@@ -3,6 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from odd_rows import documents, empty, nasty  # noqa: F401
 from salesmart.llm import graph, simhash
 
 
