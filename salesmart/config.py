@@ -19,6 +19,8 @@ class SalesConfig:
 
     ``numeric`` columns are read as doubles when present; ``positive`` ones must
     also be above zero. ``date_format`` is the one accepted layout of ``date``.
+    Amounts have at most ``money_places`` decimals and percentages
+    ``percent_places``, up to 8; sums raise an error where one has more.
     """
 
     required: tuple[str, ...] = REQUIRED_COLUMNS
@@ -27,3 +29,5 @@ class SalesConfig:
     categories: tuple[str, ...] = CATEGORIES
     regions: tuple[str, ...] = REGIONS
     date_format: str = "yyyy-MM-dd"
+    money_places: int = 4
+    percent_places: int = 2

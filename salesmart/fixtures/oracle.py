@@ -11,13 +11,15 @@ _RAW = """
 raw AS (
     SELECT l_orderkey AS order_id,
            CASE WHEN l_partkey % 101 = 0 THEN NULL ELSE o_custkey END AS customer_id,
-           p_name AS product,
+           CASE WHEN l_partkey % 103 = 0 THEN NULL ELSE p_name END AS product,
            p_type AS category,
            CASE WHEN l_suppkey % 37 = 0 THEN -l_quantity ELSE l_quantity END AS quantity,
            l_extendedprice / l_quantity AS unit_price,
-           l_extendedprice * (1 - l_discount) AS sales,
+           CASE WHEN l_suppkey % 41 = 7 THEN NULL
+                ELSE l_extendedprice * (1 - l_discount)
+                     * CASE WHEN l_orderkey % 211 = 0 THEN 50 ELSE 1 END END AS sales,
            l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice AS profit,
-           CASE WHEN l_partkey % 113 = 0 THEN '2024-02-30'
+           CASE WHEN l_orderkey % 307 = 0 THEN NULL WHEN l_partkey % 113 = 0 THEN '2024-02-30'
                 ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date,
            r_name AS region,
            l_discount * 250 AS discount_pct,
@@ -200,15 +202,19 @@ _RECENT = """recent AS (
 )"""
 
 _OPTIONS = "\nUNION ALL ".join(
-    f"SELECT '{name}' AS filter, '{first}' AS label, 'all' AS value UNION ALL "
-    f"SELECT '{name}', {label}, CAST({name} AS VARCHAR) "
-    f"FROM (SELECT DISTINCT {name} FROM sales)"
-    for name, first, label in (
-        ("year", "All Years", "CAST(year AS VARCHAR)"),
-        ("quarter", "All Quarters", "'Q' || CAST(quarter AS VARCHAR)"),
-        ("category", "All Categories", "category"),
-        ("product", "All Products", "product"),
-        ("region", "All Regions", "region"),
+    f"SELECT {n} AS filter_pos, 0 AS pos, '{name}' AS filter, '{first}' AS label, 'all' AS value "
+    f"UNION ALL SELECT {n}, CAST(row_number() OVER (ORDER BY value) AS INTEGER), '{name}', "
+    f"{label}, value "
+    f"FROM (SELECT DISTINCT CAST({name} AS VARCHAR) AS value FROM sales WHERE {name} IS NOT NULL)"
+    for n, (name, first, label) in enumerate(
+        (
+            ("year", "All Years", "value"),
+            ("quarter", "All Quarters", "'Q' || value"),
+            ("category", "All Categories", "value"),
+            ("product", "All Products", "value"),
+            ("region", "All Regions", "value"),
+        ),
+        start=1,
     )
 )
 
@@ -272,9 +278,19 @@ ORACLE_SQL = {
                    'Dropped ' || n || ' duplicate order_ids' AS message
             FROM (SELECT (SELECT count(*) FROM raw) - (SELECT count(*) FROM deduped) AS n)
             UNION ALL
-            SELECT 2, 'missing_value', n, 'Nulls found: {''customer_id'': ' || c || '}'
+            SELECT 2, 'missing_value', n, 'Nulls found: {' || concat_ws(', ',
+                CASE WHEN c > 0 THEN '''customer_id'': ' || c END,
+                CASE WHEN p > 0 THEN '''product'': ' || p END,
+                CASE WHEN s > 0 THEN '''sales'': ' || s END,
+                CASE WHEN f > 0 THEN '''profit'': ' || f END,
+                CASE WHEN d > 0 THEN '''date'': ' || d END) || '}'
             FROM (SELECT (SELECT count(*) FROM deduped) - (SELECT count(*) FROM complete) AS n,
-                         (SELECT count(*) FROM deduped WHERE customer_id IS NULL) AS c)
+                         count(*) FILTER (customer_id IS NULL) AS c,
+                         count(*) FILTER (product IS NULL) AS p,
+                         count(*) FILTER (sales IS NULL) AS s,
+                         count(*) FILTER (profit IS NULL) AS f,
+                         count(*) FILTER (date IS NULL) AS d
+                  FROM deduped)
             UNION ALL
             SELECT 3, 'non_positive', n, 'Dropped ' || n || ' rows with invalid numeric values'
             FROM (SELECT (SELECT count(*) FROM complete) - (SELECT count(*) FROM positive) AS n)
@@ -421,4 +437,22 @@ ORACLE_SQL = {
         SELECT order_id AS "Order Id", profit_margin_pct AS "Profit Margin Pct",
                profit_tier AS "Profit Tier", year_month AS "Year Month"
         FROM sales"""),
+    # the load run and the dashboard as they are used
+    "tx_load_stamp": _steps("""
+        SELECT order_id, 19 AS stamp_length, true AS is_stamp, true AS is_now FROM clean"""),
+}
+_ENRICHED = (
+    f"{RAW_COLS}, year, month, quarter, month_name, day_of_week, profit_margin_pct, "
+    "revenue_per_unit, profit_tier, customer_segment, is_outlier, year_month"
+)
+_IN_1997 = _SALES.replace("\nsales AS (", "\nall_sales AS (") + (
+    ", sales AS (SELECT * FROM all_sales WHERE year = 1997)"
+)
+ORACLE_SQL |= {
+    "etl_run": _sales(f"SELECT {_ENRICHED} FROM sales"),
+    "etl_report": ORACLE_SQL["dq_issue_report"],
+    "dash_monthly": f"WITH {_IN_1997}, {_MONTHS} SELECT year_month, sales, profit FROM months",
+    "dash_category": ORACLE_SQL["m_category_share"].replace(f"WITH {_SALES}", f"WITH {_IN_1997}"),
+    "dash_kpis": ORACLE_SQL["kpi_cards"].replace(f"WITH {_SALES}", f"WITH {_IN_1997}"),
+    "dash_discount": ORACLE_SQL["m_discount_label"].replace(f"WITH {_SALES}", f"WITH {_IN_1997}"),
 }

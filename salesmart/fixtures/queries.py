@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,6 @@ from salesmart.fixtures.view import (
     RAW_COLUMNS,
     raw_sales,
     read,
-    reduced_sales,
 )
 from salesmart.functions.dates import date_of, iso_text
 from salesmart.functions.text import money, percent
@@ -30,10 +30,11 @@ from salesmart.operators.enrich import (
 )
 from salesmart.operators.facts import facts, with_discount_band
 from salesmart.operators.filters import SalesFilter
-from salesmart.plans.etl import stamped
+from salesmart.plans.etl import run_etl, stamped
+from salesmart.plans.mart import SalesMart
 from salesmart.sinks.table import ensure_database, replace_table, with_text_date
 from salesmart.sources.csv import read_csv_dated
-from salesmart.sources.table import read_or_fallback, read_table
+from salesmart.sources.table import read_table
 from salesmart.storage import fresh_path, stage, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +54,7 @@ def query(build: Query) -> Query:
 
 def after(spark: SparkSession, sf_dir: str, rules: int) -> DataFrame:
     """Rows left by the deduplication and the first so many rules."""
-    raw = reduced_sales(spark, sf_dir)
+    raw = raw_sales(spark, sf_dir)
     rows = quality.validate(raw, FIXTURE_ORDER, FIXTURE_CONFIG, quality.RULES[:rules])
     return rows.select(*RAW_COLUMNS)
 
@@ -80,8 +81,8 @@ def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needed = dict.fromkeys((*FIXTURE_CONFIG.required, *FIXTURE_ORDER, "copies"))
-    raw = reduced_sales(spark, sf_dir).select(*needed)
+    needed = dict.fromkeys((*FIXTURE_CONFIG.required, *FIXTURE_ORDER))
+    raw = raw_sales(spark, sf_dir).select(*needed)
     return quality.judge(raw, FIXTURE_ORDER, FIXTURE_CONFIG)
 
 
@@ -115,9 +116,9 @@ def src_table_scan(spark, sf_dir):
 
 @query
 def src_fallback(spark, sf_dir):
-    return read_or_fallback(
+    return SalesMart(
         spark, f"{SCRATCH}.no_such_table", csv_copy(spark, sf_dir), FIXTURE_CONFIG
-    )
+    ).rows
 
 
 @query
@@ -242,7 +243,15 @@ def tx_outlier_flag(spark, sf_dir):
 
 @query
 def tx_load_stamp(spark, sf_dir):
-    return stamped(clean(spark, sf_dir).select("order_id"))
+    began = F.lit(datetime.now(timezone.utc).replace(microsecond=0, tzinfo=None))
+    stamp = F.col("loaded_at")
+    return stamped(clean(spark, sf_dir).select("order_id")).select(
+        "order_id",
+        F.length(stamp).alias("stamp_length"),
+        stamp.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$").alias("is_stamp"),
+        # The clock of the query, not earlier than when it was built.
+        (F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd HH:mm:ss")) >= began).alias("is_now"),
+    )
 
 
 @query
@@ -343,7 +352,11 @@ def flt_region(spark, sf_dir):
 
 @query
 def flt_date_range(spark, sf_dir):
-    return chosen(spark, sf_dir, start="1996-02-15", end="1997-06-30")
+    """Over the table by year, of which the range skips whole parts."""
+    table = scratch_table(spark)
+    replace_table(sales(spark, sf_dir, *FILTERED, "year"), table, sort_by=["date"])
+    chosen_dates = SalesFilter(start="1996-02-15", end="1997-06-30")
+    return chosen_dates.apply(spark.table(table)).select(*FILTERED)
 
 
 @query
@@ -514,3 +527,49 @@ def fx_title_columns(spark, sf_dir):
     return metrics.titled(
         sales(spark, sf_dir, "order_id", "profit_margin_pct", "profit_tier", "year_month")
     )
+
+
+# --- the load run and the dashboard as they are used -------------------------
+
+
+def load(spark: SparkSession, sf_dir: str):
+    table = scratch_table(spark)
+    return table, run_etl(raw_sales(spark, sf_dir), table, FIXTURE_ORDER, FIXTURE_CONFIG)
+
+
+@query
+def etl_run(spark, sf_dir):
+    table, _ = load(spark, sf_dir)
+    return spark.table(table).drop("loaded_at", *FIXTURE_ORDER)
+
+
+@query
+def etl_report(spark, sf_dir):
+    """The lines of the report, with the place, name and count of each rule."""
+    _, report = load(spark, sf_dir)
+    return spark.createDataFrame(report.lines, "seq int, rule string, n long, message string")
+
+
+def panel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table, _ = load(spark, sf_dir)
+    return SalesMart(spark, table, config=FIXTURE_CONFIG).dashboard(SalesFilter(year=1997))[name]
+
+
+@query
+def dash_monthly(spark, sf_dir):
+    return panel(spark, sf_dir, "monthly")
+
+
+@query
+def dash_category(spark, sf_dir):
+    return panel(spark, sf_dir, "category")
+
+
+@query
+def dash_kpis(spark, sf_dir):
+    return panel(spark, sf_dir, "kpis")
+
+
+@query
+def dash_discount(spark, sf_dir):
+    return panel(spark, sf_dir, "discount")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.config import SalesConfig
-from salesmart.operators.quality import keep_first_counted
+from salesmart.config import REQUIRED_COLUMNS, SalesConfig
 
 FIXTURE_CONFIG = SalesConfig(
     categories=("ECONOMY", "SMALL", "LARGE", "MEDIUM", "STANDARD"),
@@ -16,10 +15,7 @@ FIXTURE_CONFIG = SalesConfig(
 FIXTURE_ORDER = (
     "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate",
 )
-RAW_COLUMNS = (
-    "order_id", "customer_id", "product", "category", "quantity", "unit_price",
-    "sales", "profit", "date", "region", "discount_pct",
-)
+RAW_COLUMNS = (*REQUIRED_COLUMNS, "discount_pct")
 
 
 # Columns the feed is made of; naming them saves reading file footers first.
@@ -61,13 +57,19 @@ def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALES_EXPRESSIONS = {
     "order_id": "l_orderkey",
     "customer_id": "CASE WHEN l_partkey % 101 <> 0 THEN o_custkey END",
-    "product": "p_name",
+    "product": "CASE WHEN l_partkey % 103 <> 0 THEN p_name END",
     "category": "p_type",
     "quantity": "CASE WHEN l_suppkey % 37 = 0 THEN -l_quantity ELSE l_quantity END",
     "unit_price": "l_extendedprice / l_quantity",
-    "sales": "l_extendedprice * (1 - l_discount)",
+    "sales": (
+        "CASE WHEN l_suppkey % 41 <> 7 THEN "
+        "l_extendedprice * (1 - l_discount) * IF(l_orderkey % 211 = 0, 50, 1) END"
+    ),
     "profit": "l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice",
-    "date": "CASE WHEN l_partkey % 113 = 0 THEN '2024-02-30' ELSE o_day END",
+    "date": (
+        "CASE WHEN l_orderkey % 307 = 0 THEN NULL "
+        "WHEN l_partkey % 113 = 0 THEN '2024-02-30' ELSE o_day END"
+    ),
     "region": "r_name",
     "discount_pct": "l_discount * 250",
 }
@@ -87,17 +89,3 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = placed_orders(spark, sf_dir)
     joined = lines(spark, sf_dir).join(orders, F.expr("l_orderkey = o_orderkey"))
     return _as_sales(joined, *FIXTURE_ORDER)
-
-
-def reduced_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows of which only the first line per order was joined to its order.
-
-    The deduplication keeps the same rows from these as from all raw rows:
-    whether a line finds its order and region depends on the order alone. Done
-    here, each map task first cuts its own lines to one per order, an order of
-    many lines stays small in the join, and the big join carries fewer rows.
-    ``copies`` says how many lines a row stands for.
-    """
-    first = keep_first_counted(lines(spark, sf_dir).drop("p_partkey"), FIXTURE_ORDER, "l_orderkey")
-    joined = first.join(placed_orders(spark, sf_dir), F.expr("l_orderkey = o_orderkey"))
-    return _as_sales(joined, *FIXTURE_ORDER, "copies")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Decimals that sums carry: of money, of percentages.
-MONEY = 4
-PERCENT = 2
-# Bits of the low part of a number that is summed in two parts.
+# Sums are kept in whole units of this many decimals.
+PLACES = 8
+# Bits of the low part of a whole number that is summed in two parts.
 LOW_BITS = 20
+# Parts of a summed number.
+PARTS = ("high", "low", "fraction")
 
 
 def finite(value: Column) -> Column:
@@ -32,31 +33,45 @@ def half_even(value: Column, places: int) -> Column:
     return F.rint(value * scale) / scale
 
 
-def exact_parts(column: str, decimals: int, name: str) -> list[str]:
-    """SQL of a double as whole units of its last decimal, in a high and a low part.
+def exact_parts(column: str, places: int, name: str) -> list[str]:
+    """SQL of a double as three whole numbers: two of its whole part, one of its fraction.
 
     Whole numbers add up to the same sum in any order, and long additions stay
-    in generated code, which decimal ones do not. Each part alone has room for
-    a million million rows; beyond that the sum is an error, not a wrong value.
+    in generated code, which decimal ones do not. The whole part is taken before
+    anything is multiplied, so every double below 2^63 has its parts; each part
+    has room for 10^10 rows and more, and beyond that the sum is an error, not a
+    wrong value. A value that has more than ``places`` decimals, beyond what its
+    own precision as a double explains, is an error as well: it is never cut.
     """
-    units = f"bigint(rint(`{column}` * {10**decimals}D))"
+    if not 0 <= places <= PLACES:
+        raise ValueError(f"Sums carry 0 to {PLACES} decimals, not {places}")
+    x = f"`{column}`"
+    whole = f"double(floor({x}))"
+    scaled = f"(({x} - {whole}) * {10**places}D)"
+    high = f"floor({x} / {1 << LOW_BITS}D)"
+    off = f"abs({scaled} - rint({scaled})) > 0.01D + abs({x}) * {10**places * 2.0**-50!r}D"
+    message = f"concat('{column} has more than {places} decimals: ', {x})"
     return [
-        f"shiftright({units}, {LOW_BITS}) AS {name}_high",
-        f"{units} & {(1 << LOW_BITS) - 1}L AS {name}_low",
+        f"{high} AS {name}_high",
+        f"bigint({whole} - {high} * {1 << LOW_BITS}D) AS {name}_low",
+        f"IF({off}, bigint(raise_error({message})), bigint(rint({scaled})) * {10 ** (PLACES - places)}L) "
+        f"AS {name}_fraction",
     ]
 
 
-def exact_sum(name: str, decimals: int) -> Column:
+def exact_sum(name: str) -> Column:
     """Sum of a number kept in parts, as a decimal; NULL over no values."""
-    units = f"sum({name}_high) * {1 << LOW_BITS}BD + sum({name}_low)"
-    return F.expr(f"({units}) * {10**-decimals:.{decimals}f}BD")
+    high, low, fraction = (f"sum({name}_{part})" for part in PARTS)
+    return F.expr(
+        f"({high} * {1 << LOW_BITS}BD + {low}) + {fraction} * {10**-PLACES:.{PLACES}f}BD"
+    )
 
 
-def exact_total(name: str, decimals: int) -> Column:
+def exact_total(name: str) -> Column:
     """The same as a double; 0 over no values."""
-    return F.coalesce(exact_sum(name, decimals).cast("double"), F.lit(0.0))
+    return F.coalesce(exact_sum(name).cast("double"), F.lit(0.0))
 
 
-def exact_mean(name: str, decimals: int, n: str) -> Column:
+def exact_mean(name: str, n: str) -> Column:
     """The sum divided by a summed count, as a double; NULL over no values."""
-    return F.try_divide(exact_sum(name, decimals).cast("double"), F.sum(n).cast("double"))
+    return F.try_divide(exact_sum(name).cast("double"), F.sum(n).cast("double"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The filters in their order, and their first entries.
@@ -24,20 +25,30 @@ def date_bounds(df: DataFrame) -> DataFrame:
 
 
 def filter_options(df: DataFrame) -> DataFrame:
-    """Every filter's choices as (filter, label, value), led by its ``all`` entry.
+    """Every filter's choices as (filter, label, value), in the order to show them.
 
-    One pass: the five columns are unpivoted and made distinct, which each task
-    does for its own rows before the shuffle.
+    ``filter_pos`` numbers the filters, ``pos`` the choices of one: its ``all``
+    entry is 0, the others follow by value. Combinations are made distinct, by
+    each task for its own rows before the shuffle, and only then unpivoted.
     """
-    texts = df.select(*[F.col(name).cast("string").alias(name) for name in FILTERS])
+    texts = df.select(*[F.col(name).cast("string").alias(name) for name in FILTERS]).distinct()
     values = texts.unpivot([], list(FILTERS), "filter", "value")
     values = values.filter(F.col("value").isNotNull()).distinct()
     label = F.when(F.col("filter") == "quarter", F.concat(F.lit("Q"), "value")).otherwise(
         F.col("value")
     )
+    place = F.row_number().over(W.partitionBy("filter").orderBy("value"))
+    names = F.array(*[F.lit(name) for name in FILTERS])
+    chosen = values.select(
+        F.array_position(names, F.col("filter")).cast("int").alias("filter_pos"),
+        place.alias("pos"), "filter", label.alias("label"), "value",
+    )
     first_entries = [
-        F.struct(F.lit(name).alias("filter"), F.lit(text).alias("label"), F.lit("all").alias("value"))
-        for name, text in FILTERS.items()
+        F.struct(
+            F.lit(n).alias("filter_pos"), F.lit(0).alias("pos"), F.lit(name).alias("filter"),
+            F.lit(text).alias("label"), F.lit("all").alias("value"),
+        )
+        for n, (name, text) in enumerate(FILTERS.items(), start=1)
     ]
     everything = df.sparkSession.range(1).select(F.inline(F.array(*first_entries)))
-    return everything.unionByName(values.select("filter", label.alias("label"), "value"))
+    return everything.unionByName(chosen).orderBy("filter_pos", "pos")

@@ -11,7 +11,7 @@ from salesmart.functions.bins import customer_segment, profit_tier
 from salesmart.functions.dates import DATE_PARTS, date_part
 from salesmart.functions.numeric import half_even
 
-# Derived columns in table order, each with the row columns it is made from.
+# The derived columns in table order, each with the row columns it is made from.
 DERIVED = {
     "year": ("date",),
     "month": ("date",),
@@ -66,6 +66,7 @@ def customer_orders(
     name: str = "customer_orders",
     hot_share: int = HOT_SHARE,
     hot_floor: int = HOT_FLOOR,
+    total: int | None = None,
 ) -> DataFrame:
     """Each row with its customer's number of orders; NULL without a customer.
 
@@ -79,7 +80,7 @@ def customer_orders(
     rows where they are when all counts are small enough to broadcast.
     """
     counts = customer_counts(rows) if counts is None else counts
-    total = rows.agg(F.count("*")).scalar()
+    total = rows.agg(F.count("*")).scalar() if total is None else F.lit(total)
     is_hot = (F.col("_rows") > hot_floor) & (F.col("_rows") * hot_share > total)
     hot = counts.filter(is_hot).select(
         F.col("_customer").alias("_hot_customer"), F.col("_orders").alias("_hot_orders")
@@ -119,17 +120,20 @@ def outlier_flag(rows: DataFrame, column: str = "sales") -> Column:
 
 
 def enrich(
-    rows: DataFrame, only: Iterable[str] = tuple(DERIVED), counts: DataFrame | None = None
+    rows: DataFrame,
+    only: Iterable[str] = tuple(DERIVED),
+    counts: DataFrame | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Clean rows with their derived columns, by default all of them.
 
     ``customer_segment`` and ``is_outlier`` depend on all rows and read them
     again: hand in a staged copy when asking for these, and staged
-    ``customer_counts`` for the first.
+    ``customer_counts`` and the number of rows, where known, for the first.
     """
     wanted = [name for name in DERIVED if name in set(only)]
     segmented = "customer_segment" in wanted
-    counted = customer_orders(rows, counts, "_customer_orders") if segmented else rows
+    counted = customer_orders(rows, counts, "_customer_orders", total=total) if segmented else rows
 
     def column(name: str) -> Column:
         if name in DATE_PARTS:

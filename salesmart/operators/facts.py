@@ -7,22 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesmart.config import SalesConfig
 from salesmart.functions.bins import discount_band
-from salesmart.functions.numeric import MONEY, PERCENT, exact_parts
+from salesmart.functions.numeric import exact_parts
 
 # Keys of small, bounded domain by which most panels are grouped.
 CUBE_KEYS = ("year_month", "category", "region", "profit_tier", "discount_band")
-# Facts by the row column they come from; amounts are in two parts each.
-FACTS = {
-    "sales": exact_parts("sales", MONEY, "f_sales"),
-    "profit": exact_parts("profit", MONEY, "f_profit"),
-    "profit_margin_pct": [
-        *exact_parts("profit_margin_pct", PERCENT, "f_margin"),
-        "bigint(profit_margin_pct IS NOT NULL) AS f_margins",
-    ],
-    "order_id": ["bigint(order_id IS NOT NULL) AS f_orders"],
-    "is_outlier": ["bigint(is_outlier) AS f_outliers"],
-}
+
+
+def _builders(config: SalesConfig) -> dict[str, list[str]]:
+    """Facts by the row column they come from; amounts are in parts each."""
+    money, percent = config.money_places, config.percent_places
+    return {
+        "sales": exact_parts("sales", money, "f_sales"),
+        "profit": exact_parts("profit", money, "f_profit"),
+        "profit_margin_pct": [
+            *exact_parts("profit_margin_pct", percent, "f_margin"),
+            "bigint(profit_margin_pct IS NOT NULL) AS f_margins",
+        ],
+        "order_id": ["bigint(order_id IS NOT NULL) AS f_orders"],
+        "is_outlier": ["bigint(is_outlier) AS f_outliers"],
+    }
+
+
+# The names of all facts; a feed has no such columns.
+FACT_NAMES = tuple(
+    text.rsplit(" AS ", 1)[1] for texts in _builders(SalesConfig()).values() for text in texts
+)
 
 
 def with_discount_band(rows: DataFrame) -> DataFrame:
@@ -31,18 +42,21 @@ def with_discount_band(rows: DataFrame) -> DataFrame:
     return rows.withColumn("discount_band", discount_band(F.col("discount_pct")))
 
 
-def facts(rows: DataFrame) -> DataFrame:
+def facts(rows: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     """Rows with additive fact columns, for those inputs that are there.
 
     Facts are whole numbers, so metrics come out the same from rows and from any
-    pre-aggregation of them.
+    pre-aggregation of them. A feed's own column of a fact's name is an error.
     """
     present = set(rows.columns)
-    made = [text for source, texts in FACTS.items() if source in present for text in texts]
+    taken = sorted(present & set(FACT_NAMES))
+    if taken:
+        raise ValueError(f"Columns with names of facts: {taken}")
+    made = [text for name, texts in _builders(config).items() if name in present for text in texts]
     return rows.selectExpr("*", *made)
 
 
 def cube(fact_rows: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
     """Facts summed per combination of keys: one scan that feeds many metrics."""
-    present = [name for name in fact_rows.columns if name.startswith("f_")]
+    present = [name for name in fact_rows.columns if name in FACT_NAMES]
     return fact_rows.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in present])

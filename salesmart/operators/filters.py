@@ -55,7 +55,15 @@ class SalesFilter:
             chosen.append(F.col("date").between(F.lit(first), F.lit(last)))
         return chosen
 
+    def years(self) -> Column | None:
+        """What a date range says about ``year``: it lets whole partitions be skipped."""
+        if self.start and self.end:
+            first, last = _first_day(self.start), _last_day(self.end)
+            return F.col("year").between(first.year, last.year)
+        return None
+
     def apply(self, df: DataFrame) -> DataFrame:
         for condition in self.conditions():
             df = df.filter(condition)
-        return df
+        years = self.years()
+        return df if years is None or "year" not in df.columns else df.filter(years)

@@ -7,6 +7,8 @@ over a finished top list, all of them small by their domain.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,17 +21,17 @@ from salesmart.functions.bins import (
 )
 from salesmart.functions.dates import day_month_year
 from salesmart.functions.numeric import (
-    MONEY,
-    PERCENT,
     exact_mean,
     exact_sum,
     exact_total,
     half_even,
 )
 from salesmart.functions.text import grouped, money, percent, signed_percent, title
+from salesmart.operators.facts import FACT_NAMES
 
 TOP_PRODUCTS = 10
 RECENT_ROWS = 20
+# The columns of the recent rows, in order.
 RECENT_COLUMNS = (
     "order_id", "customer_id", "product", "category", "sales", "profit",
     "profit_margin_pct", "region", "date", "profit_tier", "customer_segment",
@@ -49,12 +51,31 @@ def _numbered(df: DataFrame, *order: Column | str) -> DataFrame:
 
 def kpi_summary(fact_rows: DataFrame) -> DataFrame:
     """One row of totals; zeros and a missing margin over no rows."""
-    totals = fact_rows.agg(
-        exact_total("f_sales", MONEY).alias("total_sales"),
-        exact_total("f_profit", MONEY).alias("total_profit"),
-        exact_mean("f_margin", PERCENT, "f_margins").alias("avg_margin"),
-        F.count("*").alias("orders"),
-        F.count_distinct("customer_id").alias("customers"),
+    return _kpis(fact_rows, F.count("*"), F.count_distinct("customer_id"))
+
+
+def segment_facts(fact_rows: DataFrame) -> DataFrame:
+    """Facts, rows and customers per segment, the base of two panels."""
+    sums = [F.sum(name).alias(name) for name in fact_rows.columns if name in FACT_NAMES]
+    return fact_rows.groupBy("customer_segment").agg(
+        *sums, F.count("*").alias("rows"), F.count_distinct("customer_id").alias("customers")
+    )
+
+
+def kpi_of_segments(segments: DataFrame) -> DataFrame:
+    """``kpi_summary`` from ``segment_facts``. A customer has one segment, as it
+    has one number of orders, so customers add up over segments."""
+    whole = [F.coalesce(F.sum(name), F.lit(0)) for name in ("rows", "customers")]
+    return _kpis(segments, *whole)
+
+
+def _kpis(rows: DataFrame, orders: Column, customers: Column) -> DataFrame:
+    totals = rows.agg(
+        exact_total("f_sales").alias("total_sales"),
+        exact_total("f_profit").alias("total_profit"),
+        exact_mean("f_margin", "f_margins").alias("avg_margin"),
+        orders.alias("orders"),
+        customers.alias("customers"),
         F.coalesce(F.sum("f_outliers"), F.lit(0)).cast("long").alias("outliers"),
     )
     per_order = F.coalesce(F.try_divide("total_sales", "orders"), F.lit(0.0))
@@ -70,6 +91,7 @@ def kpi_cards(summary: DataFrame) -> DataFrame:
             value.alias("value"), sub.alias("sub"),
         )
 
+    # The headings and sub-labels.
     cards = [
         card(1, "Total Revenue", money(F.col("total_sales")),
              F.concat(grouped(F.col("orders")), F.lit(" orders"))),
@@ -89,16 +111,17 @@ def kpi_cards(summary: DataFrame) -> DataFrame:
 def month_facts(fact_rows: DataFrame) -> DataFrame:
     """Exact sales and profit per month, the base of the three month metrics."""
     return _by(fact_rows, "year_month").agg(
-        exact_sum("f_sales", MONEY).alias("exact_sales"),
-        exact_sum("f_profit", MONEY).alias("exact_profit"),
+        # A month with missing amounts only has the sum 0.
+        F.coalesce(exact_sum("f_sales"), F.lit(0)).alias("exact_sales"),
+        F.coalesce(exact_sum("f_profit"), F.lit(0)).alias("exact_profit"),
     )
 
 
 def monthly_trend(months: DataFrame) -> DataFrame:
     return months.select(
         "year_month",
-        F.coalesce(F.col("exact_sales").cast("double"), F.lit(0.0)).alias("sales"),
-        F.coalesce(F.col("exact_profit").cast("double"), F.lit(0.0)).alias("profit"),
+        F.col("exact_sales").cast("double").alias("sales"),
+        F.col("exact_profit").cast("double").alias("profit"),
     ).orderBy("year_month")
 
 
@@ -143,13 +166,15 @@ def mom_growth_label(growth: DataFrame) -> DataFrame:
 
 
 def category_sales(fact_rows: DataFrame) -> DataFrame:
-    grouped_sales = _by(fact_rows, "category").agg(exact_total("f_sales", MONEY).alias("sales"))
+    grouped_sales = _by(fact_rows, "category").agg(exact_total("f_sales").alias("sales"))
     return grouped_sales.orderBy("category")
 
 
 def category_share(fact_rows: DataFrame) -> DataFrame:
     """Sales per category and their percentage of all of them."""
-    sums = _by(fact_rows, "category").agg(exact_sum("f_sales", MONEY).alias("exact_sales"))
+    sums = _by(fact_rows, "category").agg(
+        F.coalesce(exact_sum("f_sales"), F.lit(0)).alias("exact_sales")
+    )
     whole = F.sum("exact_sales").over(W.partitionBy()).cast("double")
     own = F.col("exact_sales").cast("double")
     return sums.select(
@@ -160,15 +185,15 @@ def category_share(fact_rows: DataFrame) -> DataFrame:
 def region_perf(fact_rows: DataFrame) -> DataFrame:
     """Sales and profit per region, smallest sales first."""
     regions = _by(fact_rows, "region").agg(
-        exact_total("f_sales", MONEY).alias("sales"),
-        exact_total("f_profit", MONEY).alias("profit"),
+        exact_total("f_sales").alias("sales"),
+        exact_total("f_profit").alias("profit"),
     )
     return _numbered(regions, "sales", "region")
 
 
 def top_products(fact_rows: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
     """The n products of most sales, shown from the smallest up."""
-    products = _by(fact_rows, "product").agg(exact_total("f_sales", MONEY).alias("sales"))
+    products = _by(fact_rows, "product").agg(exact_total("f_sales").alias("sales"))
     top = products.orderBy(F.desc("sales"), "product").limit(n)
     return _numbered(top, "sales", "product")
 
@@ -193,9 +218,13 @@ def profit_tier_label(tiers: DataFrame) -> DataFrame:
 
 def segment_summary(fact_rows: DataFrame) -> DataFrame:
     """Distinct customers and revenue per segment."""
-    segments = _by(fact_rows, "customer_segment").agg(
-        F.count_distinct("customer_id").alias("customers"),
-        exact_total("f_sales", MONEY).alias("revenue"),
+    return segment_panel(segment_facts(fact_rows))
+
+
+def segment_panel(facts_by_segment: DataFrame) -> DataFrame:
+    """``segment_summary`` from ``segment_facts``."""
+    segments = _by(facts_by_segment, "customer_segment").agg(
+        F.sum("customers").alias("customers"), exact_total("f_sales").alias("revenue")
     )
     rank = label_rank(F.col("customer_segment"), CUSTOMER_SEGMENTS)
     return segments.withColumn("segment_rank", rank).orderBy("segment_rank", "customer_segment")
@@ -204,7 +233,7 @@ def segment_summary(fact_rows: DataFrame) -> DataFrame:
 def discount_impact(fact_rows: DataFrame) -> DataFrame:
     """Mean margin and orders per discount band that occurs."""
     bands = _by(fact_rows, "discount_band").agg(
-        exact_mean("f_margin", PERCENT, "f_margins").alias("avg_margin"),
+        exact_mean("f_margin", "f_margins").alias("avg_margin"),
         F.sum("f_orders").alias("orders"),
     )
     rank = label_rank(F.col("discount_band"), DISCOUNT_BANDS)
@@ -244,6 +273,6 @@ def titled(df: DataFrame) -> DataFrame:
     return df.toDF(*[title(name) for name in df.columns])
 
 
-def records(df: DataFrame) -> list[dict]:
-    """Rows as name/value records, for results that are a short list already."""
-    return [row.asDict() for row in df.collect()]
+def records(df: DataFrame) -> Iterator[dict]:
+    """Rows as name/value records, one partition at a time on the driver."""
+    return (row.asDict() for row in df.toLocalIterator())

@@ -23,11 +23,16 @@ UNKNOWN_CATEGORY = "unknown_category"
 UNKNOWN_REGION = "unknown_region"
 BAD_DATE = "bad_date"
 CLEAN = "clean"
-JUDGE_COLUMNS = ("verdict", "copies", "missing_bits")
+# Columns of a judged frame. The names are reserved: a feed must not have them.
+VERDICT, COPIES, BITS = "__judge_verdict", "__judge_copies", "__judge_missing"
+JUDGE_COLUMNS = (VERDICT, COPIES, BITS)
 
 
 def require_columns(df: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
-    """The frame itself, or an error that names every missing column."""
+    """The frame itself, or an error that names every missing or reserved column."""
+    reserved = [name for name in df.columns if name in JUDGE_COLUMNS]
+    if reserved:
+        raise ValueError(f"Reserved columns: {reserved}")
     missing = [name for name in config.required if name not in df.columns]
     if missing:
         raise ValueError(f"Missing columns: {missing}")
@@ -55,25 +60,25 @@ def keep_first(df: DataFrame, order: Sequence[str] = INGEST_ORDER, key: str = KE
     a large share of the rows does not load one reducer.
     """
     place = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
+    return df.withColumn("__place", place).filter(F.col("__place") == 1).drop("__place")
 
 
 def keep_first_counted(
     df: DataFrame, order: Sequence[str] = INGEST_ORDER, key: str = KEY
 ) -> DataFrame:
-    """``keep_first`` with the number of rows per key as ``copies``, in one pass.
+    """``keep_first`` with the number of rows per key as ``COPIES``, in one pass.
 
-    Rows that already stand for several, by a ``copies`` column, count as such.
-    The aggregate carries whole rows, so unneeded columns are not pruned: hand
-    in those that are wanted, and none that cannot be compared (maps).
+    The columns stay in their order. The aggregate carries whole rows, so
+    unneeded columns are not pruned: hand in those that are wanted, and none
+    that cannot be compared (maps).
     """
-    others = [name for name in df.columns if name not in (key, "copies", *order)]
-    copies = F.sum("copies") if "copies" in df.columns else F.count("*")
+    others = [name for name in df.columns if name not in (key, *order)]
     # The smallest row by the order columns; they come first in the comparison.
     first = F.min(F.struct(*order, *others))
-    kept = df.groupBy(key).agg(first.alias("_row"), copies.alias("copies"))
-    # The key itself, not its copy in the row: the result stays partitioned by it.
-    return kept.select(key, "_row.*", "copies")
+    kept = df.groupBy(key).agg(first.alias("__row"), F.count("*").alias(COPIES))
+    # The key itself, not a copy in the row: the result stays partitioned by it.
+    columns = [F.col(f"`{n}`") if n == key else F.col(f"__row.`{n}`").alias(n) for n in df.columns]
+    return kept.select(*columns, COPIES)
 
 
 # --- rules as predicates -----------------------------------------------------
@@ -148,28 +153,39 @@ def validate(
 def judge(
     df: DataFrame, order: Sequence[str] = INGEST_ORDER, config: SalesConfig = SalesConfig()
 ) -> DataFrame:
-    """First row per order with ``copies`` and the first rule it breaks.
+    """First row per order with its number of copies and the first rule it breaks.
 
-    ``verdict`` is the name of that rule or ``clean``; ``missing_bits`` tells the
-    missing columns. Rejected rows stay, with ``date`` as it came in.
+    ``VERDICT`` is the name of that rule or ``clean``, ``BITS`` tells the missing
+    columns. Rejected rows stay, with ``date`` as it came in; all columns of the
+    feed stay in their order.
     """
     rows = df.transform(require_columns, config).transform(typed, config)
     rows = keep_first_counted(rows, order).drop(*INGEST_ORDER)
-    rows = rows.withColumn("missing_bits", missing_bits(config))
+    rows = rows.withColumn(BITS, missing_bits(config))
     verdict = (
-        F.when(F.col("missing_bits") != 0, MISSING)
+        F.when(F.col(BITS) != 0, MISSING)
         .when(has_non_positive(config), NON_POSITIVE)
         .when(bad_category(config), UNKNOWN_CATEGORY)
         .when(bad_region(config), UNKNOWN_REGION)
         .when(date_of(rows, "date", config.date_format).isNull(), BAD_DATE)
         .otherwise(CLEAN)
     )
-    return rows.withColumn("verdict", verdict)
+    return rows.withColumn(VERDICT, verdict)
+
+
+def without_rejected(judged: DataFrame) -> DataFrame:
+    """Judged rows of which the rejected ones keep only what the report reads."""
+    kept = (*JUDGE_COLUMNS, "region")
+    return judged.select(*[
+        F.col(f"`{name}`") if name in kept
+        else F.when(F.col(VERDICT) == CLEAN, F.col(f"`{name}`")).alias(name)
+        for name in judged.columns
+    ])
 
 
 def clean_rows(judged: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     """The accepted rows of a judged frame, ``date`` parsed."""
-    kept = judged.filter(F.col("verdict") == CLEAN).drop(*JUDGE_COLUMNS)
+    kept = judged.filter(F.col(VERDICT) == CLEAN).drop(*JUDGE_COLUMNS)
     return kept.withColumn("date", date_of(kept, "date", config.date_format))
 
 
@@ -188,20 +204,20 @@ def tally(judged: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     Of a staged copy it reads the three judge columns and the region only.
     """
     nulls = ", ".join(
-        f"count_if((missing_bits & {1 << n}L) <> 0) AS `{name}`"
+        f"count_if(({BITS} & {1 << n}L) <> 0) AS `{name}`"
         for n, name in enumerate(config.required)
     )
     dropped = (MISSING, NON_POSITIVE, UNKNOWN_CATEGORY, BAD_DATE)
     # The region rule reports every unknown region it met, also on rows that
     # the category rule had already taken out.
-    met = F.col("verdict").isin(UNKNOWN_CATEGORY, UNKNOWN_REGION, BAD_DATE, CLEAN)
+    met = F.col(VERDICT).isin(UNKNOWN_CATEGORY, UNKNOWN_REGION, BAD_DATE, CLEAN)
     return judged.agg(
-        F.expr("coalesce(sum(copies), 0) AS rows_in"),
+        F.expr(f"coalesce(sum({COPIES}), 0) AS rows_in"),
         F.expr("count(*) AS rows_kept"),
         F.expr(f"struct({nulls}) AS missing"),
-        *[F.expr(f"count_if(verdict = '{rule}') AS {rule}") for rule in dropped],
+        *[F.expr(f"count_if({VERDICT} = '{rule}') AS {rule}") for rule in dropped],
         F.count_if(met & bad_region(config)).alias(UNKNOWN_REGION),
-        F.expr(f"count_if(verdict = '{CLEAN}') AS rows_clean"),
+        F.expr(f"count_if({VERDICT} = '{CLEAN}') AS rows_clean"),
     )
 
 

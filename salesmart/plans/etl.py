@@ -14,7 +14,7 @@ from salesmart.functions.dates import load_stamp
 from salesmart.operators import quality
 from salesmart.operators.audit import audit_formatted, audit_summary
 from salesmart.operators.enrich import customer_counts, enrich
-from salesmart.sinks.table import WriteReport, replace_table
+from salesmart.sinks.table import CatalogSink, JdbcSink, WriteReport
 from salesmart.sources.csv import INGEST_ORDER
 from salesmart.storage import Staged, stage
 
@@ -30,6 +30,7 @@ class EtlReport:
     rows_clean: int
     rows_dropped: int
     issues: list[str]
+    lines: list[tuple[int, str, int, str]]
     written: WriteReport
     audit: dict
     audit_text: dict
@@ -42,19 +43,22 @@ def stamped(df: DataFrame) -> DataFrame:
 
 def run_etl(
     raw: DataFrame,
-    table: str,
+    sink: str | CatalogSink | JdbcSink,
     order: Sequence[str] = INGEST_ORDER,
     config: SalesConfig = SalesConfig(),
 ) -> EtlReport:
-    """Load raw rows into ``table`` and report.
+    """Load raw rows into a catalog table, by its name, or another sink and report.
 
     The raw rows are read and shuffled once. What the rules made of them is
     staged; the report, the customer counts, the outlier limit and the enriched
     rows are then read from that columnar copy, each with its own columns only.
-    Errors are logged and raised again.
+    The totals are taken from the new rows before anybody sees them. Errors are
+    logged and raised again.
     """
     start = time.monotonic()
-    log.info("Load of %s started", table)
+    sink = CatalogSink(sink) if isinstance(sink, str) else sink
+    log.info("Load of %s started", sink.table)
+    audited: list[DataFrame] = []
     staged: list[Staged] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -62,7 +66,7 @@ def run_etl(
         return staged[-1].rows
 
     try:
-        judged = keep(quality.judge(raw, order, config), "judged")
+        judged = keep(quality.without_rejected(quality.judge(raw, order, config)), "judged")
         tallied = keep(quality.tally(judged, config), "tally")
         totals = quality.row_totals(tallied).first()
         # At most one line per rule.
@@ -71,24 +75,29 @@ def run_etl(
             log.warning(line.message)
         clean = quality.clean_rows(judged, config)
         counts = keep(customer_counts(clean), "customers")
-        written = replace_table(stamped(enrich(clean, counts=counts)), table)
-        summary = keep(audit_summary(raw.sparkSession.table(table)), "audit")
+        enriched = enrich(clean, counts=counts, total=totals.rows_clean)
+        written = sink.write(
+            stamped(enriched),
+            lambda rows: audited.append(keep(audit_summary(rows, config), "audit")),
+        )
+        summary = audited[0]
         report = EtlReport(
             rows_in=totals.rows_in,
             columns_in=len([name for name in raw.columns if name not in INGEST_ORDER]),
             rows_clean=totals.rows_clean,
             rows_dropped=totals.rows_dropped,
             issues=[line.message for line in lines],
+            lines=[(line.seq, line.rule, line.n, line.message) for line in lines],
             written=written,
             audit=summary.first().asDict(),
             audit_text=audit_formatted(summary).first().asDict(),
             elapsed_s=time.monotonic() - start,
         )
     except Exception:
-        log.exception("Load of %s failed", table)
+        log.exception("Load of %s failed", sink.table)
         raise
     finally:
         for copy in staged:
             copy.release()
-    log.info("Load of %s done in %.2fs: %s", table, report.elapsed_s, report.audit_text)
+    log.info("Load of %s done in %.2fs: %s", sink.table, report.elapsed_s, report.audit_text)
     return report

@@ -6,27 +6,29 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from salesmart.config import SalesConfig
 from salesmart.operators import dimensions, metrics
 from salesmart.operators.facts import CUBE_KEYS, cube, facts, with_discount_band
 from salesmart.operators.filters import SalesFilter
-from salesmart.sources.table import read_table
+from salesmart.sources.table import Loader, table_loader, with_fallback
 
 
 @dataclass(frozen=True)
 class Dashboard:
     """One lazy result per panel.
 
-    The panels grouped by small keys share one cached cube; ``close`` frees it.
+    The panels grouped by small keys share cached aggregates; ``close`` frees them.
     """
 
-    shared: DataFrame
+    shared: tuple[DataFrame, ...]
     panels: dict[str, DataFrame]
 
     def __getitem__(self, panel: str) -> DataFrame:
         return self.panels[panel]
 
     def close(self) -> None:
-        self.shared.unpersist()
+        for frame in self.shared:
+            frame.unpersist()
 
 
 class SalesMart:
@@ -36,15 +38,27 @@ class SalesMart:
     are pushed to the files.
     """
 
-    def __init__(self, spark: SparkSession, table: str = "sales"):
+    def __init__(
+        self,
+        spark: SparkSession,
+        source: str | Loader = "sales",
+        fallback_csv: str | None = None,
+        config: SalesConfig = SalesConfig(),
+        *,
+        multi_line: bool = False,
+    ):
+        """``source`` is a catalog table's name or any loader, as of a database
+        table; ``fallback_csv`` is read where the source cannot be."""
         self.spark = spark
-        self.table = table
+        self.config = config
+        self.load = table_loader(source) if isinstance(source, str) else source
+        if fallback_csv is not None:
+            self.load = with_fallback(self.load, fallback_csv, config, multi_line=multi_line)
         self.refresh()
 
     def refresh(self) -> None:
         """See the rows of the latest load."""
-        self.spark.catalog.refreshTable(self.table)
-        self.rows = read_table(self.spark, self.table)
+        self.rows = self.load(self.spark)
 
     def filtered(self, chosen: SalesFilter = SalesFilter()) -> DataFrame:
         return chosen.apply(self.rows)
@@ -56,9 +70,10 @@ class SalesMart:
         return dimensions.date_bounds(self.rows)
 
     def dashboard(self, chosen: SalesFilter = SalesFilter()) -> Dashboard:
-        """All panels under one filter, from four scans instead of one per panel."""
+        """All panels under one filter, from four scans instead of one per panel:
+        the cube, the segments with the headline figures, products, recent rows."""
         rows = self.filtered(chosen)
-        fact_rows = facts(rows)
+        fact_rows = facts(rows, self.config)
         keys = CUBE_KEYS
         if "discount_pct" in rows.columns:
             banded = with_discount_band(fact_rows)
@@ -68,7 +83,8 @@ class SalesMart:
         # Bounded by months x categories x regions x tiers x bands.
         shared = cube(banded, keys).persist()
         months = metrics.month_facts(shared)
-        summary = metrics.kpi_summary(fact_rows)
+        segments = metrics.segment_facts(fact_rows).persist()
+        summary = metrics.kpi_of_segments(segments)
         growth = metrics.mom_growth(months)
         top = metrics.top_products(fact_rows)
         tiers = metrics.profit_tier_orders(shared)
@@ -81,9 +97,9 @@ class SalesMart:
             "region": metrics.region_perf(shared),
             "products": metrics.top_products_label(top),
             "tier": metrics.profit_tier_label(tiers),
-            "segment": metrics.segment_summary(fact_rows),
+            "segment": metrics.segment_panel(segments),
             "recent": metrics.recent_formatted(metrics.recent_orders(rows)),
         }
         if "discount_band" in keys:
             panels["discount"] = metrics.discount_label(metrics.discount_impact(shared))
-        return Dashboard(shared, panels)
+        return Dashboard((shared, segments), panels)

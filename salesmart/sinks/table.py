@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -12,12 +13,16 @@ from pyspark.sql import functions as F
 
 from salesmart.functions.dates import iso_text
 from salesmart.sources.table import JdbcTarget, dated
-from salesmart.storage import quoted
+from salesmart.storage import quoted, stage
 
 # Fixed value: rows per JDBC insert.
 INSERT_BATCH = 500
 
 
+class TargetTaken(RuntimeError):
+    """The name to load into belongs to something that no load has made."""
+
+
 class RowCountMismatch(RuntimeError):
     """The sink holds another number of rows than was written."""
 
@@ -31,56 +36,109 @@ class WriteReport:
 
 
 def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
-    place = "" if location is None else f" LOCATION '{location}'"
+    place = ""
+    if location is not None:
+        escaped = location.replace("\\", "\\\\").replace("'", "\\'")
+        place = f" LOCATION '{escaped}'"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name)}{place}")
 
 
+# Properties that mark a version, beside its name, and the view that shows one.
+VERSION_OF, SHOWS = "salesmart.version_of", "salesmart.shows"
+
+
 def _new_version(name: str) -> str:
     stamp = datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
     return f"{name}__v{stamp}_{uuid.uuid4().hex[:8]}"
 
 
+def _properties(spark: SparkSession, name: str) -> dict[str, str]:
+    return {row.key: row.value for row in spark.sql(f"SHOW TBLPROPERTIES {quoted(name)}").collect()}
+
+
 def _versions(spark: SparkSession, name: str) -> list[str]:
-    """Tables written for ``name`` so far, oldest first."""
+    """Tables that this module has written for ``name``, oldest first.
+
+    Both the whole name and the table's property must say so: other tables of a
+    like name are nobody's business here.
+    """
     database, _, base = name.rpartition(".")
     scope = f" IN {quoted(database)}" if database else ""
-    shown = spark.sql(f"SHOW TABLES{scope} LIKE '{base.lower()}__v*'").collect()
-    names = sorted(row.tableName for row in shown)
-    return [f"{database}.{table}" if database else table for table in names]
+    pattern = re.compile(rf"{re.escape(base.lower())}__v[0-9]{{20}}_[0-9a-f]{{8}}")
+    shown = spark.sql(f"SHOW TABLES{scope}").collect()
+    names = sorted(row.tableName for row in shown if pattern.fullmatch(row.tableName.lower()))
+    found = [f"{database}.{table}" if database else table for table in names]
+    return [table for table in found if _properties(spark, table).get(VERSION_OF) == name.lower()]
+
+
+def _shown(spark: SparkSession, name: str) -> str | None:
+    """The version that the view ``name`` shows; None where there is no such view.
+
+    A table, or a view that shows something else, is not ours to replace.
+    """
+    if not spark.catalog.tableExists(name):
+        return None
+    if spark.catalog.getTable(name).tableType != "VIEW":
+        raise TargetTaken(f"{name} is a table, not a view made by an earlier load")
+    shown = _properties(spark, name).get(SHOWS)
+    if shown is None:
+        raise TargetTaken(f"{name} is a view that no load has made")
+    return shown
 
 
 def replace_table(
-    df: DataFrame, name: str, partition_by: Sequence[str] = ("year",), *, rebalance: bool = True
+    df: DataFrame,
+    name: str,
+    partition_by: Sequence[str] = ("year",),
+    *,
+    rebalance: bool = True,
+    sort_by: Sequence[str] = (),
+    inspect: Callable[[DataFrame], None] | None = None,
 ) -> WriteReport:
     """Replace what ``name`` shows by these rows.
 
-    The rows go into a new table, their count is read back, and only then the
-    view ``name`` is pointed at it: readers never see a missing or half-written
-    table, and a failed write leaves the old rows in place. The table shown
-    before stays until the next replacement, for queries still reading it.
-    ``rebalance`` shuffles once towards the partition columns so that each holds
-    few well-sized files; adaptive execution splits the large ones.
+    The rows go into a new table, their count is read back, ``inspect`` may look
+    at them, and only then the view ``name`` is pointed at it: readers never see
+    a missing or half-written table, and whatever fails leaves the old rows in
+    place and no new table behind. The version shown before stays until the next
+    replacement, for queries still reading it; older ones go. ``rebalance``
+    shuffles once towards the partition columns so that each holds few
+    well-sized files; adaptive execution splits the large ones. ``sort_by``
+    orders rows within files, so that filters on these columns skip parts of them.
     """
     spark = df.sparkSession
+    shown = _shown(spark, name)
     before = _versions(spark, name)
     version = _new_version(name)
     if rebalance and partition_by:
         df = df.hint("rebalance", *[F.col(column) for column in partition_by])
+    if sort_by:
+        df = df.sortWithinPartitions(*partition_by, *sort_by)
     written = Observation()
-    (
-        # Above the last shuffle: each row is counted by the task that writes it.
-        df.observe(written, F.count(F.lit(1)).alias("rows"))
-        .write.format("parquet").partitionBy(*partition_by).saveAsTable(quoted(version))
-    )
-    report = WriteReport(
-        name, len(df.columns), int(written.get["rows"]), spark.table(quoted(version)).count()
-    )
-    if report.rows_written != report.rows_read_back:
-        spark.sql(f"DROP TABLE {quoted(version)}")
-        raise RowCountMismatch(str(report))
-    spark.sql(f"CREATE OR REPLACE VIEW {quoted(name)} AS SELECT * FROM {quoted(version)}")
-    for old in before[:-1]:
-        spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")
+    try:
+        (
+            # Above the last shuffle: each row is counted by the task that writes it.
+            df.observe(written, F.count(F.lit(1)).alias("rows"))
+            .write.format("parquet").partitionBy(*partition_by).saveAsTable(quoted(version))
+        )
+        spark.sql(f"ALTER TABLE {quoted(version)} SET TBLPROPERTIES ('{VERSION_OF}' = '{name.lower()}')")
+        report = WriteReport(
+            name, len(df.columns), int(written.get["rows"]), spark.table(quoted(version)).count()
+        )
+        if report.rows_written != report.rows_read_back:
+            raise RowCountMismatch(str(report))
+        if inspect:
+            inspect(spark.table(quoted(version)))
+        spark.sql(
+            f"CREATE OR REPLACE VIEW {quoted(name)} TBLPROPERTIES ('{SHOWS}' = '{version.lower()}') "
+            f"AS SELECT * FROM {quoted(version)}"
+        )
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(version)}")
+        raise
+    for old in before:
+        if old.lower() != shown:
+            spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")
     return report
 
 
@@ -97,14 +155,51 @@ def jdbc_write_options(target: JdbcTarget, table: str, partitions: int) -> dict[
     }
 
 
+def jdbc_count_options(target: JdbcTarget, table: str) -> dict[str, str]:
+    """The count is taken in the database: one row comes back."""
+    quoted(table)
+    return {**target.options(), "query": f"SELECT COUNT(*) AS n FROM {table}"}
+
+
 def replace_jdbc(df: DataFrame, target: JdbcTarget, table: str, partitions: int = 8) -> WriteReport:
     """Replace a JDBC table, ``date`` as text; at most ``partitions`` connections."""
     written = Observation()
     rows = with_text_date(df).observe(written, F.count(F.lit(1)).alias("rows"))
     options = jdbc_write_options(target, table, partitions)
     rows.write.format("jdbc").options(**options).mode("overwrite").save()
-    back = df.sparkSession.read.format("jdbc").options(**target.options(), dbtable=table).load()
-    report = WriteReport(table, len(rows.columns), int(written.get["rows"]), back.count())
+    back = df.sparkSession.read.format("jdbc").options(**jdbc_count_options(target, table)).load()
+    report = WriteReport(table, len(rows.columns), int(written.get["rows"]), int(back.first()[0]))
     if report.rows_written != report.rows_read_back:
         raise RowCountMismatch(str(report))
     return report
+
+
+# --- where a load goes -------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class CatalogSink:
+    """A catalog table by year; rows lie by date within files."""
+
+    table: str
+
+    def write(self, rows: DataFrame, inspect: Callable[[DataFrame], None]) -> WriteReport:
+        return replace_table(rows, self.table, sort_by=["date"], inspect=inspect)
+
+
+@dataclass(frozen=True)
+class JdbcSink:
+    """A database table. Rows are staged first, so that what is wrong with them
+    shows before the table is touched and they are made only once."""
+
+    target: JdbcTarget
+    table: str
+    partitions: int = 8
+
+    def write(self, rows: DataFrame, inspect: Callable[[DataFrame], None]) -> WriteReport:
+        staged = stage(rows, "load")
+        try:
+            inspect(staged.rows)
+            return replace_jdbc(staged.rows, self.target, self.table, self.partitions)
+        finally:
+            staged.release()

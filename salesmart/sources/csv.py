@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesmart.config import SalesConfig
 from salesmart.functions.dates import date_of
@@ -23,44 +24,109 @@ MISSING_TOKENS = (
 INGEST_ORDER = ("_ingest_file", "_ingest_block", "_ingest_row")
 
 
+# Column in which the reader puts the text of a record that does not fit.
+BAD_RECORD = "__bad_record"
+# Files that an error names.
+NAMED_FILES = 20
+
+
 class SourceNotFound(FileNotFoundError):
     """The source to read does not exist."""
 
 
+class MalformedCsv(ValueError):
+    """Records with more fields than the header, or with a quote left open."""
+
+
+def _malformed(width: int) -> Column:
+    """Whether a record's text is over-long or broken; short records are neither."""
+    text = F.col(BAD_RECORD)
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+    bare = F.regexp_replace(text, '"(?:[^"]|"")*+"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    return text.isNotNull() & ((quotes % 2 == 1) | (fields > width))
+
+
+def _check(lines: DataFrame, names: list[str]) -> None:
+    """One pass that counts malformed records; an error names the files."""
+    found = lines.filter(_malformed(len(names))).groupBy(F.col("_metadata.file_path").alias("file"))
+    # A data column is named too: Spark refuses to read the text of bad records alone.
+    counts = found.agg(F.count("*").alias("n"), F.count(F.col(f"`{names[0]}`")).alias("_"))
+    first = counts.orderBy("file").limit(NAMED_FILES + 1).collect()
+    if first:
+        shown = ", ".join(f"{row.file}: {row.n}" for row in first[:NAMED_FILES])
+        more = " and more files" if len(first) > NAMED_FILES else ""
+        raise MalformedCsv(
+            f"Records with too many fields or an open quote: {shown}{more}. "
+            "Quoted line breaks need multi_line=True"
+        )
+
+
 def read_csv(
-    spark: SparkSession, path: str, config: SalesConfig = SalesConfig(), *, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    config: SalesConfig = SalesConfig(),
+    *,
+    multi_line: bool = False,
+    check_first: bool = True,
 ) -> DataFrame:
     """Header CSV as text columns, missing texts as NULL, numbers as doubles.
 
     ``date`` stays text for the quality rules; columns beyond the known ones
     pass through. The columns of ``INGEST_ORDER`` are added. Files stay
     splittable unless quoted line breaks (``multi_line``) are asked for.
+
+    A record shorter than the header has NULL at its end. One with more fields,
+    or with a quote left open, is an error: a pass over the files counts them
+    and names the files before any row is used. Without ``check_first`` that
+    pass is left out and the query that meets such a record ends there.
     """
-    reader = spark.read.options(
+    options = dict(
         header=True, inferSchema=False, enforceSchema=False, quote='"', escape='"',
         multiLine=multi_line,
     )
     try:
-        lines = reader.csv(path)
+        names = spark.read.options(**options).csv(path).columns
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise SourceNotFound(f"File not found: {path}") from error
         raise
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*names, BAD_RECORD)])
+    # Without pruning every field is parsed: only then are bad records noticed.
+    lines = spark.read.options(
+        **options, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_RECORD, columnPruning=False
+    ).schema(schema).csv(path)
+    if check_first:
+        _check(lines, names)
     file, block, row = INGEST_ORDER
+    stop = F.raise_error(
+        F.concat(F.lit("Malformed CSV record in "), F.col("_metadata.file_path"), F.lit(": "), BAD_RECORD)
+    )
+    checked = F.when(_malformed(len(names)), stop.cast("string")).otherwise(F.col("_metadata.file_path"))
     placed = lines.select(
-        "*",
-        F.col("_metadata.file_path").alias(file),
+        *[F.col(f"`{name}`") for name in names],
+        (F.col("_metadata.file_path") if check_first else checked).alias(file),
         F.col("_metadata.file_block_start").alias(block),
         F.monotonically_increasing_id().alias(row),
     )
+    if not check_first:
+        # A filter, so that the check is made whichever columns are used.
+        placed = placed.filter(F.col(file).isNotNull())
     columns = []
-    for name in lines.columns:
+    for name in names:
         text = F.when(~F.col(f"`{name}`").isin(*MISSING_TOKENS), F.col(f"`{name}`"))
         columns.append((number_from_text(text) if name in config.numeric else text).alias(name))
     return placed.select(*columns, *INGEST_ORDER)
 
 
-def read_csv_dated(spark: SparkSession, path: str, config: SalesConfig = SalesConfig()) -> DataFrame:
+def read_csv_dated(
+    spark: SparkSession,
+    path: str,
+    config: SalesConfig = SalesConfig(),
+    *,
+    multi_line: bool = False,
+    check_first: bool = True,
+) -> DataFrame:
     """The CSV scan with ``date`` parsed; unparseable dates are NULL."""
-    rows = read_csv(spark, path, config)
+    rows = read_csv(spark, path, config, multi_line=multi_line, check_first=check_first)
     return rows.withColumn("date", date_of(rows, "date", config.date_format)).drop(*INGEST_ORDER)

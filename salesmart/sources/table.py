@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,12 @@ from salesmart.sources.csv import SourceNotFound, read_csv_dated
 from salesmart.storage import quoted
 
 
+log = logging.getLogger("salesmart")
+
+# Gives the enriched rows of a source, or an error where it is not there.
+Loader = Callable[[SparkSession], DataFrame]
+
+
 def dated(df: DataFrame) -> DataFrame:
     """``date`` as a date again where the store kept it as text."""
     if isinstance(df.schema["date"].dataType, T.DateType):
@@ -66,23 +76,71 @@ class JdbcSplit:
         }
 
 
-def jdbc_read_options(target: JdbcTarget, table: str, split: JdbcSplit | None) -> dict[str, str]:
+@dataclass(frozen=True)
+class SingleConnection:
+    """The choice, made in so many words, to read a whole table in one task."""
+
+    def options(self) -> dict[str, str]:
+        return {"numPartitions": "1"}
+
+
+# Rows that the database sends at a time; drivers may otherwise hold them all.
+FETCH_ROWS = 10_000
+
+
+def jdbc_read_options(
+    target: JdbcTarget, table: str, split: JdbcSplit | SingleConnection
+) -> dict[str, str]:
     quoted(table)
-    return {**target.options(), "dbtable": table, **(split.options() if split else {})}
+    return {**target.options(), "dbtable": table, "fetchsize": str(FETCH_ROWS), **split.options()}
 
 
 def read_jdbc(
-    spark: SparkSession, target: JdbcTarget, table: str, split: JdbcSplit | None = None
+    spark: SparkSession, target: JdbcTarget, table: str, split: JdbcSplit | SingleConnection
 ) -> DataFrame:
     """A JDBC table with ``date`` as a date; filters and columns are pushed to it."""
     return dated(spark.read.format("jdbc").options(**jdbc_read_options(target, table, split)).load())
 
 
+def table_loader(name: str) -> Loader:
+    """Reads a catalog table, as it is when it is called."""
+
+    def load(spark: SparkSession) -> DataFrame:
+        if spark.catalog.tableExists(name):
+            spark.catalog.refreshTable(name)
+        return read_table(spark, name)
+
+    return load
+
+
+def jdbc_loader(target: JdbcTarget, table: str, split: JdbcSplit | SingleConnection) -> Loader:
+    return lambda spark: read_jdbc(spark, target, table, split)
+
+
+def with_fallback(
+    loader: Loader, csv_path: str, config: SalesConfig = SalesConfig(), *, multi_line: bool = False
+) -> Loader:
+    """The loader's rows or, where its source cannot be reached or is not there,
+    the raw CSV reduced-enriched. The reason is logged."""
+
+    def load(spark: SparkSession) -> DataFrame:
+        try:
+            return loader(spark)
+        except (SourceNotFound, Py4JJavaError, PySparkException) as error:
+            log.warning("Falling back to %s: %s", csv_path, str(error).splitlines()[0])
+            return enrich_reduced(read_csv_dated(spark, csv_path, config, multi_line=multi_line))
+
+    return load
+
+
 def read_or_fallback(
-    spark: SparkSession, table: str, csv_path: str, config: SalesConfig = SalesConfig()
+    spark: SparkSession,
+    source: str | Loader,
+    csv_path: str,
+    config: SalesConfig = SalesConfig(),
+    *,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """The enriched table or, only when it is missing, the raw CSV reduced-enriched."""
-    try:
-        return read_table(spark, table)
-    except SourceNotFound:
-        return enrich_reduced(read_csv_dated(spark, csv_path, config))
+    """``with_fallback`` at once, from a catalog table's name or any loader."""
+    loader = table_loader(source) if isinstance(source, str) else source
+    return with_fallback(loader, csv_path, config, multi_line=multi_line)(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import tempfile
 import uuid
@@ -9,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger("salesmart")
+
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*")
 
 
@@ -37,6 +40,17 @@ def work_dir(spark: SparkSession) -> str:
     return f"{configured.rstrip('/')}/salesmart/{spark.conf.get('spark.app.id')}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system of the session, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has left in the shared folder."""
+    delete_path(spark, work_dir(spark))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -49,8 +63,11 @@ class Staged:
     path: str
 
     def release(self) -> None:
-        """Give the space back: the copy is overwritten by no rows."""
-        self.rows.sparkSession.range(0).write.mode("overwrite").parquet(self.path)
+        """Delete the copy. A failure is logged: it must not hide what went before."""
+        try:
+            delete_path(self.rows.sparkSession, self.path)
+        except Exception:
+            log.exception("Could not delete %s", self.path)
 
 
 def stage(df: DataFrame, name: str) -> Staged:

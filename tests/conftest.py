@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from salesmart.session import configure  # noqa: E402
+from salesmart.storage import clear  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -25,6 +26,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()
 
 

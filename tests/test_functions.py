@@ -107,21 +107,30 @@ def test_date_parts(spark):
     assert tuple(shown) == ("2024-01-05", "05 Jan 2024")
 
 
+def exact(spark, amounts, places=4):
+    df = spark.createDataFrame([(x,) for x in amounts], "x double")
+    return df.selectExpr(*numeric.exact_parts("x", places, "f")).agg(
+        numeric.exact_sum("f").alias("s"), numeric.exact_total("f").alias("t")
+    ).first()
+
+
 def test_exact_sum_in_parts(spark):
     amounts = [0.1, -0.1, 0.2, 1e11 + 0.0001, -7.77, -1e11, 123456.7891, None, -0.0001]
-    df = spark.createDataFrame([(x,) for x in amounts], "x double")
-    parts = df.selectExpr(*numeric.exact_parts("x", numeric.MONEY, "f"))
-    total = parts.agg(numeric.exact_sum("f", numeric.MONEY).alias("s")).first().s
     expected = sum(Decimal(str(round(x, 4))) for x in amounts if x is not None)
-    assert total == expected
-    empty = parts.filter("false").agg(
-        numeric.exact_total("f", numeric.MONEY).alias("t"), numeric.exact_sum("f", 4).alias("s")
-    )
-    assert tuple(empty.first()) == (0.0, None)
+    assert exact(spark, amounts).s == expected
+    assert tuple(exact(spark, [])) == (None, 0.0)
 
 
 def test_exact_sum_has_room(spark):
-    """The total would not fit one long of ten-thousandths."""
-    df = spark.range(2000).selectExpr("9e11D AS x")
-    parts = df.selectExpr(*numeric.exact_parts("x", numeric.MONEY, "f"))
-    assert parts.agg(numeric.exact_total("f", numeric.MONEY).alias("t")).first().t == 1.8e15
+    """The total would not fit one long of ten-thousandths, nor would one amount."""
+    assert exact(spark, [9e11] * 2000).t == 1.8e15
+    assert exact(spark, [1e15, 1e15, -1e15, 0.25, -1e18, 1e18]).t == 1e15 + 0.25
+    assert exact(spark, [-0.0001, -1e15, 1e15, -2.5]).s == Decimal("-2.5001")
+
+
+def test_decimals_are_never_cut(spark):
+    assert exact(spark, [0.00004] * 1000, places=5).t == 0.04
+    with pytest.raises(Exception, match="more than 4 decimals"):
+        exact(spark, [0.00004] * 1000)
+    with pytest.raises(ValueError):
+        numeric.exact_parts("x", 9, "f")

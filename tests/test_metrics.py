@@ -133,7 +133,7 @@ def test_recent_rows(sales):
     assert first.profit_margin_pct == f"{got[0].profit_margin_pct:.1f}%"
     titled = metrics.titled(recent)
     assert titled.columns[:3] == ["Order Id", "Customer Id", "Product"]
-    assert metrics.records(titled)[0]["Order Id"] == got[0].order_id
+    assert next(metrics.records(titled))["Order Id"] == got[0].order_id
 
 
 def test_kpi_cards(sales):
@@ -182,7 +182,7 @@ def test_dimensions(sales):
     assert [row.region for row in dimensions.distinct_values(sales, "region").collect()] == [
         "East", "North", "South", "West",
     ]
-    options = {tuple(row) for row in dimensions.filter_options(sales).collect()}
+    options = {tuple(row)[2:] for row in dimensions.filter_options(sales).collect()}
     assert ("year", "All Years", "all") in options
     assert ("quarter", "Q2", "2") in options
     assert len(options) == 5 + 1 + 2 + 3 + 13 + 4
@@ -203,3 +203,41 @@ def test_audit(sales):
 def test_top_list_needs_no_full_sort(sales):
     plan = metrics.top_products(facts(sales))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_a_month_of_missing_sales_is_zero(spark):
+    rows = spark.sql(
+        "SELECT * FROM VALUES ('2024-01', 10D, 1D), ('2024-02', CAST(NULL AS DOUBLE), NULL), "
+        "('2024-03', 5D, 1D) AS t(year_month, sales, profit)"
+    )
+    months = metrics.month_facts(facts(rows))
+    assert [r.sales for r in metrics.monthly_trend(months).collect()] == [10.0, 0.0, 5.0]
+    assert [r.r3m for r in metrics.rolling_3m(months).collect()] == [10.0, 5.0, 5.0]
+    assert [r.mom for r in metrics.mom_growth(months).collect()] == [-100.0, float("inf")]
+    shares = rows.selectExpr("year_month AS category", "sales")
+    got = {r.category: r.sales for r in metrics.category_share(facts(shares)).collect()}
+    assert got["2024-02"] == 0.0
+
+
+def test_options_come_in_order(spark):
+    from salesmart.operators.dimensions import filter_options
+
+    rows = spark.sql(
+        "SELECT * FROM VALUES (2024, 2, 'B', 'q', 'South'), (2023, 1, 'A', 'p', 'North'), "
+        "(2024, 1, 'A', NULL, 'North') AS t(year, quarter, category, product, region)"
+    )
+    got = [(r.filter, r.label) for r in filter_options(rows).collect()]
+    assert got == [
+        ("year", "All Years"), ("year", "2023"), ("year", "2024"),
+        ("quarter", "All Quarters"), ("quarter", "Q1"), ("quarter", "Q2"),
+        ("category", "All Categories"), ("category", "A"), ("category", "B"),
+        ("product", "All Products"), ("product", "p"), ("product", "q"),
+        ("region", "All Regions"), ("region", "North"), ("region", "South"),
+    ]
+
+
+def test_facts_are_those_made_here(spark):
+    rows = spark.sql("SELECT 'A' AS category, 1.5D AS sales, 'note' AS f_note")
+    assert cube(facts(rows), ["category"]).columns == ["category", "f_sales_high", "f_sales_low", "f_sales_fraction"]
+    with pytest.raises(ValueError, match="f_sales_low"):
+        facts(rows.selectExpr("*", "1 AS f_sales_low"))

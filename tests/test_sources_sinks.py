@@ -122,8 +122,15 @@ def test_jdbc_options():
     assert read["partitionColumn"] == "order_no" and read["connectTimeout"] == "10000"
     write = sinks.jdbc_write_options(target, "sales", 4)
     assert write["batchsize"] == "500" and write["driver"] == "some.Driver"
+    assert read["fetchsize"] == "10000"
     with pytest.raises(ValueError):
-        sources.jdbc_read_options(target, "sales where 1=1", None)
+        sources.jdbc_read_options(target, "sales where 1=1", split)
+    with pytest.raises(TypeError):
+        sources.jdbc_read_options(target, "sales")
+    alone = sources.jdbc_read_options(target, "sales", sources.SingleConnection())
+    assert alone["numPartitions"] == "1" and "partitionColumn" not in alone
+    count = sinks.jdbc_count_options(target, "sales")
+    assert count["query"] == "SELECT COUNT(*) AS n FROM sales" and "dbtable" not in count
 
 
 def test_text_date(raw):
@@ -136,7 +143,9 @@ def test_stage_reads_back_and_releases(spark, raw):
     staged = stage(rows, "t")
     assert staged.rows.orderBy("line").collect() == rows.orderBy("line").collect()
     staged.release()
-    assert spark.read.parquet(staged.path).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(staged.path)
+    staged.release()
     assert fresh_path(spark, "t") != fresh_path(spark, "t")
 
 
@@ -144,3 +153,74 @@ def test_work_dir_is_the_one_of_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is not None:
         assert fresh_path(spark, "t").startswith(configured)
+
+
+@pytest.mark.parametrize("check_first", [True, False])
+def test_malformed_records_are_errors(spark, tmp_path, check_first):
+    def read(text, **more):
+        file = tmp_path / f"f{len(list(tmp_path.iterdir()))}.csv"
+        file.write_text(HEADER + text)
+        rows = csv_source.read_csv(spark, str(file), check_first=check_first, **more)
+        return rows.select("order_id", "note").collect()
+
+    with pytest.raises(Exception, match="(?i)too many fields|malformed"):
+        read(line("A") + line("B").strip() + ",11,12\n")
+    with pytest.raises(Exception, match="(?i)open quote|malformed"):
+        read(line("A") + line("C", '"multi\nline"'))
+    got = read(line("C", '"multi\nline"') + line("D"), multi_line=True)
+    assert [row.order_id for row in got] == ["C", "D"]
+    # Short records are filled, and quotes and commas inside quotes are no faults.
+    got = read("A,c1,pen\n" + line("B", '"a, ""b"", c,,,,,,,,,,,"') + line("E", 'size 5"'))
+    assert [row.order_id for row in got] == ["A", "B", "E"] and got[0].note is None
+
+
+def test_the_error_names_file_and_count(spark, tmp_path):
+    (tmp_path / "good.csv").write_text(HEADER + line("A"))
+    (tmp_path / "bad.csv").write_text(HEADER + (line("B").strip() + ",x\n") * 3)
+    with pytest.raises(csv_source.MalformedCsv, match=r"bad\.csv: 3"):
+        csv_source.read_csv_dated(spark, str(tmp_path))
+
+
+def test_tables_of_others_are_left_alone(spark, raw):
+    sinks.ensure_database(spark, "own_db")
+    for other in ("sales__v1_backup", "sales__vat", "sales__v20240101000000000000_0123abcd"):
+        spark.sql(f"CREATE TABLE own_db.{other} USING parquet AS SELECT 1 AS x")
+    rows = raw({}).withColumn("year", F.lit(2024))
+    for _ in range(3):
+        sinks.replace_table(rows, "own_db.sales")
+    names = {row.tableName for row in spark.sql("SHOW TABLES IN own_db").collect()}
+    assert {"sales__v1_backup", "sales__vat", "sales__v20240101000000000000_0123abcd"} <= names
+    # The view, the three above, the version shown and the one before.
+    assert len(names) == 6
+
+
+def test_a_table_of_that_name_is_refused_before_writing(spark, raw):
+    sinks.ensure_database(spark, "taken_db")
+    spark.sql("CREATE TABLE taken_db.sales USING parquet AS SELECT 1 AS x")
+    spark.sql("CREATE VIEW taken_db.seen AS SELECT 1 AS x")
+    rows = raw({}).withColumn("year", F.lit(2024))
+    for name in ("taken_db.sales", "taken_db.seen"):
+        with pytest.raises(sinks.TargetTaken):
+            sinks.replace_table(rows, name)
+    assert spark.sql("SHOW TABLES IN taken_db").count() == 2
+
+
+def test_a_failed_last_step_leaves_no_orphan(spark, raw):
+    sinks.ensure_database(spark, "orphan_db")
+    rows = raw({}).withColumn("year", F.lit(2024))
+    sinks.replace_table(rows, "orphan_db.sales")
+
+    def refuse(_):
+        raise RuntimeError("not these rows")
+
+    with pytest.raises(RuntimeError):
+        sinks.replace_table(rows, "orphan_db.sales", inspect=refuse)
+    assert spark.sql("SHOW TABLES IN orphan_db").count() == 2
+    assert spark.table("orphan_db.sales").count() == 1
+
+
+def test_locations_are_escaped(spark, tmp_path):
+    place = tmp_path / "it's here"
+    sinks.ensure_database(spark, "quote_db", str(place))
+    spark.sql("CREATE TABLE quote_db.t USING parquet AS SELECT 1 AS x")
+    assert place.exists()
