@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,31 +123,43 @@ class Chain:
         return 1 / (1 + np.exp(-np.clip(seen @ self.document, -30, 30)))
 
 
-def marks(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
+def _number(feature: str) -> int:
+    return xxhash.xxh64_intdigest(feature)
+
+
+def kinds(words: list[str]) -> np.ndarray:
+    """The distinct features of a document as 64-bit numbers: far smaller than texts."""
+    found = {_number(f) for word in set(words) for f in features(word)}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def marks(seen: list[np.ndarray], toxic: np.ndarray) -> set[int]:
     """Features that explain toxic documents: a greedy cover by all but pure ones.
 
-    The feature in most of the toxic documents not yet explained comes next, so
-    words that toxic documents share by chance, or as copies of each other, are
-    not taken where a common mark explains them already.
+    ``seen`` holds the features of each document. The feature in most of the
+    toxic documents not yet explained comes next, so words that toxic documents
+    share by chance, or as copies of each other, are not taken where a common
+    mark explains them already.
     """
-    good: Counter = Counter()
-    where: dict[str, list[int]] = {}
-    for n, (words, label) in enumerate(zip(texts, toxic, strict=True)):
-        kinds = {f for word in set(words) for f in features(word)}
-        if label:
-            for kind in kinds:
-                where.setdefault(kind, []).append(n)
-        else:
-            good.update(kinds)
-    waiting = [
-        (-len(docs), f) for f, docs in where.items()
-        if len(docs) >= SUPPORT and good[f] * PURITY <= len(docs)
-    ]
+    bad = [k for k, label in enumerate(toxic) if label]
+    empty = np.zeros(0, np.uint64)
+    found, n = np.unique(np.concatenate([empty, *(seen[k] for k in bad)]), return_counts=True)
+    found, n = found[n >= SUPPORT], n[n >= SUPPORT]
+    good = np.zeros(len(found), np.int64)
+    for x, label in zip(seen, toxic, strict=True):
+        if not label:
+            good += np.isin(found, x, assume_unique=True)
+    found, n = found[good * PURITY <= n], n[good * PURITY <= n]
+    where: dict[int, list[int]] = {int(f): [] for f in found}
+    for k in bad:
+        for f in found[np.isin(found, seen[k], assume_unique=True)].tolist():
+            where[f].append(k)
+    waiting = [(-size, f) for f, size in zip(found.tolist(), n.tolist(), strict=True)]
     heapq.heapify(waiting)
     explained: set[int] = set()
     taken = set()
     while waiting:
-        size, feature = heapq.heappop(waiting)
+        _, feature = heapq.heappop(waiting)
         gain = len(set(where[feature]) - explained)
         if gain < SUPPORT:
             continue
@@ -157,12 +171,12 @@ def marks(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     return taken
 
 
-def tag(texts: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
+def tag(texts: list[list[str]], seen: list[np.ndarray], toxic: np.ndarray) -> list[np.ndarray]:
     """Labelled words from labelled documents: in toxic ones, the words of a mark."""
-    found = marks(texts, toxic)
+    found = marks(seen, toxic)
     labels = []
     for words, label in zip(texts, toxic, strict=True):
-        hit = {w for w in set(words) if label and any(f in found for f in features(w))}
+        hit = {w for w in set(words) if label and any(_number(f) in found for f in features(w))}
         labels.append(np.array([w in hit for w in words], float))
     return labels
 
@@ -178,16 +192,24 @@ def fit(texts: list[str | None], toxic: list[int], weights: tuple[float, float])
         return model
     words = [words_of(text) for text in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    y = np.concatenate([*tag(words, label), np.zeros(0)])
+    seen_in = [kinds(w) for w in words]
+    y = np.concatenate([*tag(words, seen_in, label), np.zeros(0)])
+    # A feature of one document only teaches nothing about others.
+    common, n = np.unique(np.concatenate(seen_in), return_counts=True)
+    common = set(common[n > 1].tolist())
+    del seen_in
     number: dict[str, int] = {}
     vocabulary: dict[str, int] = {}
-    places = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws in words for w in ws], np.int64)
-    # Feature ids of each distinct word; words too short for a beginning have fewer.
-    owner, ids = [], []
-    for word, n in vocabulary.items():
+    places = np.fromiter(
+        (vocabulary.setdefault(w, len(vocabulary)) for ws in words for w in ws), np.int64
+    )
+    # Feature ids of each distinct word.
+    owner, ids = array("q"), array("q")
+    for word, k in vocabulary.items():
         for feature in features(word):
-            owner.append(n)
-            ids.append(number.setdefault(feature, len(number)))
+            if _number(feature) in common:
+                owner.append(k)
+                ids.append(number.setdefault(feature, len(number)))
     owner, ids = np.array(owner, np.int64), np.array(ids, np.int64)
     step, chain = chains(lengths)
     first = step == 0
@@ -212,9 +234,9 @@ def fit(texts: list[str | None], toxic: list[int], weights: tuple[float, float])
         rest += 0.3 * more / np.sqrt(rest_slow)
     model.step, model.bias, model.start = rest[:4].reshape(2, 2), float(rest[4]), float(rest[5])
     model.weight = {f: float(w[n]) for f, n in number.items() if abs(w[n]) > 0.05}
-    lift = np.array([x for ws in words for x in model.lifts(ws)])
+    lift = np.fromiter((x for ws in words for x in model.lifts(ws)), float)
     inputs = model.documents(model.marginals(lift, lengths), lengths)
-    each = np.where(label > 0, weights[1], weights[0])
+    each = np.where(label > 0, float(weights[1]), float(weights[0]))
     each /= each.mean()
     theta = np.zeros(4)
     for _ in range(25):
