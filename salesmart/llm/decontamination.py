@@ -14,7 +14,7 @@ from salesmart.storage import stage
 
 WINDOW = 10
 # Item text that one automaton takes; more items make more automata, one pass each.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 
 # ASCII capitals become small letters, other ASCII that is no digit or letter a blank.
 _LETTERS = bytes(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.storage import stage
+from salesmart.storage import Staged, stage
 
 
 def hook(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -28,8 +31,24 @@ def hook(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             parent = above
 
 
-def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """One star step: neighbours of each node are linked to the least of them.
+def _thinned(edges: DataFrame) -> DataFrame:
+    """``(u, v)``, v below u, with the same components: a forest of each batch."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.stack([column.to_numpy() for column in batch.columns])
+            nodes, place = np.unique(ends, return_inverse=True)
+            left, right = place.reshape(ends.shape)
+            root = hook(np.arange(len(nodes)), left, right)
+            kept = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_pydict({"u": nodes[kept], "v": nodes[root[kept]]})
+
+    some = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
+    return some.mapInArrow(thin, "u long, v long").distinct()
+
+
+def _star(edges: DataFrame, both_ways: bool) -> Staged:
+    """One star step, written: neighbours of each node are linked to the least of them.
 
     The minima are staged so that the join's two inputs are plain exchanges,
     whose skewed partitions adaptive execution can split: the centre of a large
@@ -37,7 +56,8 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     """
     around = edges.unionByName(edges.selectExpr("v AS u", "u AS v")) if both_ways else edges
     low = around.groupBy("u").agg(F.min("v").alias("m"))
-    low = stage(low.selectExpr("u", "least(u, m) AS m"), "low").rows
+    written = stage(low.selectExpr("u", "least(u, m) AS m"), "low")
+    low = written.rows
     met = around.join(low, "u")
     if both_ways:
         moved = met.filter("v > u").selectExpr("v AS u", "m AS v")
@@ -45,24 +65,30 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
         moved = met.filter("v > m").selectExpr("v AS u", "m AS v").unionByName(
             low.selectExpr("u", "m AS v")
         )
-    return moved.filter("u <> v").distinct()
+    made = stage(moved.filter("u <> v").distinct(), "edges")
+    written.release()
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for each node in edges ``(a, b)``; a long each.
 
-    ``component`` is the smallest node reachable. Large-star and small-star
-    steps alternate until nothing changes; every step is a written table, so a
-    lost executor costs one step at most. Self-loops and nulls have no effect.
+    ``component`` is the smallest node reachable. Each task first cuts its edges
+    to forests, so that a group in which all are linked does not come with all
+    its pairs. Then large-star and small-star steps alternate until nothing
+    changes; every step is a written table, so a lost executor costs one step at
+    most, and the one before it is deleted. Self-loops and nulls have no effect.
     """
-    start = edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v")
-    now = stage(start.filter("a IS NOT NULL AND b IS NOT NULL AND u <> v").distinct(), "edges").rows
+    now = stage(_thinned(edges), "edges")
     seen = None
     while True:
-        mark = tuple(now.agg(F.count("*"), F.expr("sum(xxhash64(u, v) % 1000000007)")).first())
+        mark = tuple(now.rows.agg(F.count("*"), F.expr("sum(xxhash64(u, v) % 1000000007)")).first())
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        now = stage(_star(stage(_star(now, True), "edges").rows, False), "edges").rows
-    ends = now.selectExpr("u AS node", "v AS component")
+        large = _star(now.rows, True)
+        now.release()
+        now = _star(large.rows, False)
+        large.release()
+    ends = now.rows.selectExpr("u AS node", "v AS component")
     return ends.unionByName(ends.selectExpr("component AS node", "component").distinct())

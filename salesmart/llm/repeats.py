@@ -538,25 +538,30 @@ def marks(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, group: int =
     task ever holds more. Hashes only file; what they take as equal are pieces
     that agree in two 64-bit hashes.
     """
-    anchors = stage(_groups(texts, span, anchor), "anchors").rows
-    filed = stage(_file(texts, make_filter(anchors, "grp"), span, anchor), "filed").rows
+    anchors = stage(_groups(texts, span, anchor), "anchors")
+    wanted = make_filter(anchors.rows, "grp")
+    anchors.release()
+    pieces_ = stage(_file(texts, wanted, span, anchor), "filed")
     found = []
     while True:
+        filed = pieces_.rows
         classes = filed.groupBy("grp", "content").agg(
             F.sum("n").alias("total"), F.min(F.struct("key", "start")).alias("one")
         )
-        classes = stage(classes, "classes").rows
-        groups = classes.groupBy("grp").agg(
+        classes = stage(classes, "classes")
+        groups = classes.rows.groupBy("grp").agg(
             F.count("*").alias("kinds"), F.min("total").alias("least")
         )
         # Nothing is left to compare where an anchor has one content, or only repeated ones.
-        open_ = stage(groups.filter("kinds > 1 AND least = 1"), "open").rows
-        status = classes.join(open_, "grp", "left").filter("total > 1 OR kinds > 1")
-        status = stage(status.select("grp", "content", "total", "one", "kinds"), "status").rows
-        rows = filed.join(status, ["grp", "content"])
+        open_ = stage(groups.filter("kinds > 1 AND least = 1"), "open")
+        status = classes.rows.join(open_.rows, "grp", "left").filter("total > 1 OR kinds > 1")
+        status = stage(status.select("grp", "content", "total", "one", "kinds"), "status")
+        rows = filed.join(status.rows, ["grp", "content"])
         rows = stage(
             rows.withColumn("same", F.col("one") == F.struct("key", "start")).drop("one", "n"), "rows"
         ).rows
+        for copy in (pieces_, classes, open_, status):
+            copy.release()
         found.append(rows.filter("total > 1").select("key", "start", "end"))
         # One piece of each content: those of equal text are one row of the join.
         ones = rows.filter("kinds > 1 AND same").withColumnRenamed("total", "n")
@@ -570,7 +575,7 @@ def marks(texts: DataFrame, span: int = SPAN, anchor: int = ANCHOR, group: int =
         crowded = lists.filter("crowded")
         if crowded.isEmpty():
             break
-        filed = stage(_file_anew(_texts_of(texts, crowded), span), "filed").rows
+        pieces_ = stage(_file_anew(_texts_of(texts, crowded), span), "filed")
     made = found[0]
     for more in found[1:]:
         made = made.unionByName(more)

@@ -34,9 +34,9 @@ FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     """The store of a path and the path in it; any store that Arrow knows."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (
-        fs.LocalFileSystem(), path
-    )
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 # --- packages ----------------------------------------------------------------
