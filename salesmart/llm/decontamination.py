@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,16 +185,24 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     window; those of null id hit but are not listed. Columns of ``docs`` that
     are called as the new ones are replaced.
     """
-    new = [part.split()[0] for part in MARKS.split(", ")]
-    rows = docs.drop(*new)
+    return _passed(docs.drop(*NEW), items, window, None)
+
+
+NEW = [part.split()[0] for part in MARKS.split(", ")]
+# What happens to a batch and its four new columns in the last pass.
+Finish = Callable[[dict[str, pa.Array]], pa.RecordBatch]
+
+
+def _passed(rows: DataFrame, items: DataFrame, window: int, finish: Finish | None) -> DataFrame:
     place = rows.columns.index("text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     shards = _shards(items)
     for k, shard in enumerate(shards):
         found = ((row.item_id, plain(row.text)) for row in shard.collect())
-        shared = share(docs.sparkSession, ItemAutomaton(found, window))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        shared = share(rows.sparkSession, ItemAutomaton(found, window))
+        last = k + 1 == len(shards)
 
-        def step(batches: Iterator[pa.RecordBatch], shared=shared, more=k > 0):
+        def step(batches: Iterator[pa.RecordBatch], shared=shared, more=k > 0, last=last):
             automaton = held(shared)
             for batch in batches:
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -210,11 +218,12 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
                     for column, value in zip(made, (len(words), runs, sorted(met), longest)):
                         column.append(value)
                 kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32())
-                arrays = {c: pa.array(v, t) for c, v, t in zip(new, made, kinds, strict=True)}
-                yield pa.RecordBatch.from_pydict(columns | arrays)
+                arrays = {c: pa.array(v, t) for c, v, t in zip(NEW, made, kinds, strict=True)}
+                whole = columns | arrays
+                yield finish(whole) if finish and last else pa.RecordBatch.from_pydict(whole)
 
-        rows = rows.mapInArrow(step, fields if k else f"{fields}, {MARKS}")
-        if k + 1 < len(shards):
+        rows = rows.mapInArrow(step, fields if finish and last else f"{fields}, {MARKS}")
+        if not last:
             rows = stage(rows, "marked").rows
     return rows
 
@@ -256,28 +265,28 @@ def decontaminate(
     ones included, stay as they are. Everything happens in the task that reads
     the document.
     """
-    columns = docs.columns
-    inner = docs.toDF(*[f"_c{n}" if name != "text" else name for n, name in enumerate(columns)])
-    marked = mark(inner, items, window)
-
-    @F.udf("string", useArrow=True)
-    def cut(text, runs):
-        return None if text is None else remove_spans(text, list(runs), longer_than)
-
-    kept = marked.filter(f"{hit_words()} * 1D <= n_words * {float(coverage)!r}D")
-    # Python sees the few texts with hits only in full.
-    shown = F.when(F.size("runs") > 0, F.col("text"))
-    cleaned = kept.withColumn("_cut", cut(shown, F.when(F.size("runs") > 0, F.col("runs"))))
-    text = F.when(F.size("runs") > 0, F.col("_cut")).otherwise(F.col("text"))
-    made = []
-    for n, name in enumerate(columns):
-        if name == "text":
-            made.append(text.alias(name))
-        elif name == "n_chars":
-            made.append(
-                F.when(F.size("runs") > 0, F.length("_cut")).otherwise(F.col(f"_c{n}"))
-                .cast(docs.schema[name].dataType).alias(name)
-            )
-        else:
-            made.append(F.col(f"_c{n}").alias(name))
-    return cleaned.select(*made)
+    names = docs.columns
+    inner = docs.toDF(*[
+        name if name in ("text", "n_chars") else f"_c{n}" for n, name in enumerate(names)
+    ])
+
+    def finish(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        words, runs = columns["n_words"].to_pylist(), columns["runs"].to_pylist()
+        texts = columns["text"].to_pylist()
+        counts = columns["n_chars"].to_pylist() if "n_chars" in columns else None
+        kept = []
+        for n, spans in enumerate(runs):
+            hit = sum(spans[1::2]) - sum(spans[::2])
+            if hit <= words[n] * coverage:
+                kept.append(n)
+            if spans:
+                texts[n] = remove_spans(texts[n], spans, longer_than)
+                if counts:
+                    counts[n] = len(texts[n])
+        made = {name: array for name, array in columns.items() if name not in NEW}
+        made["text"] = pa.array(texts, made["text"].type)
+        if counts:
+            made["n_chars"] = pa.array(counts).cast(made["n_chars"].type)
+        return pa.RecordBatch.from_pydict(made).take(pa.array(kept, pa.int64()))
+
+    return _passed(inner, items, window, finish).toDF(*names)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from salesmart.storage import Staged, stage
 
+# Edges that a task holds while it cuts them to a forest.
+EDGES = 200_000
+
 
 def hook(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Union of pairs of places; ``parent`` holds roots before and after.
@@ -31,17 +34,30 @@ def hook(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             parent = above
 
 
+def forest(ends: np.ndarray) -> np.ndarray:
+    """Edges from nodes to the least of their component, of edges (2, n)."""
+    nodes, place = np.unique(ends, return_inverse=True)
+    left, right = place.reshape(ends.shape)
+    root = hook(np.arange(len(nodes)), left, right)
+    kept = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[kept], nodes[root[kept]]])
+
+
 def _thinned(edges: DataFrame) -> DataFrame:
-    """``(u, v)``, v below u, with the same components: a forest of each batch."""
+    """``(u, v)``, v below u, with the same components: forests of what a task reads."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), np.int64)
         for batch in batches:
-            ends = np.stack([column.to_numpy() for column in batch.columns])
-            nodes, place = np.unique(ends, return_inverse=True)
-            left, right = place.reshape(ends.shape)
-            root = hook(np.arange(len(nodes)), left, right)
-            kept = np.flatnonzero(root != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_pydict({"u": nodes[kept], "v": nodes[root[kept]]})
+            held = np.concatenate([held, [column.to_numpy() for column in batch.columns]], axis=1)
+            if held.shape[1] >= EDGES:
+                held = forest(held)
+                # What stays small after all is joined with what comes.
+                if held.shape[1] >= EDGES // 2:
+                    yield pa.RecordBatch.from_pydict({"u": held[0], "v": held[1]})
+                    held = held[:, :0]
+        held = forest(held)
+        yield pa.RecordBatch.from_pydict({"u": held[0], "v": held[1]})
 
     some = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
     return some.mapInArrow(thin, "u long, v long").distinct()

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm.tasks import held, share
+from salesmart.llm.tasks import held, share, small_batches
 from salesmart.storage import stage
 
 # Bytes of a string that counts as repeated.
@@ -605,6 +605,7 @@ def remove(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, group: int =
     each other; a null doc_id stays null. Other columns are not read. Only texts
     with runs are sent anywhere, compressed.
     """
+    small_batches(docs.sparkSession)
     texts = _keyed(docs)
     spans = marks(texts, span, anchor, group)
     runs = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.llm.decontamination import plain
-from salesmart.llm.tasks import held, share
+from salesmart.llm.tasks import held, share, small_batches
 from salesmart.storage import stage
 
 # The most frequent words have a place of their own, others share one by their
@@ -86,6 +86,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame, words: int = WORDS) -> Vocabulary:
     """From counts over all documents; what reaches the driver is of fixed size."""
+    small_batches(docs.sparkSession)
     counts = stage(count_words(docs), "counts").rows
     top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
     shared = counts.groupBy(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.llm.graph import components, hook
+from salesmart.llm.tasks import small_batches
 from salesmart.storage import stage
 
 BITS = 64
@@ -206,6 +207,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     get their row; a component of null ids only has a null id. Columns other
     than doc_id and text are not read.
     """
+    small_batches(docs.sparkSession)
     made = docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp"))
     made = stage(made, "fingerprints").rows
     firsts = stage(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts").rows

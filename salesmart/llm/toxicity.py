@@ -127,7 +127,7 @@ def _number(feature: str) -> int:
     return xxhash.xxh64_intdigest(feature)
 
 
-def kinds(words: list[str]) -> np.ndarray:
+def kinds(words: Iterable[str]) -> np.ndarray:
     """The distinct features of a document as 64-bit numbers: far smaller than texts."""
     found = {_number(f) for word in set(words) for f in features(word)}
     return np.sort(np.fromiter(found, np.uint64, len(found)))
@@ -171,16 +171,6 @@ def marks(seen: list[np.ndarray], toxic: np.ndarray) -> set[int]:
     return taken
 
 
-def tag(texts: list[list[str]], seen: list[np.ndarray], toxic: np.ndarray) -> list[np.ndarray]:
-    """Labelled words from labelled documents: in toxic ones, the words of a mark."""
-    found = marks(seen, toxic)
-    labels = []
-    for words, label in zip(texts, toxic, strict=True):
-        hit = {w for w in set(words) if label and any(_number(f) in found for f in features(w))}
-        labels.append(np.array([w in hit for w in words], float))
-    return labels
-
-
 def fit(texts: list[str | None], toxic: list[int], weights: tuple[float, float]) -> Chain:
     """The field by gradient steps on the likelihood of the labelled words, then
     the document score by logistic regression. ``weights``: what a clean and a
@@ -190,19 +180,24 @@ def fit(texts: list[str | None], toxic: list[int], weights: tuple[float, float])
     if not label.sum():
         model.document = np.array([0, 0, 0, -30.0])
         return model
-    words = [words_of(text) for text in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    seen_in = [kinds(w) for w in words]
-    y = np.concatenate([*tag(words, seen_in, label), np.zeros(0)])
+    # Words as numbers from here on, so that only distinct ones are held as texts.
+    vocabulary: dict[str, int] = {}
+    lengths, places, seen_in = [], array("q"), []
+    for text in texts:
+        words = words_of(text)
+        lengths.append(len(words))
+        places.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
+        seen_in.append(kinds(words))
+    lengths, places = np.array(lengths, np.int64), np.array(places, np.int64)
+    # Labelled words: in toxic documents, those with a mark.
+    found = marks(seen_in, label)
+    marked = np.array([any(_number(f) in found for f in features(w)) for w in vocabulary], float)
+    y = np.repeat(label, lengths) * marked[places]
     # A feature of one document only teaches nothing about others.
     common, n = np.unique(np.concatenate(seen_in), return_counts=True)
     common = set(common[n > 1].tolist())
     del seen_in
     number: dict[str, int] = {}
-    vocabulary: dict[str, int] = {}
-    places = np.fromiter(
-        (vocabulary.setdefault(w, len(vocabulary)) for ws in words for w in ws), np.int64
-    )
     # Feature ids of each distinct word.
     owner, ids = array("q"), array("q")
     for word, k in vocabulary.items():
@@ -234,7 +229,7 @@ def fit(texts: list[str | None], toxic: list[int], weights: tuple[float, float])
         rest += 0.3 * more / np.sqrt(rest_slow)
     model.step, model.bias, model.start = rest[:4].reshape(2, 2), float(rest[4]), float(rest[5])
     model.weight = {f: float(w[n]) for f, n in number.items() if abs(w[n]) > 0.05}
-    lift = np.fromiter((x for ws in words for x in model.lifts(ws)), float)
+    lift = np.array(model.lifts(vocabulary))[places]
     inputs = model.documents(model.marginals(lift, lengths), lengths)
     each = np.where(label > 0, float(weights[1]), float(weights[0]))
     each /= each.mean()

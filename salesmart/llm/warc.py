@@ -15,6 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesmart.llm.tasks import small_batches
 from salesmart.storage import fresh_path, stage
 
 # Payloads of fewer bytes are stored whole even where they repeat.
@@ -343,6 +344,7 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     refers_to``; what a revisit stands for is looked up at the response it
     refers to, by id and digest.
     """
+    small_batches(spark)
     packages = write_packages(pages, fresh_path(spark, "warc"))
     # Lists are tiny beside what they stand for: they are dealt out by that.
     each = packages.repartition(max(1, packages.count()), "package")
