@@ -29,7 +29,8 @@ def test_suffix_array_and_common_prefixes():
         starts = [text[i : i + depth] for i in order]
         assert sorted(order.tolist()) == list(range(len(text))) and starts == sorted(starts)
         for k, n in enumerate(repeats.common_prefixes(text, order, depth).tolist()[1:], start=1):
-            assert starts[k - 1][:n] == starts[k][:n] and starts[k - 1][: n + 1] != starts[k][: n + 1] or n == depth
+            one, two = starts[k - 1], starts[k]
+            assert one[:n] == two[:n] and (n == depth or one[: n + 1] != two[: n + 1])
 
 
 def test_pieces_cover_every_span_once(monkeypatch):

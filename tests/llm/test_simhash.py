@@ -81,6 +81,17 @@ def test_components_of_a_path_and_a_star(spark):
     )
 
 
+@pytest.mark.parametrize("held", [200_000, 50])
+def test_components_of_a_clique(spark, monkeypatch, held):
+    """All pairs of a group come down to a forest, in one piece or many."""
+    monkeypatch.setattr(graph, "EDGES", held)
+    pairs = [(a, b) for a in range(5, 60) for b in range(a + 1, 60)] + [(1, 2), (2, 59)]
+    frame = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    assert graph._thinned(frame).count() <= 3 * 57
+    made = {r.node: r.component for r in graph.components(frame).collect()}
+    assert made == {n: 1 for n in (1, 2, *range(5, 60))}
+
+
 def test_odd_rows(nasty, empty):
     rows = simhash.near_duplicates(nasty).collect()
     assert len(rows) == nasty.count()
