@@ -155,3 +155,32 @@ def op9_repeats(spark, sf_dir):
         "doc_id", "n_bytes", f"{n_removed} AS n_removed", "bigint(size(runs)) AS n_spans",
         "sha2(kept, 256) AS kept_sha256",
     )
+
+
+# Texts as hexadecimal: two letters a byte.
+ORACLE_SQL["op9_repeats"] = """
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) AS n,
+        hex(encode(coalesce(text, ''))) AS h FROM documents),
+span AS (
+    SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k
+    FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM doc WHERE n >= 400)),
+twice AS (SELECT k FROM span GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i FROM span SEMI JOIN twice USING (k)),
+marked AS (
+    SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new
+    FROM hit),
+run AS (
+    SELECT r, min(i) AS s, max(i) + 400 AS e
+    FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM marked) GROUP BY r, g),
+gap AS (
+    SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b FROM run
+    UNION ALL SELECT r, coalesce(max(e), 0), any_value(n) FROM doc LEFT JOIN run USING (r) GROUP BY r),
+kept AS (
+    SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h
+    FROM gap JOIN doc USING (r) GROUP BY r),
+total AS (SELECT r, count(*) AS n_spans, sum(e - s) AS n_removed FROM run GROUP BY r)
+SELECT doc_id, CAST(n AS bigint) AS n_bytes, CAST(coalesce(n_removed, 0) AS bigint) AS n_removed,
+    coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM doc JOIN kept USING (r) LEFT JOIN total USING (r)
+"""
