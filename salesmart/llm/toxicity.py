@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from array import array
 from collections import Counter
@@ -27,6 +28,8 @@ ROUNDS = 60
 # documents and there is at most one clean one to so many toxic ones.
 SUPPORT, PURITY = 3, 20
 PART = 500
+# Words of sample documents that pass through the field at a time.
+BLOCK = 100_000
 
 _WORD = re.compile(r"\w+")
 
@@ -215,22 +218,37 @@ def fit(texts: list[str | None], toxic: list[int], weights: tuple[float, float])
     w, slow = np.zeros(len(number)), np.ones(len(number))
     rest, rest_slow = np.zeros(6), np.ones(6)
     rest[4] = -3.0
+    # Documents go through the passes some at a time: their arrays are many.
+    ends = np.cumsum(lengths)
+    inner = np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK))
+    cuts = np.unique(np.concatenate(([0], inner, [len(ends)])))
+    blocks = [
+        (slice(a, b), slice(int(ends[a] - lengths[a]), int(ends[b - 1])))
+        for a, b in itertools.pairwise(cuts.tolist())
+    ]
+    p = np.zeros(len(y))
     for _ in range(ROUNDS):
         model.step, model.bias, model.start = rest[:4].reshape(2, 2), rest[4], rest[5]
-        lift = np.bincount(owner, w[ids], len(vocabulary))[places]
-        p, counts, p_first = model.marginals(lift, lengths, pairs=True)
+        by_word = np.bincount(owner, w[ids], len(vocabulary))
+        counts, firsts = np.zeros((2, 2)), 0.0
+        for docs, at in blocks:
+            p[at], some, p_first = model.marginals(by_word[places[at]], lengths[docs], pairs=True)
+            counts += some
+            firsts += p_first.sum()
         off = np.bincount(places, y - p, len(vocabulary))
         grad = np.bincount(ids, off[owner], len(number)) - 0.05 * w
         slow += grad**2
         w += 0.5 * grad / np.sqrt(slow)
-        more = [*(observed - counts).ravel(), (y - p).sum(), y[first].sum() - p_first.sum()]
+        more = [*(observed - counts).ravel(), (y - p).sum(), y[first].sum() - firsts]
         more = np.array(more) - 0.05 * rest
         rest_slow += more**2
         rest += 0.3 * more / np.sqrt(rest_slow)
     model.step, model.bias, model.start = rest[:4].reshape(2, 2), float(rest[4]), float(rest[5])
     model.weight = {f: float(w[n]) for f, n in number.items() if abs(w[n]) > 0.05}
-    lift = np.array(model.lifts(vocabulary))[places]
-    inputs = model.documents(model.marginals(lift, lengths), lengths)
+    by_word = np.array(model.lifts(vocabulary))
+    for docs, at in blocks:
+        p[at] = model.marginals(by_word[places[at]], lengths[docs])
+    inputs = model.documents(p, lengths)
     each = np.where(label > 0, float(weights[1]), float(weights[0]))
     each /= each.mean()
     theta = np.zeros(4)
