@@ -96,10 +96,15 @@ def _join(table: pa.Table, threshold: float) -> pa.Table:
         chunk = table.column("chunk").to_numpy()
         left, right = np.flatnonzero(chunk == key[-2]), np.flatnonzero(chunk == key[-1])
         found += near_pairs(x, u, left, left if key[-2] == key[-1] else right, threshold)
-    a = ids[np.concatenate([f[0] for f in found])] if found else ids[:0]
-    b = ids[np.concatenate([f[1] for f in found])] if found else ids[:0]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    none = np.zeros(0, np.int64)
+    a = np.concatenate([none, *(f[0] for f in found)])
+    b = np.concatenate([none, *(f[1] for f in found)])
+    # By id, and each pair once.
+    a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+    _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
+    a, b = a[once], b[once]
+    n = table.column("n").to_numpy()
+    return pa.table({"a": ids[a], "b": ids[b], "n_a": n[a], "n_b": n[b]})
 
 
 def _projected(rows: DataFrame) -> DataFrame:
@@ -128,20 +133,20 @@ def _subtrees(rows: DataFrame, subtree: int) -> DataFrame:
     """
     settled = []
     while True:
-        sizes = stage(rows.groupBy(*NODE).agg(F.count("*").alias("n")), "sizes").rows
-        large = sizes.filter(F.col("n") > subtree)
+        sizes = stage(rows.groupBy(*NODE).agg(F.count("*").alias("size")), "sizes").rows
+        large = sizes.filter(F.col("size") > subtree)
         if large.isEmpty():
             break
         sized = rows.join(sizes, list(NODE))
-        settled.append(sized.filter(F.col("n") <= subtree).drop("n"))
-        big = stage(_projected(sized.filter(F.col("n") > subtree)), "large").rows
+        settled.append(sized.filter(F.col("size") <= subtree).drop("size"))
+        big = stage(_projected(sized.filter(F.col("size") > subtree)), "large").rows
         cuts = big.groupBy(*NODE).agg(
             F.percentile_approx("p", [1 - SIDE, SIDE], 10_000).alias("cut"),
             F.var_pop("p").alias("spread"),
         )
         cut = big.join(stage(cuts, "cuts").rows, list(NODE))
         flat = F.col("spread") < 0.1
-        chunks = F.ceil(F.col("n") / subtree)
+        chunks = F.ceil(F.col("size") / subtree)
         dense = cut.filter(flat).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
         dense = dense.withColumn("other", F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1)))
         settled.append(
@@ -167,15 +172,16 @@ def _subtrees(rows: DataFrame, subtree: int) -> DataFrame:
 def pairs(
     classes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, subtree: int = SUBTREE
 ) -> DataFrame:
-    """Distinct linked pairs ``(a, b)`` of ids, a below b, of ``(id, label, embedding)``."""
+    """Distinct linked pairs ``(a, b, n_a, n_b)`` of ids, a below b, with what ``n``
+    says of each, of ``(id, label, embedding, n)``."""
     rows = classes.select(
         F.explode(F.array(*[F.lit(n) for n in range(trees)])).alias("tree"),
-        "label", F.size("embedding").alias("dim"), F.lit("").alias("node"), "id", "embedding",
+        "label", F.size("embedding").alias("dim"), F.lit("").alias("node"), "id", "embedding", "n",
         F.lit(0).alias("chunk"), F.lit(0).alias("i"), F.lit(-1).alias("j"),
     )
     dealt = _subtrees(rows, subtree)
     joined = dealt.groupBy(*NODE, "i", "j").applyInArrow(
-        lambda table: _join(table, threshold), "a long, b long"
+        lambda table: _join(table, threshold), "a long, b long, n_a long, n_b long"
     )
     return joined.distinct()
 
@@ -211,10 +217,10 @@ def near_duplicates(
     )
     # Written once, so the numbers given here stay.
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes").rows
-    linked = stage(pairs(classes.select("id", "label", "embedding"), threshold, trees, subtree), "pairs").rows
-    counts = classes.select("id", "n")
-    both = linked.unionByName(linked.selectExpr("b AS a", "a AS b"))
-    more = both.join(counts, both["b"] == counts["id"]).groupBy("a").agg(F.sum("n").alias("more"))
+    found = pairs(classes.select("id", "label", "embedding", "n"), threshold, trees, subtree)
+    linked = stage(found, "pairs").rows
+    both = linked.selectExpr("a", "n_b AS n").unionByName(linked.selectExpr("b AS a", "n_a AS n"))
+    more = both.groupBy("a").agg(F.sum("n").alias("more"))
     joined = stage(components(linked), "components").rows
     rooted = (
         classes.select("k", "l", "id", "first", "n")
