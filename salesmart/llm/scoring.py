@@ -84,11 +84,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame, words: int) -> DataFrame:
+    """The words among which the most frequent ones are: those of at least the
+    power of two that enough words reach. Without the rest, what tasks hand on
+    does not grow with their number."""
+    sizes = counts.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()
+    reached = 0
+    for row in sorted(sizes, key=lambda row: -row.power):
+        reached += row["count"]
+        if reached >= words:
+            return counts.filter(F.col("n") >= 2**row.power)
+    return counts
+
+
 def vocabulary(docs: DataFrame, words: int = WORDS) -> Vocabulary:
     """From counts over all documents; what reaches the driver is of fixed size."""
     small_batches(docs.sparkSession)
     counts = stage(count_words(docs), "counts").rows
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
+    top = _frequent(counts, words).orderBy(F.desc("n"), "word").limit(words).collect()
     shared = counts.groupBy(
         F.expr(f"crc32(substring(word, 1, {BEGINNING})) % {SHARED}").alias("place")
     ).agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()

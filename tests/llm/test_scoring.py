@@ -34,6 +34,15 @@ def test_counts_cover_all_words(spark, documents, small):
     assert got == want
 
 
+def test_the_most_frequent_words(spark):
+    rows = [(f"w{n}".encode(), 1 + n * n % 37) for n in range(80)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for size in (1, 5, 79, 80, 200):
+        some = s._frequent(counts, size)
+        got = [r.n for r in some.orderBy(s.F.desc("n")).limit(size).collect()]
+        assert got == sorted((n for _, n in rows), reverse=True)[:size]
+
+
 def test_probabilities_add_up(spark, documents, small):
     docs = documents([*texts_of(30, 1), "seldom rare words"])
     words = s.vocabulary(docs, words=4)
