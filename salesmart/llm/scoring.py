@@ -2,7 +2,7 @@
 
 Every word is predicted from the words on both sides of it. The network gives
 the probability of the word's class, counts of the whole corpus that of the word
-within its class.
+within its class: every word has its own, also those that share a place.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from salesmart.llm.tasks import held, share, small_batches
 from salesmart.storage import stage
 
 # The most frequent words have a place of their own, others share one by their
-# beginning: sizes of the model, whatever the corpus.
+# beginning: sizes of the network, whatever the corpus. Counts are kept of all.
 WORDS, SHARED, BEGINNING = 16_384, 1024, 3
 CLASSES, WIDTH = 32, 16
 SIDES = (-2, -1, 1, 2)
@@ -39,11 +39,19 @@ FAN, SLICES = 32, 16
 
 @dataclass
 class Vocabulary:
-    """Places of words, the class of each place, and log-probabilities within."""
+    """Places of words, the class of each place, and log-probabilities within.
+
+    ``mass`` and ``kinds`` are the occurrences and the distinct words of a place,
+    ``counts`` is where the counts of all words are staged. Half an occurrence is
+    added to each place: it is spread over its words.
+    """
 
     words: dict[bytes, int]
     classes: np.ndarray
     within: np.ndarray
+    mass: np.ndarray
+    kinds: np.ndarray
+    counts: str
 
     def places(self, words: list[bytes]) -> list[int]:
         get, first = self.words.get, len(self.words)
@@ -100,7 +108,8 @@ def _frequent(counts: DataFrame, words: int) -> DataFrame:
 def vocabulary(docs: DataFrame, words: int = WORDS) -> Vocabulary:
     """From counts over all documents; what reaches the driver is of fixed size."""
     small_batches(docs.sparkSession)
-    counts = stage(count_words(docs), "counts").rows
+    staged = stage(count_words(docs), "counts")
+    counts = staged.rows
     top = _frequent(counts, words).orderBy(F.desc("n"), "word").limit(words).collect()
     shared = counts.groupBy(
         F.expr(f"crc32(substring(word, 1, {BEGINNING})) % {SHARED}").alias("place")
@@ -124,8 +133,8 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> Vocabulary:
         (np.cumsum(mass[order]) - mass[order] / 2) / mass.sum() * CLASSES, CLASSES - 1
     ).astype(np.int64)
     total = np.bincount(classes, mass, CLASSES)
-    within = np.log(mass / total[classes]) - np.log(np.maximum(kinds, 1))
-    return Vocabulary(numbers, classes, within)
+    within = np.log(mass / total[classes])
+    return Vocabulary(numbers, classes, within, mass, np.maximum(kinds, 1).astype(np.int64), staged.path)
 
 
 class Network:
@@ -266,7 +275,7 @@ def train(docs: DataFrame, words: Vocabulary, passes: int = PASSES) -> Network:
 
 
 def log_probs(texts: list[list[int]], words: Vocabulary, network: Network) -> tuple[np.ndarray, np.ndarray]:
-    """log P of each word given the words around it, and each one's document."""
+    """log P of each word's place given the words around it, and each one's document."""
     places, around, doc = windows(texts, words.size)
     made = words.within[places]
     kinds = words.classes[places]
@@ -276,32 +285,72 @@ def log_probs(texts: list[list[int]], words: Vocabulary, network: Network) -> tu
     return made, doc
 
 
+TAIL = pa.struct([("word", pa.binary()), ("times", pa.int32()), ("kinds", pa.int64())])
+
+
+def _tails(split: list[list[bytes]], places: list[list[int]], known: Vocabulary) -> pa.Array:
+    """The distinct words of each document that share their place, and how often each occurs."""
+    first = len(known.words)
+    ends, rows = [0], []
+    for words, at in zip(split, places, strict=True):
+        seen = Counter((word, place) for word, place in zip(words, at, strict=True) if place >= first)
+        rows += [(word, times, place) for (word, place), times in seen.items()]
+        ends.append(len(rows))
+    words, times, at = zip(*rows, strict=True) if rows else ((), (), ())
+    made = pa.StructArray.from_arrays([
+        pa.array(words, pa.binary()), pa.array(times, pa.int32()),
+        pa.array(known.kinds[np.array(at, np.int64)], pa.int64()),
+    ], fields=list(TAIL))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+
+
 def score(docs: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
     """``doc_id, n_words, log_prob, mean_log_prob`` per document.
 
     ``log_prob`` is the pseudo-log-likelihood: the sum over all words of the
     whole text. Null and wordless texts have 0 words, 0 as sum and a null mean;
-    repeated rows each have their row; other columns are not read.
+    repeated rows each have their row; other columns are not read. Tasks add up
+    what the network says; words that share a place then meet their own counts
+    in a join. None of them is frequent, so no key is crowded.
     """
-    shared = share(docs.sparkSession, (words, network))
+    spark = docs.sparkSession
+    shared = share(spark, (words, network))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, net = held(shared)
+        # Rows are numbered within their task.
+        first, key = len(known.words), TaskContext.get().partitionId() << 33
         for whole in batches:
             for start in range(0, whole.num_rows, PART):
                 batch = whole.slice(start, PART)
-                texts = [known.places(plain(text.as_py()).split()) for text in batch.column(1)]
+                split = [plain(text.as_py()).split() for text in batch.column(1)]
+                texts = [known.places(words) for words in split]
                 each, doc = log_probs(texts, known, net)
+                place = np.fromiter((x for t in texts for x in t), np.int64, len(doc))
+                each = each - np.where(place >= first, np.log(known.mass[place]), 0)
                 yield pa.RecordBatch.from_pydict({
+                    "key": pa.array(range(key, key + len(texts)), pa.int64()),
                     "doc_id": batch.column(0),
                     "n_words": pa.array([len(t) for t in texts], pa.int64()),
                     "log_prob": pa.array(np.bincount(doc, each, len(texts)), pa.float64()),
+                    "tail": _tails(split, texts, known),
                 })
+                key += len(texts)
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInArrow(make, f"doc_id {kind}, n_words long, log_prob double")
-    return made.withColumn("mean_log_prob", F.try_divide("log_prob", "n_words"))
+    made = stage(rows.mapInArrow(
+        make, f"key long, doc_id {kind}, n_words long, log_prob double, "
+        "tail array<struct<word: binary, times: int, kinds: long>>",
+    ), "scored").rows
+    counts = spark.read.schema("word binary, n long").parquet(words.counts)
+    own = made.select("key", F.inline("tail")).join(counts, "word", "left").groupBy("key").agg(
+        F.sum(F.expr("times * ln(coalesce(n, 0L) + 0.5D / kinds)")).alias("own")
+    )
+    done = made.drop("tail").join(own, "key", "left").select(
+        "doc_id", "n_words", (F.col("log_prob") + F.coalesce("own", F.lit(0.0))).alias("log_prob")
+    )
+    return done.withColumn("mean_log_prob", F.try_divide("log_prob", "n_words"))
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:

@@ -93,6 +93,20 @@ def test_order_matters_after_training(spark, documents, small):
     assert s.log_probs(plain, words, net)[0].mean() > s.log_probs(mixed, words, net)[0].mean() + 0.1
 
 
+def test_every_word_has_its_own_count(spark, documents, small):
+    """Words of one shared place score by their own counts; all of them add up to it."""
+    times = {"common": 50, "rarer": 1, "raring": 23, "rarity": 6}
+    docs = documents([word for word, n in times.items() for _ in range(n)])
+    words = s.vocabulary(docs, words=1)
+    assert len({place for place in words.places([b"rarer", b"raring", b"rarity"])}) == 1
+    net = s.Network(words.size, seed=1)
+    got = {r.doc_id: r.log_prob for r in s.score(documents([*times, "rarely"]), words, net).collect()}
+    for k, n in enumerate([1, 23, 6, 0], 1):
+        assert abs(got[k] - got[1] - np.log((n + 1 / 6) / (1 + 1 / 6))) < 1e-6
+    place = s.log_probs([words.places([b"rarer"])], words, net)[0][0]
+    assert abs(np.exp([got[k] for k in (1, 2, 3)]).sum() - np.exp(place)) < 1e-6
+
+
 def test_odd_rows(nasty, empty, small):
     assert s.score_corpus(nasty).count() == nasty.count()
     assert s.score_corpus(empty).count() == 0
