@@ -1,8 +1,8 @@
 """Language-model scores: masked pseudo-likelihood by a window network in numpy.
 
 Every word is predicted from the words on both sides of it. The network gives
-the probability of the word's class, counts of the whole corpus that of the word
-within its class: every word has its own, also those that share a place.
+the probability of the word's class and that of its place within the class, both
+by softmax from one hidden layer; words that share a place have their own counts.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ from salesmart.storage import stage
 # The most frequent words have a place of their own, others share one by their
 # beginning: sizes of the network, whatever the corpus. Counts are kept of all.
 WORDS, SHARED, BEGINNING = 16_384, 1024, 3
-CLASSES, WIDTH = 32, 16
+# About as many classes as the square root of the places.
+CLASSES, WIDTH = 128, 16
 SIDES = (-2, -1, 1, 2)
 PASSES = 2
 # Gradient steps see so many words at a time, scores are computed for so many.
-STEP, LESSON, LOT = 0.2, 1024, 4096
+STEP, LESSON, LOT = 0.2, 1024, 16_384
+# Steps on places within classes: their size, and words that take part at a time.
+INNER, LONG_LESSON = 0.2, 8192
 # Distinct words that a counting task keeps before it hands them on.
 COUNTED = 200_000
 PART = 500
@@ -41,6 +44,8 @@ FAN, SLICES = 32, 16
 class Vocabulary:
     """Places of words, the class of each place, and log-probabilities within.
 
+    ``within`` holds what the counts say, from which the network departs. In
+    ``rank`` places are ordered by class; each class is a range of ``bounds``.
     ``mass`` and ``kinds`` are the occurrences and the distinct words of a place,
     ``counts`` is where the counts of all words are staged. Half an occurrence is
     added to each place: it is spread over its words.
@@ -53,6 +58,13 @@ class Vocabulary:
     kinds: np.ndarray
     counts: str
 
+    def __post_init__(self):
+        order = np.argsort(self.classes, kind="stable")
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.bounds = np.searchsorted(self.classes[order], np.arange(CLASSES + 1))
+        self.prior = self.within[order].astype(np.float32)
+
     def places(self, words: list[bytes]) -> list[int]:
         get, first = self.words.get, len(self.words)
         made = []
@@ -126,11 +138,13 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> Vocabulary:
         kinds[place] -= 1
     kinds[: len(numbers)] = 1
     mass += 0.5
-    # Classes of about equal mass, frequent words first: common ones stand alone.
+    # Frequent words first, in classes of about equal sums of roots: that makes
+    # the classes that words meet on average as small as their number allows.
     order = np.argsort(-mass, kind="stable")
+    roots = np.sqrt(mass[order])
     classes = np.empty(len(mass), np.int64)
     classes[order] = np.minimum(
-        (np.cumsum(mass[order]) - mass[order] / 2) / mass.sum() * CLASSES, CLASSES - 1
+        (np.cumsum(roots) - roots / 2) / roots.sum() * CLASSES, CLASSES - 1
     ).astype(np.int64)
     total = np.bincount(classes, mass, CLASSES)
     within = np.log(mass / total[classes])
@@ -138,7 +152,7 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> Vocabulary:
 
 
 class Network:
-    """Embeddings of the words around, one hidden layer, classes as output."""
+    """Embeddings of the words around, one hidden layer, classes and places in them as output."""
 
     def __init__(self, places: int, seed: int = 0):
         draw = np.random.default_rng(seed)
@@ -148,8 +162,12 @@ class Network:
         self.out = draw.normal(0, 0.2, (WIDTH, CLASSES)).astype(np.float32)
         self.hidden_bias = np.zeros(WIDTH, np.float32)
         self.bias = np.zeros(CLASSES, np.float32)
+        # One row per place, by rank; at first, counts alone decide within a class.
+        self.inner = np.zeros((places, WIDTH), np.float32)
+        # Squares of the gradients on them so far; each task has its own.
+        self.moved = np.full((places, WIDTH), 1e-2, np.float32)
 
-    NAMES = ("embed", "mix", "out", "hidden_bias", "bias")
+    NAMES = ("embed", "mix", "out", "hidden_bias", "bias", "inner")
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, name).ravel() for name in self.NAMES])
@@ -162,32 +180,83 @@ class Network:
             at += old.size
         return self
 
+    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs and hidden layer."""
+        x = self.embed[around].reshape(len(around), -1)
+        return x, np.tanh(x @ self.mix + self.hidden_bias)
+
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, hidden layer and log-probabilities of the classes."""
-        x = self.embed[around].reshape(len(around), -1)
-        h = np.tanh(x @ self.mix + self.hidden_bias)
+        x, h = self.hidden(around)
         z = h @ self.out + self.bias
         z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return x, h, z
 
+    def _by_class(self, h: np.ndarray, places: np.ndarray, known: Vocabulary) -> Iterator[tuple]:
+        """Of each class of several places: its range, which words are in it, their
+        places in it, and the exponentials and sums of its softmax."""
+        kinds = known.classes[places]
+        order = np.argsort(kinds, kind="stable")
+        edges = np.searchsorted(kinds[order], np.arange(len(known.bounds)))
+        rank = known.rank[places]
+        sizes = np.diff(known.bounds)
+        for c in np.flatnonzero((np.diff(edges) > 0) & (sizes > 1)).tolist():
+            here = order[edges[c] : edges[c + 1]]
+            low, high = known.bounds[c], known.bounds[c + 1]
+            z = h[here] @ self.inner[low:high].T
+            z += known.prior[low:high]
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            yield low, high, here, rank[here] - low, z, z.sum(axis=1)
+
+    def within(self, h: np.ndarray, places: np.ndarray, known: Vocabulary) -> np.ndarray:
+        """Log-probability of each place within its class."""
+        made = np.zeros(len(places))
+        tiny = np.finfo(np.float32).tiny
+        for _, _, here, at, z, total in self._by_class(h, places, known):
+            made[here] = np.log(np.maximum(z[np.arange(len(at)), at], tiny) / total)
+        return made
+
+    def _back(self, around: np.ndarray, x: np.ndarray, h: np.ndarray, dh: np.ndarray, scale: float) -> None:
+        """A step of the embeddings and the hidden layer."""
+        dh = dh * (1 - h * h)
+        # An embedding row is touched by few words of a lot, the rest by all.
+        dx = (dh @ self.mix.T).reshape(-1, WIDTH)
+        # Short numbers are sorted by their digits, in a fraction of the time.
+        flat = around.ravel().astype(np.uint16 if len(self.embed) <= 1 << 16 else np.int64)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        self.embed[flat[starts]] -= scale * 20 * np.add.reduceat(dx[order], starts)
+        self.mix -= scale * 5 * (x.T @ dh)
+        self.hidden_bias -= scale * 5 * dh.sum(axis=0)
+
     def learn(self, around: np.ndarray, target: np.ndarray, step: float = STEP) -> None:
         """One gradient step on the log-likelihood of the targets' classes."""
         x, h, z = self.forward(around)
         g = np.exp(z)
         g[np.arange(len(target)), target] -= 1
-        dh = (g @ self.out.T) * (1 - h * h)
+        dh = g @ self.out.T
         scale = step / len(target)
-        # An embedding row is touched by few words of a lot, the rest by all.
-        dx = (dh @ self.mix.T).reshape(-1, WIDTH)
-        flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
-        places, starts = np.unique(flat[order], return_index=True)
-        self.embed[places] -= scale * 20 * np.add.reduceat(dx[order], starts)
         self.out -= scale * 5 * (h.T @ g)
-        self.mix -= scale * 5 * (x.T @ dh)
-        self.hidden_bias -= scale * 5 * dh.sum(axis=0)
         self.bias -= scale * 5 * g.sum(axis=0)
+        self._back(around, x, h, dh, scale)
+
+    def learn_within(
+        self, around: np.ndarray, places: np.ndarray, known: Vocabulary, step: float = STEP
+    ) -> None:
+        """One gradient step on the log-likelihood of places within their classes."""
+        x, h = self.hidden(around)
+        dh = np.zeros_like(h)
+        for low, high, here, at, g, total in self._by_class(h, places, known):
+            g /= total[:, None]
+            g[np.arange(len(at)), at] -= 1
+            dh[here] = g @ self.inner[low:high]
+            d = g.T @ h[here]
+            self.moved[low:high] += d * d
+            self.inner[low:high] -= INNER * d / np.sqrt(self.moved[low:high])
+        self._back(around, x, h, dh, step / len(places))
 
 
 def windows(texts: list[list[int]], outside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,10 +321,12 @@ def train(docs: DataFrame, words: Vocabulary, passes: int = PASSES) -> Network:
                 for start in range(0, whole.num_rows, PART):
                     texts = whole.slice(start, PART).column(0)
                     places = [known.places(plain(text.as_py()).split()) for text in texts]
-                    target, around, _ = windows(places, known.size)
-                    target = known.classes[target]
+                    place, around, _ = windows(places, known.size)
+                    target = known.classes[place]
                     for at in range(0, len(target), LESSON):
                         own.learn(around[at : at + LESSON], target[at : at + LESSON])
+                    for at in range(0, len(place), LONG_LESSON):
+                        own.learn_within(around[at : at + LONG_LESSON], place[at : at + LONG_LESSON], known)
                     n += len(target)
             if n:
                 total = np.array_split(own.flat().astype(np.float64) * n, SLICES)
@@ -277,11 +348,12 @@ def train(docs: DataFrame, words: Vocabulary, passes: int = PASSES) -> Network:
 def log_probs(texts: list[list[int]], words: Vocabulary, network: Network) -> tuple[np.ndarray, np.ndarray]:
     """log P of each word's place given the words around it, and each one's document."""
     places, around, doc = windows(texts, words.size)
-    made = words.within[places]
+    made = np.empty(len(places))
     kinds = words.classes[places]
     for at in range(0, len(places), LOT):
-        _, _, z = network.forward(around[at : at + LOT])
-        made[at : at + LOT] += z[np.arange(len(z)), kinds[at : at + LOT]]
+        _, h, z = network.forward(around[at : at + LOT])
+        made[at : at + LOT] = z[np.arange(len(z)), kinds[at : at + LOT]]
+        made[at : at + LOT] += network.within(h, places[at : at + LOT], words)
     return made, doc
 
 

@@ -107,6 +107,36 @@ def test_every_word_has_its_own_count(spark, documents, small):
     assert abs(np.exp([got[k] for k in (1, 2, 3)]).sum() - np.exp(place)) < 1e-6
 
 
+def test_context_separates_words_of_one_class(spark, documents, small, monkeypatch):
+    """Exchanging a word for another of its class costs probability on held-out texts."""
+    monkeypatch.setattr(s, "LONG_LESSON", 256)
+    ring = [f"w{k}" for k in range(12)]
+
+    def made(n, seed):
+        random.seed(seed)
+        starts = [random.randrange(12) for _ in range(n)]
+        return [" ".join(ring[(at + k) % 12] for k in range(random.randint(10, 40))) for at in starts]
+
+    docs = documents(made(3000, 6))
+    words = s.vocabulary(docs, words=12)
+    net = s.train(docs.repartition(3), words)
+    assert max(np.bincount(words.classes[:12])) >= 3
+    places = [words.places(s.plain(t).split()) for t in made(100, 7)]
+    at, around, _ = s.windows(places, words.size)
+    h = net.hidden(around)[1]
+    assert net.within(h, at, words).mean() > words.within[at].mean() + 0.3
+    true, other = [], []
+    for k in range(0, len(at), 7):
+        same = [x for x in range(12) if words.classes[x] == words.classes[at[k]] and x != at[k]]
+        if same:
+            true.append(net.within(h[k : k + 1], at[k : k + 1], words)[0])
+            other.append(net.within(h[k : k + 1], np.array(same[:1]), words)[0])
+    assert np.mean(true) > np.mean(other) + 0.5
+    every = np.arange(words.size)
+    total = np.bincount(words.classes, np.exp(net.within(np.repeat(h[:1], words.size, 0), every, words)))
+    assert np.allclose(total[total > 0], 1, atol=1e-5)
+
+
 def test_odd_rows(nasty, empty, small):
     assert s.score_corpus(nasty).count() == nasty.count()
     assert s.score_corpus(empty).count() == 0
