@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.llm.graph import components
+from salesmart.llm.tasks import held, share
 from salesmart.storage import stage
 
 THRESHOLD = 0.93
-TREES = 4
+# Trees at first; their number doubles for labels of a size of which less than
+# this share of the links of about so many query vectors is found.
+TREES, RECALL, QUERIES = 4, 0.995, 1024
 # A split sends the lower and the upper 60 % to its sides: 20 % go to both.
 SIDE = 0.6
 # Vectors of a leaf, and those of a subtree that one task builds.
@@ -170,12 +173,13 @@ def _subtrees(rows: DataFrame, subtree: int) -> DataFrame:
 
 
 def pairs(
-    classes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, subtree: int = SUBTREE
+    classes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, subtree: int = SUBTREE,
+    first: int = 0,
 ) -> DataFrame:
     """Distinct linked pairs ``(a, b, n_a, n_b)`` of ids, a below b, with what ``n``
-    says of each, of ``(id, label, embedding, n)``."""
+    says of each, of ``(id, label, embedding, n)``. Trees are numbered from ``first``."""
     rows = classes.select(
-        F.explode(F.array(*[F.lit(n) for n in range(trees)])).alias("tree"),
+        F.explode(F.array(*[F.lit(n) for n in range(first, first + trees)])).alias("tree"),
         "label", F.size("embedding").alias("dim"), F.lit("").alias("node"), "id", "embedding", "n",
         F.lit(0).alias("chunk"), F.lit(0).alias("i"), F.lit(-1).alias("j"),
     )
@@ -186,6 +190,83 @@ def pairs(
     return joined.distinct()
 
 
+def _known_links(sized: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, power``: all links of query vectors, by comparison with their whole label.
+
+    About ``QUERIES`` vectors of each ``power``, the size of labels by powers of
+    two, are drawn by the hash of their id, so what is broadcast is bounded.
+    """
+    totals = {r.power: r.n for r in sized.groupBy("power").agg(F.count("*").alias("n")).collect()}
+    share_of = F.create_map(*[F.lit(x) for p, n in totals.items() for x in (p, QUERIES / n)])
+    drawn = F.expr("pmod(xxhash64(id, 'query'), 1000003) / 1000003D") < share_of[F.col("power")]
+    asked: dict = {}
+    for row in sized.filter(drawn).select("label", "dim", "id", "embedding").collect():
+        asked.setdefault((row.label, row.dim), []).append((row.id, row.embedding))
+    queries = {
+        key: (np.array([k for k, _ in rows]), np.array([x for _, x in rows], np.float64))
+        for key, rows in asked.items()
+    }
+    shared = share(sized.sparkSession, queries)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = list(zip(table.column("label").to_pylist(), table.column("dim").to_pylist(), strict=True))
+            places: dict = {}
+            for n, key in enumerate(keys):
+                places.setdefault(key, []).append(n)
+            for key, at in places.items():
+                if key not in held(shared):
+                    continue
+                theirs, y = held(shared)[key]
+                part = table.take(pa.array(at))
+                ids, x = part.column("id").to_numpy(), _matrix(part)
+                both = np.concatenate([x, y])
+                left, right = np.arange(len(x)), np.arange(len(x), len(both))
+                names = np.concatenate([ids, theirs])
+                power = part.column("power")[0].as_py()
+                for i, j in near_pairs(both, _unit(both), left, right, threshold):
+                    a, b = names[i], names[j]
+                    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+                    yield pa.RecordBatch.from_pydict({
+                        "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
+                        "power": pa.array([power] * len(a), pa.int64()),
+                    })
+
+    return sized.select("label", "dim", "id", "embedding", "power").mapInArrow(
+        compare, "a long, b long, power long"
+    ).distinct()
+
+
+def _enough_pairs(classes: DataFrame, threshold: float, trees: int, subtree: int) -> DataFrame:
+    """Linked pairs by as many trees as find the links of query vectors.
+
+    Labels that no tree splits are compared whole and need no queries.
+    """
+    found = stage(pairs(classes, threshold, trees, subtree), "pairs").rows
+    dim = F.size("embedding").alias("dim")
+    sizes = classes.groupBy("label", dim).agg(F.count("*").alias("size"))
+    sizes = sizes.filter(F.col("size") > min(LEAF, subtree)).select(
+        "label", "dim", F.floor(F.log2("size")).alias("power")
+    )
+    sizes = stage(sizes, "split").rows
+    if sizes.isEmpty():
+        return found
+    sized = classes.withColumn("dim", dim).join(sizes, ["label", "dim"])
+    links = stage(_known_links(sized, threshold), "known").rows
+    wanted = {r.power: r.n for r in links.groupBy("power").agg(F.count("*").alias("n")).collect()}
+    made = trees
+    while True:
+        missed = links.join(found, ["a", "b"], "left_anti").groupBy("power").agg(F.count("*").alias("n"))
+        short = [r.power for r in missed.collect() if r.n > (1 - RECALL) * wanted[r.power]]
+        if not short:
+            return found
+        again = sized.filter(F.col("power").isin(short)).select("id", "label", "embedding", "n")
+        more = pairs(again, threshold, made, subtree, made)
+        found = stage(found.unionByName(more).distinct(), "pairs").rows
+        made *= 2
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, subtree: int = SUBTREE
 ) -> DataFrame:
@@ -217,8 +298,7 @@ def near_duplicates(
     )
     # Written once, so the numbers given here stay.
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes").rows
-    found = pairs(classes.select("id", "label", "embedding", "n"), threshold, trees, subtree)
-    linked = stage(found, "pairs").rows
+    linked = _enough_pairs(classes.select("id", "label", "embedding", "n"), threshold, trees, subtree)
     both = linked.selectExpr("a", "n_b AS n").unionByName(linked.selectExpr("b AS a", "n_a AS n"))
     more = both.groupBy("a").agg(F.sum("n").alias("more"))
     joined = stage(components(linked), "components").rows

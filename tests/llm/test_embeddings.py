@@ -48,6 +48,22 @@ def test_recall_where_nodes_are_split_between_tasks(spark, noise):
     check(e.near_duplicates(frame, trees=4, subtree=60).collect(), rows)
 
 
+def test_trees_are_added_where_vectors_hardly_spread(spark, monkeypatch):
+    """Vectors of a mean cosine of about 0.8, of which one tree misses many links."""
+    monkeypatch.setattr(e, "LEAF", 20)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(32) + 0.5 * rng.standard_normal((1000, 32))
+    x = np.concatenate([x, x + 0.4 * rng.standard_normal(x.shape)])
+    rows = [(k, [float(v) for v in np.float32(row)], 1) for k, row in enumerate(x)]
+    frame = spark.createDataFrame(rows, DDL)
+    u = e._unit(np.float32(x).astype(np.float64))
+    want = (u @ u.T >= e.THRESHOLD).sum() - len(u)
+    classes = frame.selectExpr("vec_id AS id", "label", "embedding", "1L AS n")
+    assert 2 * e.pairs(classes, trees=1).count() < 0.9 * want
+    got = e.near_duplicates(frame, trees=1).agg({"n_links": "sum"}).first()[0]
+    assert 0.99 * want <= got <= want
+
+
 def test_leaves_overlap_and_cover(monkeypatch):
     monkeypatch.setattr(e, "LEAF", 50)
     u = e._unit(np.random.default_rng(3).standard_normal((1000, 32)))
