@@ -39,10 +39,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, ids_sha256`` per document that is left."""
-    return bpe.encode(docs, TOKENIZER).select(
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` per document that is left."""
+    return bpe.encode(docs, TOKENIZER, decoded=True).select(
         "doc_id", F.expr("bigint(octet_length(ids) / 4)").alias("n_tokens"), "ids",
-        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -157,6 +157,15 @@ def test_pipeline_against_a_plain_version(spark, texts):
     assert all(r.n_tokens * 4 == len(r.ids) for r in rows)
 
 
+def test_pipeline_decodes(spark, documents):
+    texts = ["A plain text, 42 words.", "", None, "Grüße <|endoftext|> x"]
+    coder = bpe.load(TOKENIZER)
+    rows = corpus_pipeline.encode(spark, documents(texts), SF_SMALL).collect()
+    for r in rows:
+        text = coder.decode(coder.encode(texts[r.doc_id] or ""))
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_pipeline_stages_on_odd_rows(spark, nasty, empty):
     for docs in (nasty, empty):
         for _, step in corpus_pipeline.STAGES[:-1]:
