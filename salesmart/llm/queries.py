@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import bpe, decontamination, embeddings, packing, pii, repeats, scoring, simhash, toxicity, warc
+from salesmart.llm import bpe, byte_bpe, decontamination, embeddings, packing, pii, repeats, scoring, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +20,8 @@ TOKENIZER = os.environ.get("SALESMART_TOKENIZER", "/opt/tokenizers/word_bpe_49k.
 
 RANKS = os.environ.get("SALESMART_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
+MULTI_RANKS = os.environ.get("SALESMART_MULTI_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
 
 def query(build: Query) -> Query:
     QUERIES[build.__name__] = build
@@ -184,3 +186,12 @@ SELECT doc_id, CAST(n AS bigint) AS n_bytes, CAST(coalesce(n_removed, 0) AS bigi
     coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
 FROM doc JOIN kept USING (r) LEFT JOIN total USING (r)
 """
+
+
+@query
+def op13_byte_bpe(spark, sf_dir):
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), MULTI_RANKS, decoded=True)
+    return ids.selectExpr(
+        "doc_id", "bigint(octet_length(ids) / 4) AS n_tokens", "sha2(ids, 256) AS ids_sha256",
+        "sha2(decoded, 256) AS decoded_sha256",
+    )

@@ -7,11 +7,12 @@ import os
 import duckdb
 import numpy as np
 import pytest
+import tiktoken
 import tokenizers
 
 import corpus_pipeline
-from salesmart.llm import bpe, decontamination, pii, simhash, toxicity
-from salesmart.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
+from salesmart.llm import bpe, byte_bpe, decontamination, pii, simhash, toxicity
+from salesmart.llm.queries import MULTI_RANKS, ORACLE_SQL, QUERIES, TOKENIZER
 from odd_rows import documents, empty, nasty  # noqa: F401
 from test_pii import brute as personal
 from test_repeats import brute as repeated
@@ -42,7 +43,7 @@ def texts(spark):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -106,6 +107,19 @@ def test_bpe(found, texts):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_byte_bpe(found, texts):
+    library = tiktoken.Encoding(
+        "own", pat_str=byte_bpe.PATTERN, mergeable_ranks=byte_bpe.load(MULTI_RANKS).ranks, special_tokens={}
+    )
+    rows = found("op13_byte_bpe")[1]
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode_ordinary(texts[r.doc_id] or "")
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode_bytes(ids)).hexdigest()
+
+
 def test_others_return_whole_tables(found, texts):
     for name in ("op1_lm_scoring", "op6_toxicity"):
         assert sorted(r.doc_id for r in found(name)[1]) == sorted(texts)
