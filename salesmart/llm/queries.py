@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import bpe, byte_bpe, decontamination, embeddings, packing, pii, repeats, scoring, simhash, toxicity, warc
+from salesmart.llm import (
+    bpe, byte_bpe, conversation_trie, decontamination, embeddings, filter_audit, packing, pii, repeats,
+    scoring, simhash, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,3 +198,105 @@ def op13_byte_bpe(spark, sf_dir):
         "doc_id", "bigint(octet_length(ids) / 4) AS n_tokens", "sha2(ids, 256) AS ids_sha256",
         "sha2(decoded, 256) AS decoded_sha256",
     )
+
+
+@query
+def op11_conversation_trie(spark, sf_dir):
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+# CRC-32 by its table, made by rule; a node is known by the joined keys of its turns.
+ORACLE_SQL["op11_conversation_trie"] = """
+WITH RECURSIVE tab(i, k, v) AS (
+    SELECT i, 0, i FROM range(256) r(i)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM tab WHERE k < 8),
+id AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS varchar) AS s FROM conversations WHERE conv_id IS NOT NULL),
+crc(c, s, k, v) AS (
+    SELECT c, s, 0, CAST(4294967295 AS bigint) FROM id
+    UNION ALL
+    SELECT c, s, crc.k + 1, xor(crc.v // 256, tab.v)
+    FROM crc JOIN tab ON tab.k = 8 AND tab.i = xor(crc.v % 256, CAST(ascii(substr(s, crc.k + 1, 1)) AS bigint))
+    WHERE crc.k < length(s)),
+asked AS (SELECT c, c - c % 20 AS base, xor(v, 4294967295) % 4 AS h FROM crc WHERE k = length(s)),
+turn AS (
+    SELECT conv_id AS c, turn,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) AS j FROM turn),
+part AS (
+    SELECT a.c, 0 AS own, p.j, p.key, p.words FROM asked a JOIN placed p ON p.c = a.base AND p.j <= a.h
+    UNION ALL
+    SELECT a.c, 1, p.j, p.key, p.words FROM asked a JOIN placed p ON p.c = a.c AND p.j > a.h),
+deep AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY own, j) AS d FROM part),
+path AS (
+    SELECT c, d, words, string_agg(key, '') OVER (PARTITION BY c ORDER BY d) AS p FROM deep
+    UNION ALL SELECT c, 0, 0, '' FROM id),
+node AS (SELECT d, p, min(c) AS m, count(*) AS n, any_value(words) AS words FROM path GROUP BY d, p),
+kid AS (
+    SELECT d - 1 AS d, p[:32 * (d - 1)] AS p, count(*) AS kids FROM node WHERE d > 0 GROUP BY ALL),
+one AS (
+    SELECT node.*, coalesce(kids, 0) AS kids, CAST(kids IS NULL AS int) AS leaf, (n - 1) * words AS saved
+    FROM node LEFT JOIN kid USING (d, p)),
+tree AS (
+    SELECT path.d, path.p, sum(leaf) AS leaves, sum(saved) AS saved
+    FROM one JOIN path ON path.c = one.m AND path.d <= one.d GROUP BY path.d, path.p),
+tail AS (
+    SELECT p, string_agg(c, ',' ORDER BY c) AS ends
+    FROM (SELECT c, arg_max(p, d) AS p FROM path GROUP BY c) GROUP BY p)
+SELECT one.m AS conv_id, CAST(one.d AS bigint) AS depth, up.m AS parent_conv_id, one.n AS n_convs,
+    CAST(one.kids AS bigint) AS n_children, CAST(leaves AS bigint) AS n_leaves,
+    CAST(tree.saved AS bigint) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM one JOIN tree USING (d, p) LEFT JOIN tail USING (p)
+    LEFT JOIN node up ON up.d = one.d - 1 AND up.p = one.p[:32 * (one.d - 1)]
+"""
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op12_filter_audit"] = """
+WITH known AS (
+    SELECT doc_id, coalesce(max(CAST(quality = 1 AS int)), 0) AS good,
+        coalesce(max(CAST(toxic = 1 AS int)), 0) AS toxic FROM labels GROUP BY doc_id),
+doc AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+judged AS (
+    SELECT doc_id, part, CAST(len(w) < 200 AS int) AS a,
+        CAST(100 * len(list_distinct(w)) < 50 * len(w) AS int) AS b,
+        CAST(100 * len(regexp_extract_all(x, '[A-Z]')) > 2 * length(x) AS int) AS c,
+        CAST(regexp_matches(x, '[#$%&*|]') AS int) AS d,
+        CAST(coalesce(min(doc_id) OVER (PARTITION BY x) < doc_id, false) AS int) AS e FROM doc),
+cell AS (
+    SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n,
+        sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM judged LEFT JOIN known USING (doc_id) GROUP BY ALL),
+letter AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(l, bit)),
+perm AS (
+    SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+    FROM letter p, letter q, letter r, letter s, letter t
+    WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+step AS (
+    SELECT filter_order, CAST(k AS int) AS step, bits[k] AS bit,
+        CAST(coalesce(list_sum(bits[:k - 1]), 0) AS bigint) AS before
+    FROM perm, range(1, 6) r(k)),
+told AS (
+    SELECT part, filter_order, step, bit,
+        sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM cell, step GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS bigint) AS kept, CAST(removed AS bigint) AS removed,
+    CAST(redundant AS bigint) AS redundant, CAST(unique_fails AS bigint) AS unique_fails,
+    CAST(good_lost AS bigint) AS good_lost, CAST(toxic_lost AS bigint) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, bit) AS bigint) AS shapley
+FROM told
+"""
