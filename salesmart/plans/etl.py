@@ -15,7 +15,7 @@ from salesmart.operators import quality
 from salesmart.operators.audit import audit_formatted, audit_summary
 from salesmart.operators.enrich import customer_counts, enrich
 from salesmart.sinks.table import CatalogSink, JdbcSink, WriteReport
-from salesmart.sources.csv import INGEST_ORDER
+from salesmart.sources.csv import INGEST_ORDER, CsvFeed
 from salesmart.storage import Staged, stage
 
 log = logging.getLogger("salesmart")
@@ -35,6 +35,8 @@ class EtlReport:
     audit: dict
     audit_text: dict
     elapsed_s: float
+    # Seconds by step, in the order they were taken.
+    steps: dict[str, float]
 
 
 def stamped(df: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def stamped(df: DataFrame) -> DataFrame:
 
 
 def run_etl(
-    raw: DataFrame,
+    raw: DataFrame | CsvFeed,
     sink: str | CatalogSink | JdbcSink,
     order: Sequence[str] = INGEST_ORDER,
     config: SalesConfig = SalesConfig(),
@@ -50,36 +52,49 @@ def run_etl(
     """Load raw rows into a catalog table, by its name, or another sink and report.
 
     The raw rows are read and shuffled once. What the rules made of them is
-    staged; the report, the customer counts, the outlier limit and the enriched
+    staged, and the malformed records that a scan of files met meanwhile are an
+    error before anything else is done; the report, the customer counts, the outlier limit and the enriched
     rows are then read from that columnar copy, each with its own columns only.
     The totals are taken from the new rows before anybody sees them. Errors are
     logged and raised again.
     """
     start = time.monotonic()
     sink = CatalogSink(sink) if isinstance(sink, str) else sink
+    feed, raw = (raw, raw.rows) if isinstance(raw, CsvFeed) else (None, raw)
     log.info("Load of %s started", sink.table)
     audited: list[DataFrame] = []
     staged: list[Staged] = []
+    steps: dict[str, float] = {}
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         staged.append(stage(df, name))
         return staged[-1].rows
 
+    def done(step: str) -> None:
+        steps[step] = time.monotonic() - start - sum(steps.values())
+        log.info("Load of %s: %s in %.2fs", sink.table, step, steps[step])
+
     try:
         judged = keep(quality.without_rejected(quality.judge(raw, order, config)), "judged")
+        if feed is not None:
+            feed.verify()
+        done("read and judge")
         tallied = keep(quality.tally(judged, config), "tally")
         totals = quality.row_totals(tallied).first()
         # At most one line per rule.
         lines = quality.issues(tallied, config).orderBy("seq").collect()
         for line in lines:
             log.warning(line.message)
+        done("report")
         clean = quality.clean_rows(judged, config)
         counts = keep(customer_counts(clean), "customers")
         enriched = enrich(clean, counts=counts, total=totals.rows_clean)
+        done("count customers")
         written = sink.write(
             stamped(enriched),
             lambda rows: audited.append(keep(audit_summary(rows, config), "audit")),
         )
+        done("enrich, write and audit")
         summary = audited[0]
         report = EtlReport(
             rows_in=totals.rows_in,
@@ -92,6 +107,7 @@ def run_etl(
             audit=summary.first().asDict(),
             audit_text=audit_formatted(summary).first().asDict(),
             elapsed_s=time.monotonic() - start,
+            steps=steps,
         )
     except Exception:
         log.exception("Load of %s failed", sink.table)

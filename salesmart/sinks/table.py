@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import uuid
 from collections.abc import Callable, Sequence
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import iso_text
-from salesmart.sources.table import JdbcTarget, dated
+from salesmart.sources.table import JdbcTarget, ask, dated
 from salesmart.storage import quoted, stage
 
+log = logging.getLogger("salesmart")
+
 # Fixed value: rows per JDBC insert.
 INSERT_BATCH = 500
 
@@ -161,16 +164,139 @@ def jdbc_count_options(target: JdbcTarget, table: str) -> dict[str, str]:
     return {**target.options(), "query": f"SELECT COUNT(*) AS n FROM {table}"}
 
 
-def replace_jdbc(df: DataFrame, target: JdbcTarget, table: str, partitions: int = 8) -> WriteReport:
-    """Replace a JDBC table, ``date`` as text; at most ``partitions`` connections."""
+@dataclass(frozen=True)
+class Dialect:
+    """How a database puts a finished table in the place of another.
+
+    ``swap`` are the statements, in order, over ``{table}``, the finished
+    ``{fresh}`` and ``{old}``, a name that is free; ``{table_base}`` and
+    ``{old_base}`` are the names without a schema. They also serve where there
+    is no table yet. With ``transaction`` they take effect together; without,
+    the one that renames does so by itself.
+    """
+
+    urls: tuple[str, ...]
+    swap: tuple[str, ...]
+    transaction: bool
+    drop: str = "DROP TABLE IF EXISTS {table}"
+
+    def statements(self, table: str, fresh: str, old: str) -> list[str]:
+        names = {
+            "table": table, "fresh": fresh, "old": old,
+            "table_base": table.rpartition(".")[2], "old_base": old.rpartition(".")[2],
+        }
+        return [text.format(**names) for text in self.swap]
+
+
+# The rename statements of these databases.
+DIALECTS = (
+    Dialect(
+        ("jdbc:mysql:", "jdbc:mariadb:"),
+        (
+            "CREATE TABLE IF NOT EXISTS {table} LIKE {fresh}",
+            "RENAME TABLE {table} TO {old}, {fresh} TO {table}",
+        ),
+        transaction=False,
+    ),
+    Dialect(
+        ("jdbc:postgresql:",),
+        (
+            "CREATE TABLE IF NOT EXISTS {table} (LIKE {fresh})",
+            "ALTER TABLE {table} RENAME TO {old_base}",
+            "ALTER TABLE {fresh} RENAME TO {table_base}",
+        ),
+        transaction=True,
+    ),
+)
+
+
+def dialect_of(url: str) -> Dialect:
+    for dialect in DIALECTS:
+        if url.startswith(dialect.urls):
+            return dialect
+    raise ValueError(f"No statements known to replace a table of {url.split('//')[0]}; name a Dialect")
+
+
+class JdbcStore:
+    """Tables of one database, written and counted by Spark, renamed by statements."""
+
+    def __init__(self, spark: SparkSession, target: JdbcTarget, partitions: int = 8):
+        self.spark, self.target, self.partitions = spark, target, partitions
+
+    def create(self, rows: DataFrame, table: str) -> None:
+        options = jdbc_write_options(self.target, table, self.partitions)
+        rows.write.format("jdbc").options(**options).mode("errorifexists").save()
+
+    def count(self, table: str) -> int:
+        return int(ask(self.spark, self.target, jdbc_count_options(self.target, table)["query"])[0])
+
+    def run(self, statements: Sequence[str], transaction: bool = False) -> None:
+        """Statements over one connection, which the driver opens and closes."""
+        jvm = self.spark._jvm
+        options = self.target.options()
+        if self.target.driver:
+            jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(self.target.driver)
+        settings = jvm.java.util.Properties()
+        for key, value in options.items():
+            if key not in ("url", "driver"):
+                settings.setProperty(key, value)
+        connection = jvm.java.sql.DriverManager.getConnection(options["url"], settings)
+        try:
+            connection.setAutoCommit(not transaction)
+            statement = connection.createStatement()
+            for text in statements:
+                statement.execute(text)
+            if transaction:
+                connection.commit()
+        finally:
+            # What is not committed by now is undone.
+            connection.close()
+
+
+def _drop(store: JdbcStore, dialect: Dialect, table: str) -> None:
+    """Drop a table that nobody reads. A failure is logged: the outcome stands without it."""
+    try:
+        store.run([dialect.drop.format(table=table)])
+    except Exception:
+        log.exception("Could not drop %s", table)
+
+
+def replace_jdbc(
+    df: DataFrame,
+    target: JdbcTarget,
+    table: str,
+    partitions: int = 8,
+    *,
+    dialect: Dialect | None = None,
+    store: JdbcStore | None = None,
+    inspect: Callable[[], None] | None = None,
+) -> WriteReport:
+    """Replace a JDBC table, ``date`` as text; at most ``partitions`` connections.
+
+    The rows go into a table of a name of their own, the database counts them
+    there, ``inspect`` may still refuse them, and only then the two tables
+    change names. Whatever fails before leaves the old table as it was and no
+    new one behind; readers see the old rows or the new ones.
+    """
+    quoted(table)
+    dialect = dialect or dialect_of(target.url)
+    store = store or JdbcStore(df.sparkSession, target, partitions)
+    mark = uuid.uuid4().hex[:12]
+    fresh, old = f"{table}__new_{mark}", f"{table}__old_{mark}"
     written = Observation()
     rows = with_text_date(df).observe(written, F.count(F.lit(1)).alias("rows"))
-    options = jdbc_write_options(target, table, partitions)
-    rows.write.format("jdbc").options(**options).mode("overwrite").save()
-    back = df.sparkSession.read.format("jdbc").options(**jdbc_count_options(target, table)).load()
-    report = WriteReport(table, len(rows.columns), int(written.get["rows"]), int(back.first()[0]))
-    if report.rows_written != report.rows_read_back:
-        raise RowCountMismatch(str(report))
+    try:
+        store.create(rows, fresh)
+        report = WriteReport(table, len(rows.columns), int(written.get["rows"]), store.count(fresh))
+        if report.rows_written != report.rows_read_back:
+            raise RowCountMismatch(str(report))
+        if inspect:
+            inspect()
+        store.run(dialect.statements(table, fresh, old), dialect.transaction)
+    except BaseException:
+        _drop(store, dialect, fresh)
+        raise
+    _drop(store, dialect, old)
     return report
 
 
@@ -190,16 +316,19 @@ class CatalogSink:
 @dataclass(frozen=True)
 class JdbcSink:
     """A database table. Rows are staged first, so that what is wrong with them
-    shows before the table is touched and they are made only once."""
+    shows before the database is touched and they are made only once."""
 
     target: JdbcTarget
     table: str
     partitions: int = 8
+    dialect: Dialect | None = None
 
     def write(self, rows: DataFrame, inspect: Callable[[DataFrame], None]) -> WriteReport:
         staged = stage(rows, "load")
         try:
             inspect(staged.rows)
-            return replace_jdbc(staged.rows, self.target, self.table, self.partitions)
+            return replace_jdbc(
+                staged.rows, self.target, self.table, self.partitions, dialect=self.dialect
+            )
         finally:
             staged.release()

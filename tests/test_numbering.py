@@ -20,7 +20,12 @@ def test_ranks_follow_the_order_over_all_tasks(spark):
     values = list(range(500)) + [7] * 300
     random.Random(1).shuffle(values)
     df = spark.createDataFrame([(v, n) for n, v in enumerate(values)], "v long, n long")
-    rows, copy = ranked(df, "v", "n", name="place")
+    # Small tables would be put together to one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows, copy = ranked(df, "v", "n", name="place")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = [(r.v, r.n) for r in rows.orderBy("place").collect()]
     assert got == sorted((v, n) for n, v in enumerate(values))
     # The value that most rows share does not make one task of them.

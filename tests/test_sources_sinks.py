@@ -224,3 +224,223 @@ def test_locations_are_escaped(spark, tmp_path):
     sinks.ensure_database(spark, "quote_db", str(place))
     spark.sql("CREATE TABLE quote_db.t USING parquet AS SELECT 1 AS x")
     assert place.exists()
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan csv")
+
+
+def test_one_scan_of_the_files(spark, tmp_path):
+    """Neither the checked rows nor a load read the files a second time."""
+    from salesmart import run_etl
+
+    (tmp_path / "a.csv").write_text(HEADER + line("A") + line("B"))
+    checked = csv_source.read_csv(spark, str(tmp_path))
+    assert scans(checked) == 0 and checked.count() == 2
+    feed = csv_source.scan_csv(spark, str(tmp_path))
+    assert scans(feed.rows) == 1
+    sinks.ensure_database(spark, "scan_db")
+    report = run_etl(feed, "scan_db.sales")
+    assert report.rows_in == 2 and report.columns_in == 11
+    assert list(report.steps) == ["read and judge", "report", "count customers", "enrich, write and audit"]
+    assert all(took >= 0 for took in report.steps.values()) and sum(report.steps.values()) <= report.elapsed_s
+
+
+def test_nothing_is_published_from_a_feed_with_malformed_records(spark, tmp_path):
+    from salesmart import run_etl
+
+    (tmp_path / "a.csv").write_text(HEADER + line("A"))
+    sinks.ensure_database(spark, "gate_db")
+    run_etl(csv_source.scan_csv(spark, str(tmp_path)), "gate_db.sales")
+    (tmp_path / "b.csv").write_text(HEADER + (line("B").strip() + ",11\n") * 2)
+    with pytest.raises(csv_source.MalformedCsv, match=r"too many fields or an open quote: .*b\.csv: 2\."):
+        run_etl(csv_source.scan_csv(spark, str(tmp_path)), "gate_db.sales")
+    assert [row.order_id for row in spark.table("gate_db.sales").collect()] == ["A"]
+    assert spark.sql("SHOW TABLES IN gate_db LIKE 'sales__v*'").count() == 1
+
+
+class FakeJava:
+    """What a JVM exception shows through the gateway."""
+
+    def __init__(self, name, state=None, cause=None, sql=True):
+        self.name, self.state, self.cause, self.sql = name, state, cause, sql
+
+    def getClass(self):
+        return self
+
+    def getName(self):
+        return self.name
+
+    def getSuperclass(self):
+        return FakeJava("java.sql.SQLException") if self.sql and self.name != "java.sql.SQLException" else None
+
+    def getSQLState(self):
+        return self.state
+
+    def getCause(self):
+        return self.cause
+
+
+@pytest.mark.parametrize("cause, missing", [
+    (FakeJava("com.mysql.cj.jdbc.exceptions.CommunicationsException", "08S01"), True),
+    (FakeJava("org.postgresql.util.PSQLException", "42P01"), True),
+    (FakeJava("java.sql.SQLSyntaxErrorException", "42S02"), True),
+    (FakeJava("java.lang.RuntimeException", None, FakeJava("java.net.ConnectException", sql=False), False), True),
+    (FakeJava("java.sql.SQLInvalidAuthorizationSpecException", "28000"), False),
+    (FakeJava("java.sql.SQLSyntaxErrorException", "42000"), False),
+    (FakeJava("org.apache.spark.SparkException", sql=False), False),
+])
+def test_only_missing_sources_fall_back(spark, tmp_path, cause, missing):
+    class Broken(sources.Py4JJavaError):
+        def __init__(self):
+            self.java_exception = cause
+
+        def __str__(self):
+            return "broken"
+
+    def loader(_):
+        raise Broken
+
+    file = tmp_path / "a.csv"
+    file.write_text(HEADER + line("A"))
+    load = sources.with_fallback(loader, str(file))
+    if missing:
+        assert load(spark).first().profit_tier == "Medium"
+    else:
+        with pytest.raises(Broken):
+            load(spark)
+
+
+def test_broken_queries_do_not_fall_back(spark, tmp_path):
+    file = tmp_path / "a.csv"
+    file.write_text(HEADER + line("A"))
+    for text in ("SELECT no_such_column FROM range(1)", "SELEC 1", "SELECT no_such_function(1)"):
+        with pytest.raises(Exception, match="(?i)no_such|syntax"):
+            sources.with_fallback(lambda s, text=text: s.sql(text), str(file))(spark)
+    load = sources.with_fallback(lambda s: s.table("no_such_db.sales"), str(file))
+    assert load(spark).first().order_id == "A"
+
+
+class FakeStore:
+    """A database of dictionaries that knows the statements of the dialects."""
+
+    def __init__(self, **tables):
+        self.tables, self.log, self.fail = tables, [], ""
+
+    def create(self, rows, table):
+        assert table not in self.tables
+        self.tables[table] = rows.collect()[:1] if self.fail == "lose" else rows.collect()
+        if self.fail == "write":
+            raise RuntimeError("write")
+
+    def count(self, table):
+        return len(self.tables[table])
+
+    def run(self, statements, transaction=False):
+        before = dict(self.tables)
+        try:
+            for text in statements:
+                self.log.append(text)
+                if self.fail and self.fail in text:
+                    raise RuntimeError(self.fail)
+                words = text.replace(",", " ,").split()
+                if text.startswith("CREATE"):
+                    self.tables.setdefault(words[5], [])
+                elif text.startswith("RENAME"):
+                    for n in range(2, len(words), 4):
+                        self.tables[words[n + 2]] = self.tables.pop(words[n])
+                elif text.startswith("ALTER"):
+                    schema = words[2].rpartition(".")[0]
+                    self.tables[f"{schema}.{words[5]}" if schema else words[5]] = self.tables.pop(words[2])
+                elif text.startswith("DROP"):
+                    self.tables.pop(words[-1], None)
+        except BaseException:
+            if transaction:
+                self.tables = before
+            raise
+
+
+MYSQL = sources.JdbcTarget("jdbc:mysql://host/db", "me", "secret")
+POSTGRES = sources.JdbcTarget("jdbc:postgresql://host/db", "me", "secret")
+
+
+@pytest.mark.parametrize("target, table", [(MYSQL, "sales"), (POSTGRES, "shop.sales")])
+def test_a_database_table_is_replaced_by_a_swap(raw, target, table):
+    rows = quality.validate(raw({}, {"order_id": "B"}), ["line"])
+    store = FakeStore()
+    for n in (2, 1):
+        report = sinks.replace_jdbc(rows.limit(n), target, table, store=store)
+        assert (report.table, report.rows_written, report.rows_read_back) == (table, n, n)
+        assert list(store.tables) == [table] and len(store.tables[table]) == n
+    assert store.tables[table][0].date == GOOD["date"]
+
+
+@pytest.mark.parametrize("target, table", [(MYSQL, "sales"), (POSTGRES, "shop.sales")])
+@pytest.mark.parametrize("fail", ["write", "lose", "refuse", "CREATE", "RENAME"])
+def test_a_failed_replacement_leaves_the_old_table(raw, target, table, fail):
+    rows = quality.validate(raw({}, {"order_id": "B"}), ["line"])
+    store = FakeStore(**{table: ["old"]})
+    store.fail = fail
+
+    def refuse():
+        if fail == "refuse":
+            raise RuntimeError("refuse")
+
+    with pytest.raises(RuntimeError):
+        sinks.replace_jdbc(rows, target, table, store=store, inspect=refuse)
+    assert store.tables == {table: ["old"]}
+
+
+def test_an_old_table_that_cannot_be_dropped_is_no_failure(raw):
+    store = FakeStore(sales=["old"])
+    store.fail = "DROP"
+    report = sinks.replace_jdbc(quality.validate(raw({}), ["line"]), MYSQL, "sales", store=store)
+    assert report.rows_written == 1 and len(store.tables["sales"]) == 1 and len(store.tables) == 2
+
+
+def test_databases_without_known_statements_need_a_dialect(raw):
+    rows = quality.validate(raw({}), ["line"])
+    other = sources.JdbcTarget("jdbc:other://host/db", "me", "secret")
+    with pytest.raises(ValueError, match="jdbc:other:.*Dialect"):
+        sinks.replace_jdbc(rows, other, "sales", store=FakeStore())
+    own = sinks.Dialect(("jdbc:other:",), sinks.DIALECTS[0].swap, False)
+    assert sinks.replace_jdbc(rows, other, "sales", store=FakeStore(), dialect=own).rows_written == 1
+
+
+def test_quantile_split(spark, monkeypatch):
+    split = sources.JdbcQuantiles("order_no", 4)
+    assert split.query("sales") == (
+        "SELECT MAX(v) AS bound FROM (SELECT order_no AS v, NTILE(4) OVER (ORDER BY order_no) AS part "
+        "FROM sales WHERE order_no IS NOT NULL) q GROUP BY part ORDER BY 1"
+    )
+    assert split.predicates([10, 20, 20, 90]) == [
+        "order_no <= 10 OR order_no IS NULL", "order_no > 10 AND order_no <= 20", "order_no > 20",
+    ]
+    assert split.predicates([]) == split.predicates([5]) == ["1 = 1"]
+    assert sources.JdbcQuantiles("name", 2).predicates(["o'x", "z"])[1] == "name > 'o''x'"
+    with pytest.raises(ValueError):
+        sources.JdbcQuantiles("a; b", 2).query("sales")
+    # Every row is in one range, also rows beyond the bounds that were seen.
+    rows = spark.createDataFrame([(n,) for n in [None, -5, 3, 10, 11, 20, 21, 90, 500]], "order_no int")
+    parts = [rows.filter(condition).count() for condition in split.predicates([10, 20, 90])]
+    assert parts == [4, 2, 3]
+
+
+def test_quantiles_are_asked_of_the_database(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(sources, "ask", lambda *x: asked.append(x[1:]) or [1, 2, 3])
+
+    class Reader:
+        def jdbc(self, url, table, predicates, properties):
+            asked.append((url, table, predicates, properties))
+            return spark.createDataFrame([("2024-01-05",)], "date string")
+
+    class Session:
+        read = Reader()
+
+    rows = sources.read_jdbc(Session(), MYSQL, "sales", sources.JdbcQuantiles("k", 3))
+    assert str(rows.first().date) == "2024-01-05"
+    (target, query), (url, table, predicates, properties) = asked
+    assert target is MYSQL and "NTILE(3)" in query
+    assert (url, table, len(predicates)) == (MYSQL.url, "sales", 3)
+    assert properties["fetchsize"] == "10000" and "url" not in properties
