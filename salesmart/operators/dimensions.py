@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from salesmart.operators.numbering import ranked
+
 # The filters in their order, and their first entries.
 FILTERS = {
     "year": "All Years",
@@ -29,19 +30,25 @@ def filter_options(df: DataFrame) -> DataFrame:
 
     ``filter_pos`` numbers the filters, ``pos`` the choices of one: its ``all``
     entry is 0, the others follow by value. Combinations are made distinct, by
-    each task for its own rows before the shuffle, and only then unpivoted.
+    each task for its own rows before the shuffle, and only then unpivoted. The
+    distinct values are numbered over all tasks, ranges of them in each, so that
+    no task holds all products; the written ranges stay in the shared folder for
+    as long as the result reads them.
     """
     texts = df.select(*[F.col(name).cast("string").alias(name) for name in FILTERS]).distinct()
     values = texts.unpivot([], list(FILTERS), "filter", "value")
     values = values.filter(F.col("value").isNotNull()).distinct()
+    names = F.array(*[F.lit(name) for name in FILTERS])
+    placed = values.withColumn("filter_pos", F.array_position(names, F.col("filter")).cast("int"))
+    numbered, _ = ranked(placed, "filter_pos", "value", name="place")
+    # One row per filter: where its choices begin.
+    begins = numbered.groupBy("filter_pos").agg(F.min("place").alias("begin"))
     label = F.when(F.col("filter") == "quarter", F.concat(F.lit("Q"), "value")).otherwise(
         F.col("value")
     )
-    place = F.row_number().over(W.partitionBy("filter").orderBy("value"))
-    names = F.array(*[F.lit(name) for name in FILTERS])
-    chosen = values.select(
-        F.array_position(names, F.col("filter")).cast("int").alias("filter_pos"),
-        place.alias("pos"), "filter", label.alias("label"), "value",
+    chosen = numbered.join(F.broadcast(begins), "filter_pos").select(
+        "filter_pos", (F.col("place") - F.col("begin") + 1).cast("int").alias("pos"),
+        "filter", label.alias("label"), "value",
     )
     first_entries = [
         F.struct(

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesmart.config import SalesConfig
 from salesmart.functions.bins import customer_segment, profit_tier
 from salesmart.functions.dates import DATE_PARTS, date_part
-from salesmart.functions.numeric import half_even
+from salesmart.functions.numeric import half_even, mean_and_deviation, moment_parts, moment_sums
 
 # The derived columns in table order, each with the row columns it is made from.
 DERIVED = {
@@ -30,6 +31,8 @@ DERIVED = {
 # than one in HOT_SHARE of all rows. Fewer than HOT_SHARE customers can.
 HOT_SHARE = 100_000
 HOT_FLOOR = 10_000
+# Decimals of amounts unless a feed says otherwise.
+MONEY = SalesConfig().money_places
 # Places over which the rows of such a customer are spread in a shuffle.
 SPREAD = 65_536
 
@@ -102,20 +105,30 @@ def customer_orders(
     return joined.select(*rows.columns, F.coalesce("_hot_orders", "_orders").alias(name))
 
 
-def sales_stats(rows: DataFrame, column: str = "sales") -> DataFrame:
-    """Mean and sample standard deviation as one row."""
-    return rows.agg(
-        F.avg(column).alias("mean_value"), F.stddev_samp(column).alias("sd_value")
-    )
+def sales_stats(rows: DataFrame, column: str = "sales", places: int = MONEY) -> DataFrame:
+    """Mean and sample standard deviation as one row; missing values are left out.
+
+    They are made from exact sums of values, rounded to ``places`` decimals, and
+    of their squares, in one pass over one column: the same rows give the same
+    bits whatever their order and partitioning.
+    """
+    units, parts = moment_parts(column, places, "v")
+    mean, deviation, steps = mean_and_deviation("v", places)
+    sums = rows.selectExpr(*units).selectExpr(*parts).agg(*moment_sums("v"))
+    for step in steps:
+        sums = sums.selectExpr("*", step)
+    return sums.selectExpr(f"{mean} AS mean_value", f"{deviation} AS sd_value")
 
 
-def outlier_flag(rows: DataFrame, column: str = "sales") -> Column:
+def outlier_flag(rows: DataFrame, column: str = "sales", places: int = MONEY) -> Column:
     """1 where the value lies above mean + 3 standard deviations, else 0.
 
     The limit is a one-row subquery over the same rows; over a single row there
-    is no deviation and the flag is 0.
+    is no deviation and the flag is 0. The limit has the same bits on every run,
+    so a value on it is never flagged by one run and not by the next.
     """
-    limit = sales_stats(rows, column).select(F.col("mean_value") + 3 * F.col("sd_value")).scalar()
+    stats = sales_stats(rows, column, places)
+    limit = stats.select(F.col("mean_value") + 3 * F.col("sd_value")).scalar()
     return F.coalesce((F.col(column) > limit).cast("int"), F.lit(0))
 
 

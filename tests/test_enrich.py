@@ -1,3 +1,8 @@
+import math
+import random
+from fractions import Fraction
+
+import pytest
 from pyspark.sql import functions as F
 
 from salesmart.operators import enrich, quality
@@ -107,3 +112,57 @@ def test_reduced_enrichment_keeps_unseen_rows(raw):
     assert rows["A"].month_name == "Jan" and rows["A"].profit_tier == "Medium"
     assert rows["B"].profit_margin_pct is None
     assert rows["B"].customer_segment == "Returning"
+
+
+def stats_of(spark, values, parts, places=4):
+    rows = spark.createDataFrame([(v,) for v in values], "sales double").repartition(parts)
+    return tuple(enrich.sales_stats(rows, places=places).first())
+
+
+def test_moments_have_the_same_bits_under_any_partitioning(spark):
+    """Also the flag of a value that lies right on the limit."""
+    draw = random.Random(5)
+    values = [round(draw.lognormvariate(4, 2), 4) for _ in range(3000)] + [1e9 + 0.1, -7.25]
+    seen = set()
+    for parts in (1, 7, 211):
+        draw.shuffle(values)
+        seen.add(stats_of(spark, values, parts))
+    assert len(seen) == 1
+    exact = [Fraction(round(v * 10**4), 10**4) for v in values]
+    mean = sum(exact) / len(exact)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in exact) / (len(exact) - 1))
+    ((got_mean, got_deviation),) = seen
+    assert math.isclose(got_mean, mean, rel_tol=1e-15) and math.isclose(got_deviation, deviation, rel_tol=1e-14)
+
+
+def test_a_value_on_the_limit_is_flagged_alike_by_every_run(spark):
+    """Sums of doubles give limits on both sides of it."""
+    values = [0.1, 0.2, 0.3, 0.7] * 500
+    for _ in range(3):
+        mean, deviation = stats_of(spark, [*values, 2.0], 1)
+        values.append(round(mean + 3 * deviation, 4))
+    flags = set()
+    for parts in (1, 7, 211):
+        rows = spark.createDataFrame([(v,) for v in [*values, 2.0]], "sales double").repartition(parts)
+        flagged = rows.withColumn("f", enrich.outlier_flag(rows)).filter("f = 1")
+        flags.add(tuple(sorted(r.sales for r in flagged.collect())))
+    assert len(flags) == 1
+
+
+def test_moments_far_from_zero_lose_nothing(spark):
+    values = [1e11 + n * 0.0001 for n in range(5)]
+    mean, deviation = stats_of(spark, values, 2)
+    assert math.isclose(mean, 1e11 + 0.0002, rel_tol=1e-15)
+    assert math.isclose(deviation, 0.0001 * math.sqrt(2.5), rel_tol=1e-9)
+    assert stats_of(spark, [5.0] * 9, 3) == (5.0, 0.0)
+
+
+def test_moments_of_few_and_missing_values(spark):
+    assert stats_of(spark, [], 1) == (None, None)
+    assert stats_of(spark, [None, 3.5], 2) == (3.5, None)
+    assert stats_of(spark, [0.00004, -0.00004, 0.123456789], 1) == stats_of(spark, [0.0, 0.0, 0.1235], 1)
+    assert math.isclose(stats_of(spark, [2.5, 3.5, 1e-8], 1, places=8)[0], 6.00000001 / 3, rel_tol=1e-15)
+    with pytest.raises(Exception, match="too large for 4 decimals"):
+        stats_of(spark, [1e15], 1)
+    with pytest.raises(Exception, match="(?i)38|overflow|range"):
+        stats_of(spark, [4e14] * 11, 1)
