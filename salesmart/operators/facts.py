@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.config import SalesConfig
@@ -13,6 +13,15 @@ from salesmart.functions.numeric import exact_parts
 
 # Keys of small, bounded domain by which most panels are grouped.
 CUBE_KEYS = ("year_month", "category", "region", "profit_tier", "discount_band")
+# Those of a cube that is kept with a table: filters can be asked of it too. Year
+# and quarter follow from the month, so they make no more rows.
+KEPT_KEYS = ("year", "quarter", *CUBE_KEYS, "customer_segment")
+# Columns of a kept cube beside keys and facts: its rows, and who bought.
+ROWS, SKETCH = "n_rows", "customer_sketch"
+# Size of a sketch of customers: 2^14 registers. The standard error of its count is
+# 1.04 / sqrt(2^14), 0.8 %; some thousand customers are still counted exactly.
+SKETCH_LOG_K = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LOG_K / 2)
 
 
 def _builders(config: SalesConfig) -> dict[str, list[str]]:
@@ -56,6 +65,27 @@ def facts(rows: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
     return rows.selectExpr("*", *made)
 
 
+def customers_sketched(column: str = "customer_id") -> Column:
+    """Distinct values counted by a sketch: every task sends a few kilobytes, where
+    an exact count shuffles every distinct value. Off by ``SKETCH_ERROR``."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.col(column).cast("string"), F.lit(SKETCH_LOG_K)))
+
+
+def kept_cube(rows: DataFrame, config: SalesConfig = SalesConfig()) -> DataFrame:
+    """Enriched rows as the cube that is written beside their table.
+
+    It has the facts, the number of rows, and a sketch of the customers per
+    combination of keys: sketches merge where counts of distinct customers do not
+    add up. Without ``discount_pct`` there is no key for its bands.
+    """
+    fact_rows = facts(rows, config)
+    keys = [key for key in KEPT_KEYS if key != "discount_band" or "discount_pct" in rows.columns]
+    banded = with_discount_band(fact_rows) if "discount_band" in keys else fact_rows
+    sums = [F.sum(name).alias(name) for name in fact_rows.columns if name in FACT_NAMES]
+    sketch = F.hll_sketch_agg(F.col("customer_id").cast("string"), F.lit(SKETCH_LOG_K))
+    return banded.groupBy(*keys).agg(*sums, F.count("*").alias(ROWS), sketch.alias(SKETCH))
+
+
 def cube(fact_rows: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
     """Facts summed per combination of keys: one scan that feeds many metrics."""
     present = [name for name in fact_rows.columns if name in FACT_NAMES]

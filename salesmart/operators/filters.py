@@ -55,6 +55,12 @@ class SalesFilter:
             chosen.append(F.col("date").between(F.lit(first), F.lit(last)))
         return chosen
 
+    def columns(self) -> list[str]:
+        """The columns that its conditions look at."""
+        names = ("year", "quarter", "category", "product", "region")
+        dates = ["date"] if self.start and self.end else []
+        return [name for name in names if getattr(self, name) != ALL] + dates
+
     def years(self) -> Column | None:
         """What a date range says about ``year``: it lets whole partitions be skipped."""
         if self.start and self.end:

@@ -27,7 +27,7 @@ from salesmart.functions.numeric import (
     half_even,
 )
 from salesmart.functions.text import grouped, money, percent, signed_percent, title
-from salesmart.operators.facts import FACT_NAMES
+from salesmart.operators.facts import FACT_NAMES, ROWS, SKETCH, customers_sketched
 
 TOP_PRODUCTS = 10
 RECENT_ROWS = 20
@@ -49,16 +49,31 @@ def _numbered(df: DataFrame, *order: Column | str) -> DataFrame:
 # --- headline figures --------------------------------------------------------
 
 
-def kpi_summary(fact_rows: DataFrame) -> DataFrame:
-    """One row of totals; zeros and a missing margin over no rows."""
-    return _kpis(fact_rows, F.count("*"), F.count_distinct("customer_id"))
+def kpi_summary(fact_rows: DataFrame, approximate: bool = False) -> DataFrame:
+    """One row of totals; zeros and a missing margin over no rows.
+
+    With ``approximate``, customers are counted by a sketch, off by ``SKETCH_ERROR``.
+    """
+    customers = customers_sketched() if approximate else F.count_distinct("customer_id")
+    return _kpis(fact_rows, F.count("*"), customers)
 
 
-def segment_facts(fact_rows: DataFrame) -> DataFrame:
-    """Facts, rows and customers per segment, the base of two panels."""
+def segment_facts(fact_rows: DataFrame, approximate: bool = False) -> DataFrame:
+    """Facts, rows and customers per segment, the base of two panels.
+
+    With ``approximate``, customers are counted by sketches, off by ``SKETCH_ERROR``;
+    a kept cube, which has sketches and no customers, can then be asked as well.
+    """
     sums = [F.sum(name).alias(name) for name in fact_rows.columns if name in FACT_NAMES]
+    if SKETCH in fact_rows.columns:
+        if not approximate:
+            raise ValueError("A cube has no exact customers")
+        rows, customers = F.sum(ROWS), F.hll_sketch_estimate(F.hll_union_agg(SKETCH))
+    else:
+        rows = F.count("*")
+        customers = customers_sketched() if approximate else F.count_distinct("customer_id")
     return fact_rows.groupBy("customer_segment").agg(
-        *sums, F.count("*").alias("rows"), F.count_distinct("customer_id").alias("customers")
+        *sums, rows.alias("rows"), customers.alias("customers")
     )
 
 

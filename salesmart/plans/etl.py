@@ -48,6 +48,8 @@ def run_etl(
     sink: str | CatalogSink | JdbcSink,
     order: Sequence[str] = INGEST_ORDER,
     config: SalesConfig = SalesConfig(),
+    *,
+    approximate: bool = False,
 ) -> EtlReport:
     """Load raw rows into a catalog table, by its name, or another sink and report.
 
@@ -55,11 +57,12 @@ def run_etl(
     staged, and the malformed records that a scan of files met meanwhile are an
     error before anything else is done; the report, the customer counts, the outlier limit and the enriched
     rows are then read from that columnar copy, each with its own columns only.
-    The totals are taken from the new rows before anybody sees them. Errors are
-    logged and raised again.
+    The totals are taken from the new rows before anybody sees them; with
+    ``approximate`` their customers are counted by a sketch. Errors are logged and
+    raised again.
     """
     start = time.monotonic()
-    sink = CatalogSink(sink) if isinstance(sink, str) else sink
+    sink = CatalogSink(sink, config) if isinstance(sink, str) else sink
     feed, raw = (raw, raw.rows) if isinstance(raw, CsvFeed) else (None, raw)
     log.info("Load of %s started", sink.table)
     audited: list[DataFrame] = []
@@ -92,7 +95,7 @@ def run_etl(
         done("count customers")
         written = sink.write(
             stamped(enriched),
-            lambda rows: audited.append(keep(audit_summary(rows, config), "audit")),
+            lambda rows: audited.append(keep(audit_summary(rows, config, approximate), "audit")),
         )
         done("enrich, write and audit")
         summary = audited[0]

@@ -5,14 +5,17 @@ from __future__ import annotations
 import logging
 import re
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from salesmart.config import SalesConfig
 from salesmart.functions.dates import iso_text
+from salesmart.functions.layout import cell, interleaved
+from salesmart.operators.facts import kept_cube
 from salesmart.sources.table import JdbcTarget, ask, dated
 from salesmart.storage import quoted, stage
 
@@ -22,6 +25,10 @@ log = logging.getLogger("salesmart")
 INSERT_BATCH = 500
 
 
+# Columns by which rows are dealt and sorted, gone before they are written.
+_ORDER, _CELL = "__order", "__cell"
+
+
 class TargetTaken(RuntimeError):
     """The name to load into belongs to something that no load has made."""
 
@@ -48,6 +55,9 @@ def ensure_database(spark: SparkSession, name: str, location: str | None = None)
 
 # Properties that mark a version, beside its name, and the view that shows one.
 VERSION_OF, SHOWS = "salesmart.version_of", "salesmart.shows"
+# What may be kept beside a version.
+CUBE = "cube"
+KINDS = (CUBE,)
 
 
 def _new_version(name: str) -> str:
@@ -74,6 +84,28 @@ def _versions(spark: SparkSession, name: str) -> list[str]:
     return [table for table in found if _properties(spark, table).get(VERSION_OF) == name.lower()]
 
 
+def _beside(version: str, kind: str) -> str:
+    """The table that is kept beside a version."""
+    base, mark, stamp = version.rpartition("__v")
+    return f"{base}__{kind}{mark[1:]}{stamp}"
+
+
+def _drop_version(spark: SparkSession, version: str) -> None:
+    for table in (*[_beside(version, kind) for kind in KINDS], version):
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
+
+
+def kept_beside(spark: SparkSession, name: str, kind: str) -> DataFrame | None:
+    """What the load that ``name`` shows has kept beside its rows; None where it
+    has kept nothing, or where no load has made ``name``."""
+    if not spark.catalog.tableExists(name) or spark.catalog.getTable(name).tableType != "VIEW":
+        return None
+    shown = _properties(spark, name).get(SHOWS)
+    if shown is None or not spark.catalog.tableExists(_beside(shown, kind)):
+        return None
+    return spark.table(quoted(_beside(shown, kind)))
+
+
 def _shown(spark: SparkSession, name: str) -> str | None:
     """The version that the view ``name`` shows; None where there is no such view.
 
@@ -97,6 +129,9 @@ def replace_table(
     rebalance: bool = True,
     sort_by: Sequence[str] = (),
     inspect: Callable[[DataFrame], None] | None = None,
+    order: Column | None = None,
+    bloom: Sequence[str] = (),
+    keep: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> WriteReport:
     """Replace what ``name`` shows by these rows.
 
@@ -108,21 +143,34 @@ def replace_table(
     shuffles once towards the partition columns so that each holds few
     well-sized files; adaptive execution splits the large ones. ``sort_by``
     orders rows within files, so that filters on these columns skip parts of them.
+    An ``order`` of ``functions.layout`` comes before these and also decides which
+    rows share files; ``bloom`` columns get Bloom filters, by which filters on one
+    value skip row groups. What ``keep`` makes of the new rows, by its kind, is
+    written beside them, and shown and dropped together with them.
     """
     spark = df.sparkSession
     shown = _shown(spark, name)
     before = _versions(spark, name)
     version = _new_version(name)
-    if rebalance and partition_by:
-        df = df.hint("rebalance", *[F.col(column) for column in partition_by])
-    if sort_by:
-        df = df.sortWithinPartitions(*partition_by, *sort_by)
+    dealt, sorted_by = [*partition_by], [*partition_by, *sort_by] if sort_by else []
+    if order is not None:
+        df = df.withColumns({_ORDER: order, _CELL: cell(order)})
+        dealt, sorted_by = [*dealt, _CELL], [*partition_by, _ORDER, *sort_by]
+    if rebalance and dealt:
+        df = df.hint("rebalance", *[F.col(column) for column in dealt])
+    if sorted_by:
+        df = df.sortWithinPartitions(*sorted_by)
+    df = df.drop(_ORDER, _CELL)
+    options = {f"parquet.bloom.filter.enabled#{column}": "true" for column in bloom}
+    if options:
+        # The filters are as large as the values of a row group need.
+        options["parquet.bloom.filter.adaptive.enabled"] = "true"
     written = Observation()
     try:
         (
             # Above the last shuffle: each row is counted by the task that writes it.
             df.observe(written, F.count(F.lit(1)).alias("rows"))
-            .write.format("parquet").partitionBy(*partition_by).saveAsTable(quoted(version))
+            .write.format("parquet").options(**options).partitionBy(*partition_by).saveAsTable(quoted(version))
         )
         spark.sql(f"ALTER TABLE {quoted(version)} SET TBLPROPERTIES ('{VERSION_OF}' = '{name.lower()}')")
         report = WriteReport(
@@ -132,16 +180,19 @@ def replace_table(
             raise RowCountMismatch(str(report))
         if inspect:
             inspect(spark.table(quoted(version)))
+        for kind, make in (keep or {}).items():
+            beside = quoted(_beside(version, kind))
+            make(spark.table(quoted(version))).write.format("parquet").saveAsTable(beside)
         spark.sql(
             f"CREATE OR REPLACE VIEW {quoted(name)} TBLPROPERTIES ('{SHOWS}' = '{version.lower()}') "
             f"AS SELECT * FROM {quoted(version)}"
         )
     except BaseException:
-        spark.sql(f"DROP TABLE IF EXISTS {quoted(version)}")
+        _drop_version(spark, version)
         raise
     for old in before:
         if old.lower() != shown:
-            spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")
+            _drop_version(spark, old)
     return report
 
 
@@ -302,15 +353,32 @@ def replace_jdbc(
 
 # --- where a load goes -------------------------------------------------------
 
+# Columns of many values that filters ask for one of.
+POINT_COLUMNS = ("product", "customer_id")
+
 
 @dataclass(frozen=True)
 class CatalogSink:
-    """A catalog table by year; rows lie by date within files."""
+    """A catalog table by year, made for the questions asked of it.
+
+    Rows lie by days and products in turn, with Bloom filters on product and
+    customer, so that filters on dates or on one product skip files and row
+    groups; the cube that panels of a small result are read from is kept beside
+    it. ``clustered`` and ``cube`` leave these out, for rows with other columns.
+    """
 
     table: str
+    config: SalesConfig = SalesConfig()
+    clustered: bool = True
+    cube: bool = True
 
     def write(self, rows: DataFrame, inspect: Callable[[DataFrame], None]) -> WriteReport:
-        return replace_table(rows, self.table, sort_by=["date"], inspect=inspect)
+        return replace_table(
+            rows, self.table, sort_by=["date"], inspect=inspect,
+            order=interleaved() if self.clustered else None,
+            bloom=POINT_COLUMNS if self.clustered else (),
+            keep={CUBE: lambda made: kept_cube(made, self.config)} if self.cube else None,
+        )
 
 
 @dataclass(frozen=True)

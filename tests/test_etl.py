@@ -187,3 +187,119 @@ def test_amounts_too_fine_are_no_reason_to_lose_the_old_table(spark, raw):
         run_etl(raw({"sales": 0.00004}), "etl_db5.sales", ["line"])
     assert spark.table("etl_db5.sales").first().sales == 10.0
     assert spark.sql("SHOW TABLES IN etl_db5 LIKE 'sales__v*'").count() == 1
+
+
+@pytest.mark.parametrize("chosen", [
+    SalesFilter(), SalesFilter(year=1997), SalesFilter(quarter=2, region="ASIA"),
+    SalesFilter(category="SMALL", year=1996, quarter=1), SalesFilter(category="NONE SUCH"),
+])
+def test_panels_from_the_kept_cube_equal_those_from_the_rows(loaded, chosen):
+    _, mart = loaded
+    assert mart.kept is not None
+    board = mart.dashboard(chosen)
+    rows_only = SalesMart(mart.spark, lambda spark: spark.table("etl_db.sales"))
+    assert rows_only.kept is None
+    plain = rows_only.dashboard(chosen)
+    assert "sales__cube_v" in board.shared[0]._jdf.queryExecution().logical().toString()
+    for name in board.panels:
+        assert board[name].collect() == plain[name].collect()
+    board.close()
+    plain.close()
+
+
+@pytest.mark.parametrize("chosen", [
+    SalesFilter(product="red widget"), SalesFilter(start="1996-02-15", end="1996-06-30"),
+])
+def test_filters_beyond_the_keys_read_the_rows(loaded, chosen):
+    _, mart = loaded
+    board = mart.dashboard(chosen)
+    assert "cube_v" not in board.shared[0]._jdf.queryExecution().logical().toString()
+    monthly = board["monthly"].collect()
+    assert monthly == metrics.monthly_trend(metrics.month_facts(facts(mart.filtered(chosen)))).collect()
+    board.close()
+
+
+def test_approximate_customers(loaded):
+    """Few customers are counted exactly; the panels then come from the cube alone."""
+    _, mart = loaded
+    for chosen in (SalesFilter(), SalesFilter(region="ASIA", quarter=3), SalesFilter(product="red widget")):
+        board, exact = mart.dashboard(chosen, approximate=True), mart.dashboard(chosen)
+        from_cube = not chosen.columns() or "product" not in chosen.columns()
+        plans = [frame._jdf.queryExecution().logical().toString() for frame in board.shared]
+        assert all(("cube_v" in plan) == from_cube for plan in plans)
+        for name in board.panels:
+            assert board[name].collect() == exact[name].collect()
+        board.close()
+        exact.close()
+
+
+def test_the_cube_goes_with_its_version(spark, raw):
+    ensure_database(spark, "cube_db")
+
+    def names(like):
+        return spark.sql(f"SHOW TABLES IN cube_db LIKE '{like}'").count()
+
+    for n in (1, 2, 3):
+        run_etl(raw(*[{"order_id": str(k)} for k in range(n)]), "cube_db.sales", ["line"])
+        mart = SalesMart(spark, "cube_db.sales")
+        assert mart.kept.first().n_rows == n == mart.rows.count()
+    assert names("sales__v*") == names("sales__cube_v*") == 2
+    with pytest.raises(RuntimeError, match="no cube"):
+        sinks.replace_table(
+            spark.table("cube_db.sales"), "cube_db.sales", keep={"cube": lambda _: (_ for _ in ()).throw(RuntimeError("no cube"))}
+        )
+    assert names("sales__v*") == names("sales__cube_v*") == 2
+    assert SalesMart(spark, "cube_db.sales").kept.first().n_rows == 3
+    plain = sinks.CatalogSink("cube_db.plain", clustered=False, cube=False)
+    run_etl(raw({}), plain, ["line"])
+    assert SalesMart(spark, "cube_db.plain").kept is None
+    assert SalesMart(spark, "cube_db.plain").dashboard()["kpis"].count() == 5
+
+
+def test_a_load_may_count_customers_by_a_sketch(spark, raw):
+    ensure_database(spark, "sketch_db")
+    feed = raw(*[{"order_id": str(n), "customer_id": f"c{n % 7}"} for n in range(20)])
+    report = run_etl(feed, "sketch_db.sales", ["line"], approximate=True)
+    assert report.audit["customers"] == 7
+
+
+def rows_read(df):
+    """Rows that the scan of a finished query has given on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    found = plan.collectLeaves()
+    return sum(found.apply(n).metrics().apply("numOutputRows").value() for n in range(found.size()))
+
+
+def test_point_and_date_filters_skip_row_groups(spark):
+    """Of rows by day and product in turn, a filter on either reads a part."""
+    from pyspark.sql import functions as F
+
+    ensure_database(spark, "layout_db")
+    rows = spark.range(200_000).select(
+        F.col("id").cast("string").alias("order_id"), F.concat(F.lit("p"), F.hash("id") % 5000).alias("product"),
+        F.concat(F.lit("c"), F.xxhash64("id") % 70_000).alias("customer_id"),
+        F.date_add(F.lit("2024-01-01"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(366)).cast("int")).alias("date"),
+    ).withColumn("year", F.year("date"))
+    spark.conf.set("parquet.block.size", str(64 << 10))
+    spark.conf.set("parquet.page.size", str(8 << 10))
+    hadoop = spark._jsc.hadoopConfiguration()
+    for key, value in (("parquet.block.size", 64 << 10), ("parquet.page.size", 8 << 10), ("parquet.block.size.row.check.min", 100)):
+        hadoop.set(key, str(value))
+    try:
+        sinks.replace_table(rows, "layout_db.by_date", sort_by=["date"])
+        sinks.replace_table(
+            rows, "layout_db.mixed", sort_by=["date"], order=sinks.interleaved(), bloom=sinks.POINT_COLUMNS
+        )
+    finally:
+        for key in ("parquet.block.size", "parquet.page.size", "parquet.block.size.row.check.min"):
+            hadoop.unset(key)
+        spark.conf.unset("parquet.block.size")
+        spark.conf.unset("parquet.page.size")
+    one = rows.first()
+    for chosen in (f"product = '{one.product}'", f"customer_id = '{one.customer_id}'", "date BETWEEN DATE'2024-03-01' AND DATE'2024-03-20'"):
+        mixed = spark.table("layout_db.mixed").filter(chosen)
+        assert mixed.count() == rows.filter(chosen).count() > 0
+        assert rows_read(mixed) < 200_000 / 3, chosen
+    assert rows_read(spark.table("layout_db.by_date").filter(f"product = '{one.product}'")) > 200_000 / 3

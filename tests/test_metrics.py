@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesmart.operators import audit, dimensions, enrich, metrics, quality
+from salesmart.operators import facts as facts_module
 from salesmart.operators.facts import cube, facts, with_discount_band
 from salesmart.operators.filters import SalesFilter
 
@@ -241,3 +242,16 @@ def test_facts_are_those_made_here(spark):
     assert cube(facts(rows), ["category"]).columns == ["category", "f_sales_high", "f_sales_low", "f_sales_fraction"]
     with pytest.raises(ValueError, match="f_sales_low"):
         facts(rows.selectExpr("*", "1 AS f_sales_low"))
+
+
+def test_sketched_customers_are_within_the_documented_error(spark):
+    rows = spark.range(300_000, numPartitions=5).selectExpr("concat('c', id % 100000) AS customer_id", "id % 3 AS k")
+    whole = rows.agg(facts_module.customers_sketched().alias("n")).first().n
+    assert abs(whole / 100_000 - 1) < 3 * facts_module.SKETCH_ERROR
+    # Sketches of parts merge to that of the whole.
+    parts = rows.groupBy("k").agg(
+        F.hll_sketch_agg("customer_id", F.lit(facts_module.SKETCH_LOG_K)).alias("s")
+    )
+    merged = parts.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("n")).first().n
+    assert abs(merged / 100_000 - 1) < 3 * facts_module.SKETCH_ERROR
+    assert rows.limit(0).agg(facts_module.customers_sketched().alias("n")).first().n == 0
