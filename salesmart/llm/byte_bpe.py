@@ -12,6 +12,7 @@ Decoding streams through a UTF-8 state machine.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from collections.abc import Iterable, Iterator
 from itertools import groupby
@@ -28,8 +29,9 @@ from salesmart.llm.tasks import held, share
 
 # Fixed value: the published pattern that cuts texts before the merges of rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# States of the machine and pieces that a worker keeps; beyond this it starts over.
-STATES, REMEMBERED = 100_000, 150_000
+# States of the machine, pairs of tokens and pieces that a worker keeps; beyond this
+# it starts over. Of pieces it keeps the last so many and those before them.
+STATES, PAIRS, REMEMBERED = 200_000, 1_000_000, 400_000
 # Documents that a worker returns at a time, and ids it decodes at a time.
 PART, RUN = 200, 65_536
 _BEYOND = re.compile("[\U00010000-\U0010ffff]").search
@@ -83,6 +85,20 @@ class _State(dict):
     __slots__ = ("live", "final")
 
 
+class _Reading(dict):
+    """The UTF-8 state after each token, by its id, from one state; made when asked for."""
+
+    def __init__(self, tokens: list[bytes], state: int):
+        self.tokens, self.state = tokens, state
+
+    def __missing__(self, token: int) -> int:
+        state = self.state
+        for byte in self.tokens[token]:
+            state = _STEPS[state][byte]
+        self[token] = state
+        return state
+
+
 class ByteBpe:
     """Encoder and decoder of one rank file; a worker fills its machine over time."""
 
@@ -94,21 +110,49 @@ class ByteBpe:
         self._ready = False
 
     def __getstate__(self):
-        made = ("cuts", "tokens", "begun", "start", "states", "pairs", "pieces")
+        made = (
+            "cuts", "tokens", "child", "token_of", "longer", "start", "states", "pairs",
+            "pieces", "older", "reading",
+        )
         return self.__dict__ | dict.fromkeys(made) | {"_ready": False}
 
     def _prepare(self) -> None:
         self.cuts = [re.compile(pattern).findall for pattern in self.patterns]
         self.tokens = {number: token for token, number in self.ranks.items()}
-        self.begun = {token[:n] for token in self.ranks for n in range(1, len(token))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self._grow_tree()
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.reading = [_Reading(self.tokens, state) for state in range(BROKEN)]
+        # What is broken stays so.
+        self.reading.append(dict.fromkeys(self.tokens, BROKEN))
+        self.states: dict[tuple, _State] = {}
         self._restart()
         self._ready = True
 
+    def _grow_tree(self) -> None:
+        """Beginnings of tokens as numbers: the next by number and byte, the token
+        that a beginning is, and whether longer tokens begin with it."""
+        self.child: dict[int, int] = {}
+        self.token_of, self.longer = [-1], [True]
+        for token, number in self.ranks.items():
+            at = 0
+            for byte in token:
+                self.longer[at] = True
+                key = at << 8 | byte
+                at = self.child.get(key, 0)
+                if not at:
+                    at = self.child[key] = len(self.token_of)
+                    self.token_of.append(-1)
+                    self.longer.append(False)
+            self.token_of[at] = number
+
     def _restart(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.start = self._state(((b"", -1, ()),))
+        # States lead to each other and back: without their steps they are free at once.
+        for state in self.states.values():
+            state.clear()
+        self.states = {}
+        self.start = self._state(((0, -1, ()),))
 
     def _state(self, live: tuple) -> _State:
         state = self.states.get(live)
@@ -116,7 +160,7 @@ class ByteBpe:
             state = self.states[live] = _State()
             state.live = live
             # The last guess is that a token ends here.
-            state.final = pack(f"<{len(live[-1][2])}I", *live[-1][2])
+            state.final = live[-1][2]
         return state
 
     def _merged(self, piece: bytes) -> list[int]:
@@ -137,60 +181,72 @@ class ByteBpe:
 
     def _follows(self, before: int, token: int) -> bool:
         """Whether the merges leave this token after the one before, or at a start."""
-        known = self.pairs.get((before, token))
-        if known is None:
-            if before < 0:
-                known = self._merged(self.tokens[token]) == [token]
-            else:
-                known = self._merged(self.tokens[before] + self.tokens[token]) == [before, token]
-            if len(self.pairs) >= 10 * STATES:
-                self.pairs.clear()
-            self.pairs[before, token] = known
+        if before < 0:
+            known = self._merged(self.tokens[token]) == [token]
+        else:
+            known = self._merged(self.tokens[before] + self.tokens[token]) == [before, token]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[before << 32 | token] = known
         return known
 
-    def _step(self, state: _State, byte: int) -> tuple[_State, bytes]:
+    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """Make the step of a byte: every guess goes on, one of them comes true."""
+        child, token_of, longer, pairs = self.child, self.token_of, self.longer, self.pairs
         live, done = [], None
-        for text, before, pending in state.live:
-            now = text + bytes([byte])
-            token = self.ranks.get(now)
-            if done is None and token is not None and self._follows(before, token):
-                done = (*pending, token)
-            if now in self.begun:
+        for guess in state.live:
+            at, before, pending = guess
+            now = child.get(at << 8 | byte)
+            if now is None:
+                continue
+            token = token_of[now]
+            if done is None and token >= 0:
+                true = pairs.get(before << 32 | token)
+                if true or true is None and self._follows(before, token):
+                    done = (*pending, token)
+            if longer[now]:
                 live.append((now, before, pending))
-        live.append((b"", done[-1], done))
         sure = 0
-        pendings = [pending for _, _, pending in live]
-        while all(len(x) > sure and x[sure] == done[sure] for x in pendings):
-            sure += 1
-        after = self._state(tuple((text, before, x[sure:]) for text, before, x in live))
-        step = state[byte] = after, pack(f"<{sure}I", *done[:sure])
+        if not live:
+            sure = len(done)
+        elif live[0][2] and all(x[2] for x in live):
+            while all(len(x[2]) > sure and x[2][sure] == done[sure] for x in live):
+                sure += 1
+        last = done[-1]
+        if sure:
+            live = [(at, before, pending[sure:]) for at, before, pending in live]
+            live.append((0, last, done[sure:]))
+            done = done[:sure]
+        else:
+            live.append((0, last, done))
+            done = ()
+        step = state[byte] = self._state(tuple(live)), done
         return step
 
     def _piece(self, piece: str) -> bytes:
         """The ids of one piece."""
-        if len(self.states) >= STATES:
-            self._restart()
-        data = piece.encode()
-        # The library looks whole pieces up before it merges.
-        token = self.ranks.get(data)
-        if token is not None:
-            ids = pack("<I", token)
-        else:
-            state, out = self.start, []
-            for byte in data:
-                step = state.get(byte)
-                if step is None:
-                    step = self._step(state, byte)
-                state, sure = step
-                if sure:
-                    out.append(sure)
-            out.append(state.final)
-            ids = b"".join(out)
+        ids = self.pieces.get(piece) or self.older.get(piece)
+        if ids is None:
+            if len(self.states) >= STATES:
+                self._restart()
+            data = piece.encode()
+            # The library looks whole pieces up before it merges.
+            token = self.ranks.get(data)
+            if token is not None:
+                ids = pack("<I", token)
+            else:
+                state, out = self.start, []
+                for byte in data:
+                    state, sure = state.get(byte) or self._step(state, byte)
+                    if sure:
+                        out += sure
+                out += state.final
+                ids = pack(f"<{len(out)}I", *out)
         # A piece of a million letters is not worth remembering.
         if len(piece) <= 64:
             if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
+                # What is met again comes back from the older ones.
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = ids
         return ids
 
@@ -204,19 +260,22 @@ class ByteBpe:
 
     # --- decoding ---
 
-    def decode_bytes(self, ids: bytes) -> bytes:
-        if not self._ready:
-            self._prepare()
-        tokens = self.tokens
-        return b"".join([tokens[n] for n in np.frombuffer(ids, "<u4").tolist()])
-
     def stream(self, ids: bytes) -> Iterator[str]:
-        """The text of ids, a run of them at a time; no character is cut in two."""
+        """The text of ids, a run of them at a time; no character is cut in two.
+
+        The state machine reads whole tokens; a run in which it breaks is read
+        by bytes.
+        """
         if not self._ready:
             self._prepare()
-        reader = Utf8()
+        reader, tokens, reading = Utf8(), self.tokens, self.reading
         for start in range(0, len(ids), 4 * RUN):
-            yield reader.feed(self.decode_bytes(ids[start : start + 4 * RUN]))
+            run = np.frombuffer(ids[start : start + 4 * RUN], "<u4").tolist()
+            state = reader.state
+            for token in run:
+                state = reading[state][token]
+            data = b"".join([tokens[token] for token in run])
+            yield reader.feed(data) if state == BROKEN else reader.take(data, state)
         yield reader.finish()
 
     def decode(self, ids: bytes) -> str:
@@ -264,58 +323,47 @@ class Utf8:
         self.state, self.waiting = 0, b""
 
     def feed(self, data: bytes) -> str:
+        """The text so far of bytes of any kind."""
         state, made = self.state, []
-        data = self.waiting + data
         # Bytes that wait have been through the machine.
         at, start = len(self.waiting), 0
+        data = self.waiting + data
         while at < len(data):
-            if state == 0:
-                # What is whole and sound is found by one look; the machine reads the ends.
-                cut = self._sound(data, at)
-                if cut > at:
-                    at = cut
-                    continue
             after = _STEPS[state][data[at]]
             if after != BROKEN:
                 state, at = after, at + 1
                 continue
-            begun = self._begin(data, at, state)
-            made += [data[start:begun].decode(), "�"]
+            made += [data[start : _begin(data, at, state)].decode(), "\ufffd"]
             # A byte that breaks a character off may begin the next.
             at += state == 0
             start, state = at, 0
-        begun = self._begin(data, at, state)
-        made.append(data[start:begun].decode())
-        self.state, self.waiting = state, data[begun:]
+        self.waiting = b""
+        made.append(self.take(data[start:], state))
         return "".join(made)
 
-    @staticmethod
-    def _sound(data: bytes, at: int) -> int:
-        """The end of the stretch from here on whose bytes are all below 0x80."""
-        stop = min(len(data), at + 4096)
-        part = data[at:stop]
-        if part.isascii():
-            return stop
-        high = np.frombuffer(part, np.uint8) >= 0x80
-        return at + int(high.argmax())
-
-    @staticmethod
-    def _begin(data: bytes, at: int, state: int) -> int:
-        """Where the character under way began."""
-        if state == 0:
-            return at
-        at -= 1
-        while data[at] & 0xC0 == 0x80:
-            at -= 1
-        return at
+    def take(self, data: bytes, state: int) -> str:
+        """The text so far of bytes after which the machine is in ``state``."""
+        data = self.waiting + data
+        begun = _begin(data, len(data), state)
+        self.state, self.waiting = state, data[begun:]
+        return data[:begun].decode()
 
     def finish(self) -> str:
         """What is left at the end: an unfinished character is replaced."""
-        left = "�" if self.state else ""
+        left = "\ufffd" if self.state else ""
         self.state, self.waiting = 0, b""
         return left
 
 
+def _begin(data: bytes, at: int, state: int) -> int:
+    """Where the character under way began."""
+    if state:
+        at -= 1
+        while data[at] & 0xC0 == 0x80:
+            at -= 1
+    return at
+
+
 # --- over documents ----------------------------------------------------------
 
 
@@ -341,7 +389,12 @@ def encode(docs: DataFrame, path: str, decoded: bool = False, pattern: str = PAT
         for batch in batches:
             for start in range(0, batch.num_rows, PART):
                 part = batch.slice(start, PART)
-                ids = [coder.encode(text.as_py() or "") for text in part.column(1)]
+                # Of the many small objects made here hardly any is garbage: none is sought.
+                gc.disable()
+                try:
+                    ids = [coder.encode(text.as_py() or "") for text in part.column(1)]
+                finally:
+                    gc.enable()
                 made = {"doc_id": part.column(0), "ids": pa.array(ids, pa.binary())}
                 if decoded:
                     made["decoded"] = pa.array(map(coder.decode, ids), pa.string())
