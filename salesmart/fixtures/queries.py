@@ -17,6 +17,7 @@ from salesmart.fixtures.view import (
     read,
 )
 from salesmart.functions.dates import date_of, iso_text
+from salesmart.functions.layout import interleaved
 from salesmart.functions.text import money, percent
 from salesmart.operators import dimensions, metrics, quality
 from salesmart.operators.audit import audit_formatted, audit_summary
@@ -28,12 +29,12 @@ from salesmart.operators.enrich import (
     outlier_flag,
     sales_stats,
 )
-from salesmart.operators.facts import facts, with_discount_band
+from salesmart.operators.facts import SKETCH_ERROR, facts, with_discount_band
 from salesmart.operators.filters import SalesFilter
 from salesmart.plans.etl import run_etl, stamped
 from salesmart.plans.mart import SalesMart
-from salesmart.sinks.table import ensure_database, replace_table, with_text_date
-from salesmart.sources.csv import read_csv_dated
+from salesmart.sinks.table import POINT_COLUMNS, ensure_database, replace_table, with_text_date
+from salesmart.sources.csv import read_csv_dated, scan_csv
 from salesmart.sources.table import read_table
 from salesmart.storage import fresh_path, stage, work_dir
 
@@ -106,6 +107,22 @@ def src_csv_scan(spark, sf_dir):
     return read_csv_dated(spark, csv_copy(spark, sf_dir), FIXTURE_CONFIG)
 
 
+@query
+def src_csv_feed(spark, sf_dir):
+    """A load straight from CSV files: one scan, checked before anything is shown."""
+    path = fresh_path(spark, "csv")
+    # Rows of an order share a file, in the order of the fixture.
+    placed = raw_sales(spark, sf_dir).repartition("order_id").sortWithinPartitions(
+        "order_id", *FIXTURE_ORDER
+    )
+    placed.select(*RAW_COLUMNS).write.option("header", True).csv(path)
+    table = scratch_table(spark)
+    run_etl(scan_csv(spark, path, FIXTURE_CONFIG), table, config=FIXTURE_CONFIG)
+    ids = {name: F.col(name).cast("long") for name in ("order_id", "customer_id")}
+    numbers = {"discount_pct": F.col("discount_pct").cast("double")}
+    return spark.table(table).drop("loaded_at").withColumns(ids | numbers)
+
+
 @query
 def src_table_scan(spark, sf_dir):
     table = scratch_table(spark)
@@ -345,6 +362,17 @@ def flt_product(spark, sf_dir):
     return chosen(spark, sf_dir, product="red widget")
 
 
+@query
+def flt_product_clustered(spark, sf_dir):
+    """One product of a table whose files are skipped by day and by product."""
+    table = scratch_table(spark)
+    replace_table(
+        sales(spark, sf_dir, *FILTERED, "year"), table, sort_by=["date"], order=interleaved(),
+        bloom=POINT_COLUMNS,
+    )
+    return SalesFilter(product="red widget").apply(spark.table(table)).select(*FILTERED)
+
+
 @query
 def flt_region(spark, sf_dir):
     return chosen(spark, sf_dir, region="ASIA")
@@ -384,6 +412,18 @@ def kpi_summary(spark, sf_dir):
     return metrics.kpi_summary(facts(sales(spark, sf_dir, *KPI_INPUTS)))
 
 
+@query
+def kpi_sketch(spark, sf_dir):
+    """The headline figures with sketched customers, held against the exact count."""
+    fact_rows = facts(sales(spark, sf_dir, *KPI_INPUTS))
+    exact = fact_rows.agg(F.count_distinct("customer_id").alias("n")).scalar()
+    summary = metrics.kpi_summary(fact_rows, approximate=True)
+    off = F.abs(F.col("customers") - exact)
+    return summary.withColumn("customers", off <= 3 * SKETCH_ERROR * exact).withColumnRenamed(
+        "customers", "customers_within_error"
+    )
+
+
 @query
 def kpi_cards(spark, sf_dir):
     return metrics.kpi_cards(metrics.kpi_summary(facts(sales(spark, sf_dir, *KPI_INPUTS))))
@@ -573,3 +613,11 @@ def dash_kpis(spark, sf_dir):
 @query
 def dash_discount(spark, sf_dir):
     return panel(spark, sf_dir, "discount")
+
+
+@query
+def dash_region_cube(spark, sf_dir):
+    """A panel whose filter asks for keys of the kept cube only: no row is read."""
+    table, _ = load(spark, sf_dir)
+    mart = SalesMart(spark, table, config=FIXTURE_CONFIG)
+    return mart.dashboard(SalesFilter(quarter=2, category="SMALL"))["region"]
