@@ -210,31 +210,46 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     small_batches(docs.sparkSession)
     made = docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp"))
     made = stage(made, "fingerprints").rows
-    firsts = stage(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts").rows
-    joined = stage(components(links(firsts, distance)), "components").rows
-    rooted = firsts.join(joined, firsts["fp"] == joined["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root")
-    )
+    rooted = _rooted(made, distance)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     least = stage(least, "least").rows
     ids = stage(rooted.join(least, "root").select("fp", "component_id"), "ids").rows
     return made.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _rooted(made: DataFrame, distance: int) -> DataFrame:
+    """``fp, first, root``: distinct fingerprints, the smallest id of each, and a
+    fingerprint that stands for its component."""
+    firsts = stage(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts").rows
+    joined = stage(components(links(firsts, distance)), "components").rows
+    return firsts.join(joined, firsts["fp"] == joined["node"], "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("root")
+    )
+
+
 def keep_one(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """Of each component the document of smallest id, in the columns of ``docs``.
+    """Of each component one row, in the columns of ``docs``.
 
-    Of rows that repeat an id one stays, the smallest by its columns in order.
+    It is decided by row, not by id: the row of smallest id stays, of those that
+    share it the one of smallest fingerprint, and of these the smallest by its
+    columns in order. Rows that repeat an id and are alike nothing else stay.
     Rows without an id cannot be told apart by one and all stay.
     """
-    found = near_duplicates(docs, width, distance)
-    chosen = stage(
-        found.filter("doc_id = component_id").select("doc_id").distinct(), "chosen"
-    ).rows
-    # Rows of equal id meet after each task has cut its own to one.
+    small_batches(docs.sparkSession)
+    fp = "fp"
+    while fp in docs.columns:
+        fp = f"_{fp}"
+    # Texts are fingerprinted once; the copy is read for the choice and for the rows.
+    marked = stage(docs.withColumn(fp, fingerprint(F.col("text"), width)), "fingerprints").rows
+    rooted = _rooted(marked.select("doc_id", F.col(fp).alias("fp")), distance)
+    chosen = rooted.filter("first IS NOT NULL").groupBy("root").agg(
+        F.min(F.struct("first", "fp")).alias("row")
+    )
+    chosen = stage(chosen.select(F.col("row.first").alias("doc_id"), F.col("row.fp").alias(fp)), "chosen").rows
+    # Rows of equal id and fingerprint meet after each task has cut its own to one.
     others = [name for name in docs.columns if name != "doc_id"]
-    named = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+    named = marked.filter("doc_id IS NOT NULL").groupBy("doc_id", fp).agg(
         F.min(F.struct(*others)).alias("_row")
     )
-    kept = named.join(chosen, "doc_id", "left_semi").select("doc_id", "_row.*")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    kept = named.join(chosen, ["doc_id", fp], "left_semi").select("doc_id", "_row.*")
+    return kept.select(*docs.columns).unionByName(marked.filter("doc_id IS NULL").drop(fp))

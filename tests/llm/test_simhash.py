@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -104,3 +106,31 @@ def test_odd_rows(nasty, empty):
     named = [i for i in ids if i is not None]
     assert len(named) == len(set(named)) and ids.count(None) == 2
     assert simhash.keep_one(empty).count() == 0
+
+
+def test_rows_are_kept_by_row_not_by_id(spark):
+    """A repeated id has a copy of another text and a text of its own."""
+    first, own = "one two three four five six seven eight", "nothing here is alike any other text at all"
+    rows = [(3, first, "x"), (5, first, "x"), (5, own, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    assert sorted(tuple(r) for r in simhash.keep_one(docs).collect()) == [(3, first, "x"), (5, own, "x")]
+
+
+def test_kept_rows_with_repeated_ids_against_brute_force(spark):
+    draw = random.Random(11)
+    words = [f"w{n}" for n in range(40)]
+    texts = [" ".join(draw.choice(words) for _ in range(60)) for _ in range(12)] + ["", None]
+    rows = [(draw.choice([1, 2, 3, 4, 5, 6, None]), draw.choice(texts), draw.randint(0, 1)) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    made = brute([text for _, text, _ in rows])
+    roots = reachable(made, 4)
+    want = [row for row in rows if row[0] is None]
+    for root in set(roots):
+        mine = [
+            (i, made[n] - (made[n] >> 63 << 64), (text is not None, text, k), (i, text, k))
+            for n, (i, text, k) in enumerate(rows) if roots[n] == root and i is not None
+        ]
+        if mine:
+            want.append(min(mine)[3])
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
