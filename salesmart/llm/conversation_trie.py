@@ -31,7 +31,7 @@ from salesmart.storage import delete_path, fresh_path, stage
 # many ids: fewer than TAKEN turns, by a checksum of its id.
 FAMILY, TAKEN = 20, 4
 # Levels of a shard, and rows beneath a node from which on it is crowded.
-SPAN, CROWDED = 1024, 1000
+SPAN, CROWDED = 1024, 200
 # Crowded nodes are at most so many: the bound rises with the number of rows.
 MOST_CROWDED = 100_000
 # Messages that a queue holds in memory, and that it reads back at a time.
