@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from odd_rows import documents, empty, nasty  # noqa: F401
 from salesmart.llm import filter_audit as fa
-from salesmart.llm.filter_audit import audit, packed, row_counts, rows_of, term_matrix, unpacked
+from salesmart.llm.filter_audit import audit, letters_of, packed, row_counts, rows_of, term_matrix, unpacked
 
 DOCS = "doc_id long, text string, source string, key string, n long, row string, part string"
 LABELS = "doc_id long, quality int, toxic int, source string"
@@ -81,7 +81,8 @@ def test_random_documents(spark):
 
 
 def test_small_shards(spark, monkeypatch):
-    monkeypatch.setattr(fa, "SHARD_BYTES", 500)
+    monkeypatch.setattr(fa, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(fa, "PIECE_BYTES", 700)
     monkeypatch.setattr(fa, "LISTED", 7)
     check(spark, list(some(30, 2)), [(1, 1, 1)])
 
@@ -114,7 +115,8 @@ def test_matrix_holds_the_words(spark, documents):
     assert sorted(words) == list(range(4)) and set(words.values()) == {"a", "b", "A", "c c"}
     found = {}
     for r in matrix.collect():
-        bounds, ids, times = (unpacked(x) for x in (r.indptr, r.indices, r.data))
+        sizes, ids, times = (unpacked(x) for x in (r.sizes, r.indices, r.data))
+        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         for n, row in enumerate(r.rows):
             mine = ids[bounds[n] : bounds[n + 1]]
             assert list(mine) == sorted(set(mine))
@@ -126,12 +128,14 @@ def test_matrix_holds_the_words(spark, documents):
 
 def test_words_are_split_at_ascii_white_space_only():
     text = "".join(f"{chr(c)}x" for c in [*range(1, 0x100), 0x1680, 0x2003, 0x3000])
-    words, bounds, codes, times = rows_of(pa.array(["", text, " \t"]))
+    words, sizes, codes, times = rows_of(pa.array(["", text, " \t"]))
     want = re.findall(r"[^\x20\x09-\x0D]+", text)
     assert sorted(words.to_pylist()) == sorted(set(want)) and times.sum() == len(want)
-    assert list(bounds) == [0, 0, len(set(want)), len(set(want))] and len(codes) == len(set(want))
+    assert list(sizes) == [0, len(set(want)), 0] and len(codes) == len(set(want))
+    found = letters_of(pa.array(["x", "", text + "A#é日", "ZZ|"]).slice(1))
+    assert found.tolist() == [[0, len(text) + 4, 3], [0, 27, 2], [0, 7, 1]]
 
 
 def test_packed_numbers():
-    for numbers in ([], [0, 1, 255, 256, 2**31], [2**40, 3]):
+    for numbers in ([], [0, 1, 255], [256, 2], [0, 1, 255, 256, 2**31], [2**40, 3]):
         assert unpacked(packed(np.array(numbers, np.int64))).tolist() == numbers
