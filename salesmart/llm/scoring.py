@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,18 @@ WORDS, SHARED, BEGINNING = 16_384, 1024, 3
 CLASSES, WIDTH = 128, 16
 SIDES = (-2, -1, 1, 2)
 PASSES = 2
-# Gradient steps see so many words at a time, scores are computed for so many.
-STEP, LESSON, LOT = 0.2, 1024, 16_384
-# Steps on places within classes: their size, and words that take part at a time.
-INNER, LONG_LESSON = 0.2, 8192
+# Gradient steps see so many words at a time, scores are computed for so many; words
+# whose classes are weighed at a time, so that what is between stays in the cache.
+LESSON, LOT, BLOCK = 16_384, 32_768, 1024
+# Sizes of steps: on the network, by so many words, and on places within classes.
+WHOLE = 16_384
+STEP, INNER = 1.2, 0.25
 # Distinct words that a counting task keeps before it hands them on.
 COUNTED = 200_000
 PART = 500
 # Models summed in one group, and the parts a model is sent in.
 FAN, SLICES = 32, 16
+TINY = np.finfo(np.float32).tiny
 
 
 @dataclass
@@ -64,15 +68,23 @@ class Vocabulary:
         self.rank[order] = np.arange(len(order))
         self.bounds = np.searchsorted(self.classes[order], np.arange(CLASSES + 1))
         self.prior = self.within[order].astype(np.float32)
-
-    def places(self, words: list[bytes]) -> list[int]:
-        get, first = self.words.get, len(self.words)
-        made = []
-        for word in words:
-            place = get(word)
-            if place is None:
-                place = first + zlib.crc32(word[:BEGINNING]) % SHARED
-            made.append(place)
+        # Ranks whose class has other places.
+        self.several = np.repeat(np.diff(self.bounds) > 1, np.diff(self.bounds))
+
+    def sorted(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the order of their ranks, and these. Short numbers are sorted
+        by their digits, in a fraction of the time."""
+        rank = self.rank[places]
+        order = np.argsort(rank.astype(np.uint16 if self.size <= 1 << 16 else np.int64), kind="stable")
+        return order, rank[order]
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Places of words; those without one of their own share the ones after these."""
+        made = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        shared = np.flatnonzero(made < 0)
+        made[shared] = [zlib.crc32(words[n][:BEGINNING]) for n in shared.tolist()]
+        made[shared] %= SHARED
+        made[shared] += len(self.words)
         return made
 
     @property
@@ -180,95 +192,205 @@ class Network:
             at += old.size
         return self
 
-    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs and hidden layer."""
-        x = self.embed[around].reshape(len(around), -1)
-        return x, np.tanh(x @ self.mix + self.hidden_bias)
+    def hidden(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of a row of places, and the hidden layer of the words at some
+        positions of it, two places or more from its ends.
+
+        The embedding of a place serves all words around it: the layer is a sum
+        over shifted rows, without a copy of them for each word.
+        """
+        x = self.embed[row]
+        far, inner = max(SIDES), len(row) - 2 * max(SIDES)
+        z = np.repeat(self.hidden_bias[None], inner, axis=0)
+        for side, mix in zip(SIDES, self._mixes(), strict=True):
+            z += x[far + side : far + side + inner] @ mix
+        return x, np.tanh(z[at - far])
+
+    def _mixes(self) -> np.ndarray:
+        """The part of the hidden layer's weights that belongs to each side."""
+        return self.mix.reshape(len(SIDES), WIDTH, WIDTH)
 
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs, hidden layer and log-probabilities of the classes."""
-        x, h = self.hidden(around)
+        """Inputs, hidden layer and log-probabilities of the classes, of windows."""
+        x, h = self.hidden(*apart(around))
         z = h @ self.out + self.bias
         z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return x, h, z
 
-    def _by_class(self, h: np.ndarray, places: np.ndarray, known: Vocabulary) -> Iterator[tuple]:
-        """Of each class of several places: its range, which words are in it, their
-        places in it, and the exponentials and sums of its softmax."""
-        kinds = known.classes[places]
-        order = np.argsort(kinds, kind="stable")
-        edges = np.searchsorted(kinds[order], np.arange(len(known.bounds)))
-        rank = known.rank[places]
-        sizes = np.diff(known.bounds)
-        for c in np.flatnonzero((np.diff(edges) > 0) & (sizes > 1)).tolist():
-            here = order[edges[c] : edges[c + 1]]
-            low, high = known.bounds[c], known.bounds[c + 1]
-            z = h[here] @ self.inner[low:high].T
-            z += known.prior[low:high]
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            yield low, high, here, rank[here] - low, z, z.sum(axis=1)
+    def _classes(self, h: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Words by blocks, with the exponentials and sums of the softmax over classes."""
+        weights, more = np.concatenate([self.out, self.bias[None]]), _with_one(h)
+        for start in range(0, len(h), BLOCK):
+            block = slice(start, start + BLOCK)
+            yield block, *_exponentials(more[block], weights)
+
+    def _places(self, h: np.ndarray, rank: np.ndarray, known: Vocabulary) -> Iterator[tuple]:
+        """Of words sorted by rank, those of each class of several places: their
+        slice, that of their places, exponentials and sums of their softmax."""
+        weights, more = np.concatenate([self.inner, known.prior[:, None]], axis=1), _with_one(h)
+        edges, bounds = np.searchsorted(rank, known.bounds), known.bounds
+        some = np.flatnonzero((np.diff(edges) > 0) & (np.diff(bounds) > 1))
+        limits = np.stack([edges[some], edges[some + 1], bounds[some], bounds[some + 1]], axis=1)
+        for a, b, low, high in limits.tolist():
+            yield slice(a, b), slice(low, high), *_exponentials(more[a:b], weights[low:high].T)
+
+    def class_log_probs(self, h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Log-probability of each word's class."""
+        made = np.empty(len(h))
+        for block, z, total in self._classes(h):
+            mine = z[np.arange(len(z)), classes[block]]
+            made[block] = np.log(np.maximum(mine, TINY) / total)
+        return made
 
     def within(self, h: np.ndarray, places: np.ndarray, known: Vocabulary) -> np.ndarray:
         """Log-probability of each place within its class."""
-        made = np.zeros(len(places))
-        tiny = np.finfo(np.float32).tiny
-        for _, _, here, at, z, total in self._by_class(h, places, known):
-            made[here] = np.log(np.maximum(z[np.arange(len(at)), at], tiny) / total)
+        order, rank = known.sorted(places)
+        made, found = np.zeros(len(places)), np.zeros(len(places))
+        for here, there, z, total in self._places(h[order], rank, known):
+            mine = z[np.arange(len(z)), rank[here] - there.start]
+            found[here] = np.log(np.maximum(mine, TINY) / total)
+        made[order] = found
         return made
 
-    def _back(self, around: np.ndarray, x: np.ndarray, h: np.ndarray, dh: np.ndarray, scale: float) -> None:
-        """A step of the embeddings and the hidden layer."""
-        dh = dh * (1 - h * h)
-        # An embedding row is touched by few words of a lot, the rest by all.
-        dx = (dh @ self.mix.T).reshape(-1, WIDTH)
-        # Short numbers are sorted by their digits, in a fraction of the time.
-        flat = around.ravel().astype(np.uint16 if len(self.embed) <= 1 << 16 else np.int64)
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        self.embed[flat[starts]] -= scale * 20 * np.add.reduceat(dx[order], starts)
-        self.mix -= scale * 5 * (x.T @ dh)
-        self.hidden_bias -= scale * 5 * dh.sum(axis=0)
-
-    def learn(self, around: np.ndarray, target: np.ndarray, step: float = STEP) -> None:
-        """One gradient step on the log-likelihood of the targets' classes."""
-        x, h, z = self.forward(around)
-        g = np.exp(z)
-        g[np.arange(len(target)), target] -= 1
-        dh = g @ self.out.T
-        scale = step / len(target)
-        self.out -= scale * 5 * (h.T @ g)
-        self.bias -= scale * 5 * g.sum(axis=0)
-        self._back(around, x, h, dh, scale)
-
-    def learn_within(
-        self, around: np.ndarray, places: np.ndarray, known: Vocabulary, step: float = STEP
+    def lesson(
+        self, row: np.ndarray, at: np.ndarray, classes: np.ndarray,
+        places: np.ndarray | None = None, known: Vocabulary | None = None, step: float = STEP,
     ) -> None:
-        """One gradient step on the log-likelihood of places within their classes."""
-        x, h = self.hidden(around)
-        dh = np.zeros_like(h)
-        for low, high, here, at, g, total in self._by_class(h, places, known):
-            g /= total[:, None]
-            g[np.arange(len(at)), at] -= 1
-            dh[here] = g @ self.inner[low:high]
-            d = g.T @ h[here]
-            self.moved[low:high] += d * d
-            self.inner[low:high] -= INNER * d / np.sqrt(self.moved[low:high])
-        self._back(around, x, h, dh, step / len(places))
+        """One gradient step on the log-likelihood of the words at some positions:
+        of their classes and, with places, of these within their classes.
+
+        The gradient of a softmax is what it says less what was there. The first
+        part is a product with its exponentials, the second a sum over the words
+        of a class or place, which lie together once they are sorted.
+        """
+        x, h = self.hidden(row, at)
+        n = len(at)
+        if not n:
+            return
+        # Classes.
+        dh = np.empty_like(h)
+        both = np.zeros((CLASSES, WIDTH + 1), np.float32)
+        for block, z, total in self._classes(h):
+            dh[block] = (z @ self.out.T) / total[:, None]
+            both += z.T @ (_with_one(h[block]) / total[:, None])
+        out, bias = both[:, :WIDTH].T, both[:, WIDTH]
+        dh -= self.out.T[classes]
+        order = np.argsort(classes.astype(np.uint8 if CLASSES <= 256 else np.int64), kind="stable")
+        firsts, sums = _sums(classes[order], h[order])
+        out[:, firsts] -= sums.T
+        bias -= np.bincount(classes, minlength=CLASSES)
+        # Places within them.
+        if known is not None:
+            order, rank = known.sorted(places)
+            sorted_h, more, totals = h[order], np.zeros_like(h), np.ones((n, 1), h.dtype)
+            gradient = np.zeros_like(self.inner)
+            for here, there, z, total in self._places(sorted_h, rank, known):
+                totals[here, 0] = total
+                np.matmul(z, self.inner[there], out=more[here])
+                np.matmul(z.T, sorted_h[here] / totals[here], out=gradient[there])
+            several = known.several[rank]
+            firsts, sums = _sums(rank[several], sorted_h[several])
+            gradient[firsts] -= sums
+            more /= totals
+            more[several] -= self.inner[rank[several]]
+            dh[order] += more
+            self.moved += gradient * gradient
+            self.inner -= INNER * gradient / np.sqrt(self.moved)
+        # The hidden layer and the embeddings around. Few words show a direction less
+        # surely than a whole lesson does: the step is shorter.
+        scale = step * np.sqrt(min(1, n / WHOLE)) / n
+        self.out -= scale * 5 * out
+        self.bias -= scale * 5 * bias
+        far, inner = max(SIDES), len(row) - 2 * max(SIDES)
+        dz = np.zeros((inner, WIDTH), np.float32)
+        dz[at - far] = dh * (1 - h * h)
+        dx, mixes = np.zeros_like(x), self._mixes()
+        moves = np.empty_like(mixes)
+        for k, side in enumerate(SIDES):
+            shifted = slice(far + side, far + side + inner)
+            moves[k] = x[shifted].T @ dz
+            dx[shifted] += dz @ mixes[k].T
+        self.mix -= scale * 5 * moves.reshape(self.mix.shape)
+        self.hidden_bias -= scale * 5 * dz.sum(axis=0)
+        # An embedding is touched by few words of a lesson, the rest by all.
+        short = row.astype(np.uint16 if len(self.embed) <= 1 << 16 else np.int64)
+        order = np.argsort(short, kind="stable")
+        firsts, sums = _sums(row[order], dx[order])
+        self.embed[firsts] -= scale * 20 * sums
+
+    def learn(self, around: np.ndarray, classes: np.ndarray, step: float = STEP) -> None:
+        """A lesson on the classes of words in windows of their own."""
+        self.lesson(*apart(around), classes, step=step)
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """The hidden layer and a one, to which what does not depend on it is added."""
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
+
+
+def _exponentials(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of a softmax and their sums. Logarithms are moved only where
+    the exponentials of some would be too large or all of them too small."""
+    z = h @ weights
+    # What overflows is noticed and made anew.
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    if not (TINY < total.min() and total.max() < np.inf):
+        z = h @ weights
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        total = z.sum(axis=1)
+    return z, total
 
 
-def windows(texts: list[list[int]], outside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words of documents, the words around each, and each one's document."""
+def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted keys, and the sum of the rows of each."""
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[starts], np.add.reduceat(rows, starts) if len(starts) else rows[:0]
+
+
+def apart(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as one row of places, each with room for its word, and those rooms."""
+    far, wide = max(SIDES), 2 * max(SIDES) + 1
+    row = np.zeros((len(around), wide), np.int64)
+    row[:, far + np.array(SIDES)] = around
+    return row.ravel(), np.arange(len(around)) * wide + far
+
+
+def padded(texts: Sequence[Sequence[int]], outside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``in_a_row`` of documents that come as lists of places."""
+    places = np.array(list(chain.from_iterable(texts)), np.int64)
+    return in_a_row(places, np.array([len(t) for t in texts], np.int64), outside)
+
+
+def in_a_row(
+    places: np.ndarray, lengths: np.ndarray, outside: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents as one row of places, ``outside`` between and around them; the
+    positions of their words, and each one's document."""
     far = max(SIDES)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    padded = np.full(int(lengths.sum()) + far * (len(texts) + 1), outside, np.int64)
-    doc = np.repeat(np.arange(len(texts)), lengths)
+    row = np.full(len(places) + far * (len(lengths) + 1), outside, np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
     at = np.arange(len(doc)) + far * (doc + 1)
-    words = np.fromiter((w for t in texts for w in t), np.int64, len(doc))
-    padded[at] = words
-    return words, padded[at[:, None] + np.array(SIDES)], doc
+    row[at] = places
+    return row, at, doc
+
+
+def lots(row: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Words so many at a time: which, the part of the row around them, their positions in it."""
+    far = max(SIDES)
+    for start in range(0, len(at), size):
+        part = at[start : start + size]
+        low = part[0] - far
+        yield slice(start, start + len(part)), row[low : part[-1] + far + 1], part - low
+
+
+def windows(texts: list[list[int]], outside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of documents, the words around each, and each one's document."""
+    row, at, doc = padded(texts, outside)
+    return row[at], row[at[:, None] + np.array(SIDES)], doc
 
 
 def _average(trained: DataFrame) -> np.ndarray:
@@ -276,29 +398,29 @@ def _average(trained: DataFrame) -> np.ndarray:
 
     def add(table: pa.Table) -> pa.Table:
         first = table.slice(0, 1).to_pylist()[0]
-        total = np.sum(
-            [np.frombuffer(x, np.float64) for x in table.column("total").to_pylist()], axis=0
-        )
+        words = table.column("n").to_numpy().astype(np.float64)
+        total = np.zeros(len(first["mean"]) // 4)
+        for mean, n in zip(table.column("mean"), words, strict=True):
+            total += np.frombuffer(mean.as_py(), np.float32) * n
         return pa.table({
             "slice": pa.array([first["slice"]], pa.int32()),
             "part": pa.array([first["part"] // FAN], pa.int32()),
-            "total": pa.array([total.tobytes()], pa.binary()),
-            "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()),
+            "mean": pa.array([(total / words.sum()).astype(np.float32).tobytes()], pa.binary()),
+            "n": pa.array([int(words.sum())], pa.int64()),
         })
 
     rows = stage(trained, "networks").rows
     parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         rows = rows.groupBy("slice", F.expr(f"part div {FAN}").alias("group")).applyInArrow(
-            add, "slice int, part int, total binary, n long"
+            add, "slice int, part int, mean binary, n long"
         )
         parts = -(-parts // FAN)
         if parts <= 1:
             break
         rows = stage(rows, "networks").rows
     made = sorted(rows.collect(), key=lambda row: row["slice"])
-    means = [np.frombuffer(row.total, np.float64) / max(1, row.n) for row in made]
-    return np.concatenate([*means, np.zeros(0)])
+    return np.concatenate([*(np.frombuffer(row["mean"], np.float32) for row in made), np.zeros(0, np.float32)])
 
 
 def train(docs: DataFrame, words: Vocabulary, passes: int = PASSES) -> Network:
@@ -319,60 +441,64 @@ def train(docs: DataFrame, words: Vocabulary, passes: int = PASSES) -> Network:
             own, n = Network(known.size).load(values), 0
             for whole in batches:
                 for start in range(0, whole.num_rows, PART):
-                    texts = whole.slice(start, PART).column(0)
-                    places = [known.places(plain(text.as_py()).split()) for text in texts]
-                    place, around, _ = windows(places, known.size)
-                    target = known.classes[place]
-                    for at in range(0, len(target), LESSON):
-                        own.learn(around[at : at + LESSON], target[at : at + LESSON])
-                    for at in range(0, len(place), LONG_LESSON):
-                        own.learn_within(around[at : at + LONG_LESSON], place[at : at + LONG_LESSON], known)
-                    n += len(target)
+                    split = [plain(text.as_py()).split() for text in whole.slice(start, PART).column(0)]
+                    place = known.places(list(chain.from_iterable(split)))
+                    row, at, _ = in_a_row(place, np.array(list(map(len, split)), np.int64), known.size)
+                    classes = known.classes[place]
+                    for which, part, here in lots(row, at, LESSON):
+                        own.lesson(part, here, classes[which], place[which], known)
+                    n += len(at)
             if n:
-                total = np.array_split(own.flat().astype(np.float64) * n, SLICES)
+                means = np.array_split(own.flat(), SLICES)
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array(range(SLICES), pa.int32()),
                     "part": pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()),
-                    "total": pa.array([t.tobytes() for t in total], pa.binary()),
+                    "mean": pa.array([x.tobytes() for x in means], pa.binary()),
                     "n": pa.array([n] * SLICES, pa.int64()),
                 })
 
         rows = docs.select(F.col("text").cast("string").alias("text"))
         mine = rows.filter(F.expr(f"pmod(xxhash64(text), {passes}) = {k}"))
-        mean = _average(mine.mapInArrow(learn, "slice int, part int, total binary, n long"))
+        mean = _average(mine.mapInArrow(learn, "slice int, part int, mean binary, n long"))
         if len(mean):
             network.load(mean)
     return network
 
 
-def log_probs(texts: list[list[int]], words: Vocabulary, network: Network) -> tuple[np.ndarray, np.ndarray]:
+def log_probs(
+    texts: Sequence[Sequence[int]], words: Vocabulary, network: Network
+) -> tuple[np.ndarray, np.ndarray]:
     """log P of each word's place given the words around it, and each one's document."""
-    places, around, doc = windows(texts, words.size)
+    row, at, doc = padded(texts, words.size)
+    return _log_probs(row, at, words, network), doc
+
+
+def _log_probs(row: np.ndarray, at: np.ndarray, words: Vocabulary, network: Network) -> np.ndarray:
+    places = row[at]
     made = np.empty(len(places))
-    kinds = words.classes[places]
-    for at in range(0, len(places), LOT):
-        _, h, z = network.forward(around[at : at + LOT])
-        made[at : at + LOT] = z[np.arange(len(z)), kinds[at : at + LOT]]
-        made[at : at + LOT] += network.within(h, places[at : at + LOT], words)
-    return made, doc
+    for which, part, here in lots(row, at, LOT):
+        _, h = network.hidden(part, here)
+        made[which] = network.class_log_probs(h, words.classes[places[which]])
+        made[which] += network.within(h, places[which], words)
+    return made
 
 
 TAIL = pa.struct([("word", pa.binary()), ("times", pa.int32()), ("kinds", pa.int64())])
 
 
-def _tails(split: list[list[bytes]], places: list[list[int]], known: Vocabulary) -> pa.Array:
+def _tails(words: list[bytes], place: np.ndarray, doc: np.ndarray, docs: int, known: Vocabulary) -> pa.Array:
     """The distinct words of each document that share their place, and how often each occurs."""
-    first = len(known.words)
-    ends, rows = [0], []
-    for words, at in zip(split, places, strict=True):
-        seen = Counter((word, place) for word, place in zip(words, at, strict=True) if place >= first)
-        rows += [(word, times, place) for (word, place), times in seen.items()]
-        ends.append(len(rows))
-    words, times, at = zip(*rows, strict=True) if rows else ((), (), ())
+    shared = np.flatnonzero(place >= len(known.words))
+    coded = pa.array([words[n] for n in shared.tolist()], pa.binary()).dictionary_encode()
+    codes = np.asarray(coded.indices).astype(np.int64)
+    kinds = np.zeros(len(coded.dictionary), np.int64)
+    kinds[codes] = known.kinds[place[shared]]
+    found, times = np.unique(doc[shared] << 32 | codes, return_counts=True)
+    codes = found & 0xFFFFFFFF
     made = pa.StructArray.from_arrays([
-        pa.array(words, pa.binary()), pa.array(times, pa.int32()),
-        pa.array(known.kinds[np.array(at, np.int64)], pa.int64()),
+        coded.dictionary.take(pa.array(codes)), pa.array(times, pa.int32()), pa.array(kinds[codes], pa.int64()),
     ], fields=list(TAIL))
+    ends = np.searchsorted(found >> 32, np.arange(docs + 1))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
 
 
@@ -396,18 +522,20 @@ def score(docs: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
             for start in range(0, whole.num_rows, PART):
                 batch = whole.slice(start, PART)
                 split = [plain(text.as_py()).split() for text in batch.column(1)]
-                texts = [known.places(words) for words in split]
-                each, doc = log_probs(texts, known, net)
-                place = np.fromiter((x for t in texts for x in t), np.int64, len(doc))
-                each = each - np.where(place >= first, np.log(known.mass[place]), 0)
+                flat = list(chain.from_iterable(split))
+                lengths = np.array(list(map(len, split)), np.int64)
+                place = known.places(flat)
+                row, at, doc = in_a_row(place, lengths, known.size)
+                each = _log_probs(row, at, known, net)
+                each -= np.where(place >= first, np.log(known.mass[place]), 0)
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(range(key, key + len(texts)), pa.int64()),
+                    "key": pa.array(range(key, key + len(split)), pa.int64()),
                     "doc_id": batch.column(0),
-                    "n_words": pa.array([len(t) for t in texts], pa.int64()),
-                    "log_prob": pa.array(np.bincount(doc, each, len(texts)), pa.float64()),
-                    "tail": _tails(split, texts, known),
+                    "n_words": pa.array(lengths, pa.int64()),
+                    "log_prob": pa.array(np.bincount(doc, each, len(split)), pa.float64()),
+                    "tail": _tails(flat, place, doc, len(split), known),
                 })
-                key += len(texts)
+                key += len(split)
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -62,7 +62,7 @@ def test_scores_against_a_loop(spark, documents, small):
     rows = {r.doc_id: r for r in s.score(docs, words, net).collect()}
     for n, text in enumerate(texts):
         places = words.places(s.plain(text).split())
-        padded = [words.size] * 2 + places + [words.size] * 2
+        padded = [words.size] * 2 + list(places) + [words.size] * 2
         total = 0.0
         for k, place in enumerate(places):
             x = np.concatenate([net.embed[padded[k + 2 + side]] for side in s.SIDES])
@@ -70,7 +70,7 @@ def test_scores_against_a_loop(spark, documents, small):
             c = words.classes[place]
             total += z[c] - np.log(np.exp(z).sum()) + words.within[place]
         assert rows[n].n_words == len(places) and abs(rows[n].log_prob - total) < 1e-3
-        assert (rows[n].mean_log_prob is None) == (not places)
+        assert (rows[n].mean_log_prob is None) == (not len(places))
 
 
 def test_gradient_step(small):
@@ -83,13 +83,60 @@ def test_gradient_step(small):
     assert net.forward(around)[2][np.arange(64), target].mean() > before + 0.05
 
 
+def test_a_lesson_is_the_gradient(small):
+    """Of both losses, by differences; windows at the ends of a document included."""
+    rng = np.random.default_rng(4)
+    classes = np.sort(rng.integers(0, 4, 14))
+    mass = rng.integers(1, 9, 14).astype(float)
+    within = np.log(mass / np.bincount(classes, mass, 4)[classes])
+    known = s.Vocabulary({b"%d" % n: n for n in range(6)}, classes, within, mass, np.ones(14, int), "")
+    row, at, _ = s.padded([rng.integers(0, 14, 9).tolist(), [], rng.integers(0, 14, 5).tolist()], 14)
+    places = row[at]
+    net = s.Network(14, seed=5)
+    net.inner += rng.normal(0, 0.3, net.inner.shape).astype(np.float32)
+
+    def loss():
+        _, h = net.hidden(row, at)
+        return -(net.class_log_probs(h, known.classes[places]) + net.within(h, places, known)).sum()
+
+    for name, scale in (("out", 5), ("bias", 5), ("mix", 5), ("hidden_bias", 5), ("embed", 20)):
+        values = getattr(net, name)
+        before = {key: getattr(net, key).copy() for key in (*net.NAMES, "moved")}
+        net.lesson(row, at, known.classes[places], places, known, step=1.0)
+        gradient = (before[name] - values) * len(at) / scale / np.sqrt(len(at) / s.WHOLE)
+        for key, old in before.items():
+            getattr(net, key)[...] = old
+        for k in rng.choice(values.size, min(6, values.size), replace=False):
+            flat, small_step = values.reshape(-1), 1e-2
+            flat[k] += small_step
+            up = loss()
+            flat[k] -= 2 * small_step
+            slope = (up - loss()) / (2 * small_step)
+            flat[k] += small_step
+            assert abs(gradient.reshape(-1)[k] - slope) < 2e-2 * max(1, abs(slope)), name
+
+
+def test_windows_of_a_row(small):
+    """What shifted rows give is what windows give."""
+    texts = [[1, 2, 3, 4, 5], [], [6], [7, 8, 9] * 5]
+    net = s.Network(10, seed=2)
+    _, around, _ = s.windows(texts, 10)
+    row, at, _ = s.padded(texts, 10)
+    whole = net.hidden(row, at)[1]
+    assert np.allclose(whole, net.hidden(*s.apart(around))[1], atol=1e-6)
+    x = net.embed[around].reshape(len(around), -1)
+    assert np.allclose(whole, np.tanh(x @ net.mix + net.hidden_bias), atol=1e-6)
+    parts = [net.hidden(part, here)[1] for _, part, here in s.lots(row, at, 4)]
+    assert np.allclose(np.concatenate(parts), whole, atol=1e-6)
+
+
 def test_order_matters_after_training(spark, documents, small):
     """Held-out texts in order score above the same words shuffled."""
     docs = documents(texts_of(3000, 4))
     words = s.vocabulary(docs, words=6)
     net = s.train(docs.repartition(3), words)
     plain = [words.places(s.plain(t).split()) for t in texts_of(100, 5)]
-    mixed = [random.sample(p, len(p)) for p in plain]
+    mixed = [random.sample(list(p), len(p)) for p in plain]
     assert s.log_probs(plain, words, net)[0].mean() > s.log_probs(mixed, words, net)[0].mean() + 0.1
 
 
@@ -98,7 +145,7 @@ def test_every_word_has_its_own_count(spark, documents, small):
     times = {"common": 50, "rarer": 1, "raring": 23, "rarity": 6}
     docs = documents([word for word, n in times.items() for _ in range(n)])
     words = s.vocabulary(docs, words=1)
-    assert len({place for place in words.places([b"rarer", b"raring", b"rarity"])}) == 1
+    assert len(set(words.places([b"rarer", b"raring", b"rarity"]).tolist())) == 1
     net = s.Network(words.size, seed=1)
     got = {r.doc_id: r.log_prob for r in s.score(documents([*times, "rarely"]), words, net).collect()}
     for k, n in enumerate([1, 23, 6, 0], 1):
@@ -109,7 +156,7 @@ def test_every_word_has_its_own_count(spark, documents, small):
 
 def test_context_separates_words_of_one_class(spark, documents, small, monkeypatch):
     """Exchanging a word for another of its class costs probability on held-out texts."""
-    monkeypatch.setattr(s, "LONG_LESSON", 256)
+    monkeypatch.setattr(s, "LESSON", 256)
     ring = [f"w{k}" for k in range(12)]
 
     def made(n, seed):
@@ -123,7 +170,7 @@ def test_context_separates_words_of_one_class(spark, documents, small, monkeypat
     assert max(np.bincount(words.classes[:12])) >= 3
     places = [words.places(s.plain(t).split()) for t in made(100, 7)]
     at, around, _ = s.windows(places, words.size)
-    h = net.hidden(around)[1]
+    h = net.hidden(*s.apart(around))[1]
     assert net.within(h, at, words).mean() > words.within[at].mean() + 0.3
     true, other = [], []
     for k in range(0, len(at), 7):
