@@ -456,7 +456,7 @@ ORACLE_SQL |= {
     "dash_kpis": ORACLE_SQL["kpi_cards"].replace(f"WITH {_SALES}", f"WITH {_IN_1997}"),
     "dash_discount": ORACLE_SQL["m_discount_label"].replace(f"WITH {_SALES}", f"WITH {_IN_1997}"),
     "src_csv_feed": _sales(f"SELECT {_ENRICHED} FROM sales"),
-    "flt_product_clustered": ORACLE_SQL["flt_product"],
+    "flt_product_clustered": _filtered("product = 'hot rod'"),
     "kpi_sketch": f"""WITH {_SALES}, {_kpis("true")}
         SELECT * EXCLUDE (customers), true AS customers_within_error FROM kpis""",
     "dash_region_cube": ORACLE_SQL["m_region_perf"].replace(

@@ -370,7 +370,7 @@ def flt_product_clustered(spark, sf_dir):
         sales(spark, sf_dir, *FILTERED, "year"), table, sort_by=["date"], order=interleaved(),
         bloom=POINT_COLUMNS,
     )
-    return SalesFilter(product="red widget").apply(spark.table(table)).select(*FILTERED)
+    return SalesFilter(product="hot rod").apply(spark.table(table)).select(*FILTERED)
 
 
 @query
