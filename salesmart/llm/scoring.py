@@ -8,13 +8,13 @@ by softmax from one hidden layer; words that share a place have their own counts
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +30,10 @@ WORDS, SHARED, BEGINNING = 16_384, 1024, 3
 CLASSES, WIDTH = 128, 16
 SIDES = (-2, -1, 1, 2)
 PASSES = 2
-# Gradient steps see so many words at a time, scores are computed for so many; words
-# whose classes are weighed at a time, so that what is between stays in the cache.
-LESSON, LOT, BLOCK = 16_384, 32_768, 1024
+# Gradient steps see so many words at a time, scores are computed for so many.
+LESSON, LOT = 16_384, 32_768
+# Exponentials that are made at a time, so that what is between stays in the cache.
+ROOM = 1 << 17
 # Sizes of steps: on the network, by so many words, and on places within classes.
 WHOLE = 16_384
 STEP, INNER = 1.2, 0.25
@@ -42,6 +43,8 @@ PART = 500
 # Models summed in one group, and the parts a model is sent in.
 FAN, SLICES = 32, 16
 TINY = np.finfo(np.float32).tiny
+# What ``plain`` makes of each byte.
+LETTERS = plain("".join(map(chr, range(128)))) + bytes(range(128, 256))
 
 
 @dataclass
@@ -68,8 +71,9 @@ class Vocabulary:
         self.rank[order] = np.arange(len(order))
         self.bounds = np.searchsorted(self.classes[order], np.arange(CLASSES + 1))
         self.prior = self.within[order].astype(np.float32)
-        # Ranks whose class has other places.
-        self.several = np.repeat(np.diff(self.bounds) > 1, np.diff(self.bounds))
+        # Of each rank, the first one and the number of those of its class.
+        sizes = np.diff(self.bounds)
+        self.first, self.wide = np.repeat(self.bounds[:-1], sizes), np.repeat(sizes, sizes)
 
     def sorted(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the order of their ranks, and these. Short numbers are sorted
@@ -92,25 +96,50 @@ class Vocabulary:
         return len(self.words) + SHARED
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of documents, the number among them of each word of all
+    documents in a row, and how many words each document has."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = data[int(ends[0]) : int(ends[-1])].to_pybytes() if data else b""
+    raw, ends = np.frombuffer(raw.translate(LETTERS), np.uint8), ends - ends[0]
+    # A word begins where a text does or after a blank.
+    letter = raw != ord(" ")
+    begin = letter.copy()
+    begin[1:] &= ~letter[:-1]
+    firsts = ends[ends < len(raw)]
+    begin[firsts] = letter[firsts]
+    start = np.flatnonzero(begin)
+    # Words are put together without the blanks.
+    before = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(letter, dtype=np.int32, out=before[1:])
+    offsets = np.append(before[start], before[-1])
+    words = pa.Array.from_buffers(
+        pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[letter])]
+    ).dictionary_encode()
+    codes = np.asarray(words.indices).astype(np.int64)
+    return words.dictionary, codes, np.diff(np.searchsorted(start, ends))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``word, n`` of the whole corpus: counted in each task, then added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pydict({
-                "word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64()),
-            })
-            seen.clear()
-            return made
-
+        schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+        seen = schema.empty_table()
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(plain(text.as_py()).split())
+            for start in range(0, batch.num_rows, PART):
+                words, codes, _ = words_of(batch.column(0).slice(start, PART))
+                more = pa.table([words, pa.array(np.bincount(codes, minlength=len(words)))], schema)
+                seen = pa.concat_tables([seen, more])
                 if len(seen) >= COUNTED:
-                    yield out()
-        yield out()
+                    sums = seen.group_by("word", use_threads=False).aggregate([("n", "sum")])
+                    seen = sums.select(["word", "n_sum"]).rename_columns(["word", "n"])
+                if len(seen) >= COUNTED:
+                    yield from seen.combine_chunks().to_batches()
+                    seen = schema.empty_table()
+        yield from seen.combine_chunks().to_batches()
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -199,12 +228,12 @@ class Network:
         The embedding of a place serves all words around it: the layer is a sum
         over shifted rows, without a copy of them for each word.
         """
-        x = self.embed[row]
+        x = self.embed.take(row, axis=0)
         far, inner = max(SIDES), len(row) - 2 * max(SIDES)
         z = np.repeat(self.hidden_bias[None], inner, axis=0)
         for side, mix in zip(SIDES, self._mixes(), strict=True):
             z += x[far + side : far + side + inner] @ mix
-        return x, np.tanh(z[at - far])
+        return x, np.tanh(z.take(at - far, axis=0))
 
     def _mixes(self) -> np.ndarray:
         """The part of the hidden layer's weights that belongs to each side."""
@@ -221,19 +250,40 @@ class Network:
     def _classes(self, h: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """Words by blocks, with the exponentials and sums of the softmax over classes."""
         weights, more = np.concatenate([self.out, self.bias[None]]), _with_one(h)
-        for start in range(0, len(h), BLOCK):
-            block = slice(start, start + BLOCK)
-            yield block, *_exponentials(more[block], weights)
+        size = max(1, ROOM // CLASSES)
+        room, ones = np.empty(size * CLASSES, np.float32), np.ones(CLASSES, np.float32)
+        for at in range(0, len(h), size):
+            block = slice(at, min(len(h), at + size))
+            z = room[: (block.stop - at) * CLASSES].reshape(-1, CLASSES)
+            yield block, z, _exponentials([(more[block], weights, z)], z, lambda z: z @ ones)
 
     def _places(self, h: np.ndarray, rank: np.ndarray, known: Vocabulary) -> Iterator[tuple]:
-        """Of words sorted by rank, those of each class of several places: their
-        slice, that of their places, exponentials and sums of their softmax."""
+        """Words sorted by rank in blocks: the block, all exponentials of the softmax
+        within their classes, their sums, where those of each word's own place are,
+        and class by class its words, its places and its part of the exponentials."""
         weights, more = np.concatenate([self.inner, known.prior[:, None]], axis=1), _with_one(h)
-        edges, bounds = np.searchsorted(rank, known.bounds), known.bounds
-        some = np.flatnonzero((np.diff(edges) > 0) & (np.diff(bounds) > 1))
-        limits = np.stack([edges[some], edges[some + 1], bounds[some], bounds[some + 1]], axis=1)
-        for a, b, low, high in limits.tolist():
-            yield slice(a, b), slice(low, high), *_exponentials(more[a:b], weights[low:high].T)
+        wide = known.wide[rank]
+        ends = np.concatenate([[0], np.cumsum(wide)])
+        # Blocks of equal work, cut again where the class changes.
+        cuts = np.searchsorted(ends, np.arange(ROOM, ends[-1], ROOM))
+        cuts = np.unique(np.concatenate([[0], cuts, [len(h)]]))
+        edges = np.union1d(cuts, np.flatnonzero(np.diff(known.first[rank])) + 1)
+        low = known.first[rank[edges[:-1]]]
+        over = low + wide[edges[:-1]]
+        parts = np.stack([edges[:-1], edges[1:], low, over, ends[edges[:-1]]], axis=1).tolist()
+        own = ends[:-1] + rank - known.first[rank]
+        groups = np.searchsorted(edges, cuts).tolist()
+        room = np.empty(np.diff(ends[cuts]).max(initial=0), np.float32)
+        for a, b, at, to in zip(cuts.tolist(), cuts[1:].tolist(), groups, groups[1:]):
+            start = int(ends[a])
+            flat, classes, products = room[: int(ends[b]) - start], [], []
+            for first, last, under, over, place in parts[at:to]:
+                z = flat[place - start :][: (last - first) * (over - under)].reshape(last - first, -1)
+                classes.append((slice(first, last), slice(under, over), z))
+                products.append((more[first:last], weights[under:over].T, z))
+            rows = ends[a:b] - start
+            total = _exponentials(products, flat, lambda flat, rows=rows: np.add.reduceat(flat, rows))
+            yield slice(a, b), flat, total, own[a:b] - start, classes
 
     def class_log_probs(self, h: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Log-probability of each word's class."""
@@ -246,10 +296,9 @@ class Network:
     def within(self, h: np.ndarray, places: np.ndarray, known: Vocabulary) -> np.ndarray:
         """Log-probability of each place within its class."""
         order, rank = known.sorted(places)
-        made, found = np.zeros(len(places)), np.zeros(len(places))
-        for here, there, z, total in self._places(h[order], rank, known):
-            mine = z[np.arange(len(z)), rank[here] - there.start]
-            found[here] = np.log(np.maximum(mine, TINY) / total)
+        made, found = np.empty(len(places)), np.empty(len(places))
+        for block, flat, total, own, _ in self._places(h.take(order, axis=0), rank, known):
+            found[block] = np.log(np.maximum(flat[own], TINY) / total)
         made[order] = found
         return made
 
@@ -258,43 +307,38 @@ class Network:
         places: np.ndarray | None = None, known: Vocabulary | None = None, step: float = STEP,
     ) -> None:
         """One gradient step on the log-likelihood of the words at some positions:
-        of their classes and, with places, of these within their classes.
-
-        The gradient of a softmax is what it says less what was there. The first
-        part is a product with its exponentials, the second a sum over the words
-        of a class or place, which lie together once they are sorted.
+        of their classes and, with places, of these within their classes. The
+        gradient of a softmax is what it says less what was there.
         """
         x, h = self.hidden(row, at)
         n = len(at)
         if not n:
             return
         # Classes.
-        dh = np.empty_like(h)
-        both = np.zeros((CLASSES, WIDTH + 1), np.float32)
+        dh, out, bias = np.empty_like(h), np.zeros((CLASSES, WIDTH), h.dtype), np.zeros(CLASSES, h.dtype)
         for block, z, total in self._classes(h):
-            dh[block] = (z @ self.out.T) / total[:, None]
-            both += z.T @ (_with_one(h[block]) / total[:, None])
-        out, bias = both[:, :WIDTH].T, both[:, WIDTH]
-        dh -= self.out.T[classes]
-        order = np.argsort(classes.astype(np.uint8 if CLASSES <= 256 else np.int64), kind="stable")
-        firsts, sums = _sums(classes[order], h[order])
-        out[:, firsts] -= sums.T
-        bias -= np.bincount(classes, minlength=CLASSES)
+            z[np.arange(len(z)), classes[block]] -= total
+            share = 1 / total
+            np.matmul(z, self.out.T, out=dh[block])
+            dh[block] *= share[:, None]
+            out += z.T @ (h[block] * share[:, None])
+            bias += share @ z
+        out = out.T
         # Places within them.
         if known is not None:
             order, rank = known.sorted(places)
-            sorted_h, more, totals = h[order], np.zeros_like(h), np.ones((n, 1), h.dtype)
-            gradient = np.zeros_like(self.inner)
-            for here, there, z, total in self._places(sorted_h, rank, known):
-                totals[here, 0] = total
-                np.matmul(z, self.inner[there], out=more[here])
-                np.matmul(z.T, sorted_h[here] / totals[here], out=gradient[there])
-            several = known.several[rank]
-            firsts, sums = _sums(rank[several], sorted_h[several])
-            gradient[firsts] -= sums
-            more /= totals
-            more[several] -= self.inner[rank[several]]
-            dh[order] += more
+            sorted_h, more, gradient = h.take(order, axis=0), np.empty_like(h), np.zeros_like(self.inner)
+            for block, flat, total, own, parts in self._places(sorted_h, rank, known):
+                flat[own] -= total
+                share = (1 / total)[:, None]
+                sorted_h[block] *= share
+                for here, there, z in parts:
+                    np.matmul(z, self.inner[there], out=more[here])
+                    gradient[there] += z.T @ sorted_h[here]
+                more[block] *= share
+            back = np.empty_like(order)
+            back[order] = np.arange(n)
+            dh += more.take(back, axis=0)
             self.moved += gradient * gradient
             self.inner -= INNER * gradient / np.sqrt(self.moved)
         # The hidden layer and the embeddings around. Few words show a direction less
@@ -316,7 +360,7 @@ class Network:
         # An embedding is touched by few words of a lesson, the rest by all.
         short = row.astype(np.uint16 if len(self.embed) <= 1 << 16 else np.int64)
         order = np.argsort(short, kind="stable")
-        firsts, sums = _sums(row[order], dx[order])
+        firsts, sums = _sums(row[order], dx.take(order, axis=0))
         self.embed[firsts] -= scale * 20 * sums
 
     def learn(self, around: np.ndarray, classes: np.ndarray, step: float = STEP) -> None:
@@ -329,20 +373,23 @@ def _with_one(h: np.ndarray) -> np.ndarray:
     return np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
 
 
-def _exponentials(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The exponentials of a softmax and their sums. Logarithms are moved only where
-    the exponentials of some would be too large or all of them too small."""
-    z = h @ weights
+def _exponentials(
+    products: list[tuple], whole: np.ndarray, sums: Callable[[np.ndarray], np.ndarray]
+) -> np.ndarray:
+    """Fill a whole, the parts of which are softmaxes, by exponentials of products; the
+    sum of each row. Logarithms are moved only where the exponentials of some would be
+    too large or all of them too small."""
+    for h, weights, z in products:
+        np.matmul(h, weights, out=z)
     # What overflows is noticed and made anew.
     with np.errstate(over="ignore"):
-        np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
+        total = sums(np.exp(whole, out=whole))
     if not (TINY < total.min() and total.max() < np.inf):
-        z = h @ weights
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        total = z.sum(axis=1)
-    return z, total
+        for h, weights, z in products:
+            np.matmul(h, weights, out=z)
+            z -= z.max(axis=1, keepdims=True)
+        total = sums(np.exp(whole, out=whole))
+    return total
 
 
 def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -441,9 +488,9 @@ def train(docs: DataFrame, words: Vocabulary, passes: int = PASSES) -> Network:
             own, n = Network(known.size).load(values), 0
             for whole in batches:
                 for start in range(0, whole.num_rows, PART):
-                    split = [plain(text.as_py()).split() for text in whole.slice(start, PART).column(0)]
-                    place = known.places(list(chain.from_iterable(split)))
-                    row, at, _ = in_a_row(place, np.array(list(map(len, split)), np.int64), known.size)
+                    distinct, codes, lengths = words_of(whole.column(0).slice(start, PART))
+                    place = known.places(distinct.to_numpy(zero_copy_only=False).tolist())[codes]
+                    row, at, _ = in_a_row(place, lengths, known.size)
                     classes = known.classes[place]
                     for which, part, here in lots(row, at, LESSON):
                         own.lesson(part, here, classes[which], place[which], known)
@@ -486,17 +533,16 @@ def _log_probs(row: np.ndarray, at: np.ndarray, words: Vocabulary, network: Netw
 TAIL = pa.struct([("word", pa.binary()), ("times", pa.int32()), ("kinds", pa.int64())])
 
 
-def _tails(words: list[bytes], place: np.ndarray, doc: np.ndarray, docs: int, known: Vocabulary) -> pa.Array:
+def _tails(
+    words: pa.Array, places: np.ndarray, codes: np.ndarray, doc: np.ndarray, docs: int, known: Vocabulary
+) -> pa.Array:
     """The distinct words of each document that share their place, and how often each occurs."""
-    shared = np.flatnonzero(place >= len(known.words))
-    coded = pa.array([words[n] for n in shared.tolist()], pa.binary()).dictionary_encode()
-    codes = np.asarray(coded.indices).astype(np.int64)
-    kinds = np.zeros(len(coded.dictionary), np.int64)
-    kinds[codes] = known.kinds[place[shared]]
-    found, times = np.unique(doc[shared] << 32 | codes, return_counts=True)
-    codes = found & 0xFFFFFFFF
+    shared = places[codes] >= len(known.words)
+    found, times = np.unique(doc[shared] << 32 | codes[shared], return_counts=True)
+    which = found & 0xFFFFFFFF
     made = pa.StructArray.from_arrays([
-        coded.dictionary.take(pa.array(codes)), pa.array(times, pa.int32()), pa.array(kinds[codes], pa.int64()),
+        words.take(pa.array(which)), pa.array(times, pa.int32()),
+        pa.array(known.kinds[places[which]], pa.int64()),
     ], fields=list(TAIL))
     ends = np.searchsorted(found >> 32, np.arange(docs + 1))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
@@ -521,21 +567,20 @@ def score(docs: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, PART):
                 batch = whole.slice(start, PART)
-                split = [plain(text.as_py()).split() for text in batch.column(1)]
-                flat = list(chain.from_iterable(split))
-                lengths = np.array(list(map(len, split)), np.int64)
-                place = known.places(flat)
+                distinct, codes, lengths = words_of(batch.column(1))
+                places, docs_ = known.places(distinct.to_numpy(zero_copy_only=False).tolist()), len(lengths)
+                place = places[codes]
                 row, at, doc = in_a_row(place, lengths, known.size)
                 each = _log_probs(row, at, known, net)
                 each -= np.where(place >= first, np.log(known.mass[place]), 0)
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(range(key, key + len(split)), pa.int64()),
+                    "key": pa.array(range(key, key + docs_), pa.int64()),
                     "doc_id": batch.column(0),
                     "n_words": pa.array(lengths, pa.int64()),
-                    "log_prob": pa.array(np.bincount(doc, each, len(split)), pa.float64()),
-                    "tail": _tails(flat, place, doc, len(split), known),
+                    "log_prob": pa.array(np.bincount(doc, each, docs_), pa.float64()),
+                    "tail": _tails(distinct, places, codes, doc, docs_, known),
                 })
-                key += len(split)
+                key += docs_
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -184,6 +184,56 @@ def test_context_separates_words_of_one_class(spark, documents, small, monkeypat
     assert np.allclose(total[total > 0], 1, atol=1e-5)
 
 
+def test_words_of_texts():
+    """As by ``plain`` and split, also of a part of a column, with nulls and without any word."""
+    texts = ["x", None, "", "Über x1,x2 ÜBER", "  two  words ", "!!!", "no\tend", "\x00a\u00a0b\u2003c", "a"]
+    for some in (texts, texts[1:3], ["a", "b b", "c"], [None], []):
+        column = s.pa.array(["before", *some, "after"], s.pa.string()).slice(1, len(some))
+        words, codes, lengths = s.words_of(column)
+        want = [s.plain(text).split() for text in some]
+        assert [words[k].as_py() for k in codes.tolist()] == [word for text in want for word in text]
+        assert lengths.tolist() == [len(text) for text in want]
+        assert len(set(words.to_pylist())) == len(words)
+
+
+def classes_of_places(monkeypatch, sizes, seed):
+    rng = np.random.default_rng(seed)
+    classes = np.repeat(np.arange(len(sizes)), sizes)
+    monkeypatch.setattr(s, "SHARED", len(classes))
+    mass = rng.integers(1, 9, len(classes)).astype(float)
+    within = np.log(mass / np.bincount(classes, mass)[classes])
+    return s.Vocabulary({}, classes, within, mass, np.ones(len(classes), int), ""), rng
+
+
+def test_places_within_classes(monkeypatch):
+    """Against a softmax in double precision: classes of one place, of many, cut by
+    the room, and products whose exponentials would be too large or too small."""
+    known, rng = classes_of_places(monkeypatch, [1, 5, 1, 40, 2, *[3] * (s.CLASSES - 5)], 8)
+    net = s.Network(known.size, seed=9)
+    h = np.tanh(rng.normal(0, 1, (700, s.WIDTH))).astype(np.float32)
+    places = rng.integers(0, known.size, 700)
+    net.inner = rng.normal(0, 0.3, net.inner.shape).astype(np.float32)
+    z = h.astype(float) @ net.inner.T.astype(float) + known.prior
+    z = np.where(known.classes[:, None] == known.classes[places], z.T, -np.inf)
+    want = z[places, np.arange(700)] - np.log(np.exp(z).sum(axis=0))
+    for moved in (0, 200, -400):
+        # The same for all places of a class: no probability changes.
+        known.prior = known.prior + np.where(known.classes % 2, moved, 0).astype(np.float32)
+        for room in (1, 50, 1 << 17):
+            monkeypatch.setattr(s, "ROOM", room)
+            assert np.allclose(net.within(h, places, known), want, atol=1e-3)
+
+
+def test_many_classes_are_weighed_at_a_time(monkeypatch):
+    """Steps follow the words and their places, not the number of classes."""
+    known, rng = classes_of_places(monkeypatch, [4] * s.CLASSES, 10)
+    net, steps, old = s.Network(known.size, seed=11), [], s._exponentials
+    monkeypatch.setattr(s, "_exponentials", lambda *a: steps.append(a) or old(*a))
+    h = np.tanh(rng.normal(0, 1, (1000, s.WIDTH))).astype(np.float32)
+    net.within(h, rng.integers(0, known.size, 1000), known)
+    assert len(steps) <= 2
+
+
 def test_odd_rows(nasty, empty, small):
     assert s.score_corpus(nasty).count() == nasty.count()
     assert s.score_corpus(empty).count() == 0
